@@ -29,7 +29,7 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = storage.new_path(spark, "token-shards")
     tokenshards.write(_table(spark, sf_dir, "documents"), folder, path=VOCABULARY, pattern=PATTERN, key=b"training order 1")
-    return tokenshards.read(spark, folder).drop("ids")
+    return tokenshards.read(spark, folder, ids=False)
 
 
 def op5_byte_shards(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -20,6 +20,7 @@ table writes no shard.
 
 from __future__ import annotations
 
+import array
 import base64
 import functools
 import zlib
@@ -47,6 +48,10 @@ def encoding(path: str, pattern: str) -> tiktoken.Encoding:
     return tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
 
+def _ids(own: tiktoken.Encoding, text: str | None) -> np.ndarray:
+    return np.frombuffer(array.array("H", own.encode_ordinary(text or "")), np.uint16)
+
+
 def record_type(length: int) -> np.dtype:
     return np.dtype([("head", HEAD), ("ids", "<u2", (length,)), ("end", "u1")])
 
@@ -54,7 +59,7 @@ def record_type(length: int) -> np.dtype:
 def _records(doc: np.ndarray, texts: list[str | None], length: int, own: tiktoken.Encoding) -> np.ndarray:
     """Records of some documents."""
     end = own.max_token_value + 1
-    ids = [np.array([*own.encode_ordinary(t or ""), end], "<u2") for t in texts]
+    ids = [np.append(_ids(own, t), end).astype("<u2") for t in texts]
     pieces = np.array([-(-len(x) // length) for x in ids], np.int64)
     out = np.zeros(int(pieces.sum()), record_type(length))
     owner = np.repeat(np.arange(len(ids)), pieces)
@@ -73,7 +78,7 @@ def _records(doc: np.ndarray, texts: list[str | None], length: int, own: tiktoke
     return out
 
 
-def write(docs: DataFrame, folder: str, *, path: str, pattern: str, key: bytes, length: int = 256, rows: int = 4096, doc_id: str = "doc_id", text: str = "text", part_bytes: int = 8 << 20) -> int:
+def write(docs: DataFrame, folder: str, *, path: str, pattern: str, key: bytes, length: int = 256, rows: int = 4096, doc_id: str = "doc_id", text: str = "text", part_bytes: int = 4 << 20) -> int:
     """Write all sequences below ``folder``; returns their number.
 
     ``docs`` is read twice and must give equal partitions both times, as scans
@@ -85,7 +90,7 @@ def write(docs: DataFrame, folder: str, *, path: str, pattern: str, key: bytes,
         own, n = encoding(path, pattern), 0
         for batch in batches:
             for piece in slices(batch, "text", 1 << 20):
-                n += sum(-(-(len(own.encode_ordinary(t or "")) + 1) // length) for t in piece.column("text").to_pylist())
+                n += sum(len(own.encode_ordinary(t or "")) // length + 1 for t in piece.column("text").to_pylist())
         yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([n], pa.int64())], names=["part", "n"])
 
     counts = {r["part"]: r["n"] for r in source.mapInArrow(count, "part int, n bigint").collect()}  # one row for each partition
@@ -122,8 +127,8 @@ def write(docs: DataFrame, folder: str, *, path: str, pattern: str, key: bytes,
     return total
 
 
-def read(spark: SparkSession, folder: str, *, length: int = 256, rows: int = 4096, from_slot: int = 0) -> DataFrame:
-    """Records from a slot on: doc_id, seq_no, n_tokens, ids, slot, shard and byte_offset."""
+def read(spark: SparkSession, folder: str, *, length: int = 256, rows: int = 4096, from_slot: int = 0, ids: bool = True) -> DataFrame:
+    """Records from a slot on: doc_id, seq_no, n_tokens, [ids,] ids_crc32, slot, shard and byte_offset."""
     files = spark.read.format("binaryFile").load(folder).select(F.col("shard").cast("bigint").alias("shard"), "content")
     wanted = files.filter(F.col("shard") >= from_slot // rows)
     kind = record_type(length)
@@ -137,13 +142,15 @@ def read(spark: SparkSession, folder: str, *, length: int = 256, rows: int = 409
                 keep = slot >= from_slot
                 own, place, slot = own[keep], place[keep], slot[keep]
                 n = own["head"]["n"].astype(np.int64)
-                used = np.arange(length) < n[:, None]
-                ids = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(n)).astype(np.int32)), pa.array(own["ids"][used].astype(np.int32)))
+                column = []
+                if ids:
+                    used = np.arange(length) < n[:, None]
+                    column = [pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(n)).astype(np.int32)), pa.array(own["ids"][used].astype(np.int32)))]
                 doc = own["head"]["doc"]
                 check = [zlib.crc32(x[:k].tobytes()) for x, k in zip(own["ids"], n.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(doc.astype(np.int64), mask=doc == NO_ID), pa.array(own["head"]["seq"].astype(np.int64)), pa.array(n), ids, pa.array(check, pa.int64()), pa.array(slot, pa.int64()), pa.array(np.full(len(own), shard), pa.int64()), pa.array(place * kind.itemsize, pa.int64())],
-                    names=["doc_id", "seq_no", "n_tokens", "ids", "ids_crc32", "slot", "shard", "byte_offset"],
+                    [pa.array(doc.astype(np.int64), mask=doc == NO_ID), pa.array(own["head"]["seq"].astype(np.int64)), pa.array(n), *column, pa.array(check, pa.int64()), pa.array(slot, pa.int64()), pa.array(np.full(len(own), shard), pa.int64()), pa.array(place * kind.itemsize, pa.int64())],
+                    names=["doc_id", "seq_no", "n_tokens", *["ids"] * ids, "ids_crc32", "slot", "shard", "byte_offset"],
                 )
 
-    return wanted.mapInArrow(parse, "doc_id bigint, seq_no bigint, n_tokens bigint, ids array<int>, ids_crc32 bigint, slot bigint, shard bigint, byte_offset bigint")
+    return wanted.mapInArrow(parse, "doc_id bigint, seq_no bigint, n_tokens bigint, " + "ids array<int>, " * ids + "ids_crc32 bigint, slot bigint, shard bigint, byte_offset bigint")
