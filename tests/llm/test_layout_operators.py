@@ -130,3 +130,12 @@ def test_url_rules_and_reputation(spark):
     none = reputation.judge(spark.createDataFrame(rows, "page_id bigint, url string"), spark.createDataFrame([], "page_id bigint, bad int"))
     assert none.filter("verdict = 'block' and rule is null").count() == 0
     assert reputation.judge(spark.createDataFrame([], "page_id bigint, url string"), spark.createDataFrame(labels, "page_id bigint, bad int")).collect() == []
+
+
+def test_possessive_pattern_cuts_alike():
+    slow, fast = tokenshards.encoding(PATH, PATTERN), tokenshards.encoding(PATH, tokenshards.POSSESSIVE)
+    rng = random.Random(8)
+    alphabet = list(" \t\n\r\x1c\x85\xa0'stremvld1½Ⅷé漢🙂́") + ["'re", " 's", "'ll"]
+    for _ in range(5000):
+        text = "".join(rng.choice(alphabet) for _ in range(rng.randint(0, 16)))
+        assert slow.encode_ordinary(text) == fast.encode_ordinary(text)
