@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, contamination, pii, quality, reputation, sharding, storage, tokenshards, warc
+from tidemark.llm import bpe, contamination, lmscore, neardup, pii, quality, reputation, sharding, storage, tokenshards, warc
 
 VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 PATTERN = public_tokenizers.PATTERN
@@ -18,6 +18,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lmscore.score(_table(spark, sf_dir, "documents"))
+
+
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(_table(spark, sf_dir, "documents").select("doc_id", "text"), VOCABULARY, PATTERN)
 
@@ -42,6 +46,10 @@ def op6_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reputation.judge(_table(spark, sf_dir, "pages"), outcomes)
 
 
+def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.classes(_table(spark, sf_dir, "documents"))
+
+
 def op8_warc_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = storage.new_path(spark, "warc")
     warc.write(_table(spark, sf_dir, "pages"), folder)
@@ -60,7 +68,7 @@ def op10_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_byte_bpe, op3_quality_rules, op4_token_shards, op5_byte_shards, op6_url_reputation, op8_warc_segments, op9_decontamination, op10_pii_pseudonyms)
+    f.__name__: f for f in (op1_lm_scores, op2_byte_bpe, op3_quality_rules, op4_token_shards, op5_byte_shards, op6_url_reputation, op7_near_duplicates, op8_warc_segments, op9_decontamination, op10_pii_pseudonyms)
 }
 
 ORACLE_SQL: dict[str, str] = {}

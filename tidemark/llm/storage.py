@@ -12,7 +12,9 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+NO_ESTIMATE = 1 << 60
 _LOCAL: dict[str, str] = {}
 
 
@@ -54,9 +56,13 @@ def remove(spark: SparkSession, path: str) -> None:
 
 
 def input_bytes(df: DataFrame) -> int:
-    """Catalyst's size estimate of a table (file bytes for a scan)."""
+    """Catalyst's size estimate of a table (file bytes for a scan); where it has none, the bytes of the strings are summed."""
     plan = df._jdf.queryExecution().optimizedPlan()
-    return int(str(plan.stats().sizeInBytes()))
+    size = int(str(plan.stats().sizeInBytes()))
+    if size < NO_ESTIMATE:
+        return size
+    texts = [F.coalesce(F.octet_length(c), F.lit(0)) for c, kind in df.dtypes if kind == "string"]
+    return int(df.agg(F.sum(sum(texts, F.lit(8)).cast("bigint"))).first()[0] or 0)
 
 
 def parts_for(df: DataFrame, bytes_each: int, least: int = 8) -> int:

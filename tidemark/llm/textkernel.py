@@ -142,7 +142,7 @@ def words(body: np.ndarray, offsets: np.ndarray, word_bytes: bytes = NON_SPACE,
 
 def fold(hashes: list[np.ndarray]) -> np.ndarray:
     """Hash of a sequence of word hashes."""
-    total = np.full(len(hashes[0]), 0x51ED270B7F3A92C5 + len(hashes), U)
+    total = np.full(hashes[0].shape, 0x51ED270B7F3A92C5 + len(hashes), U)
     for h in hashes:
         total = (total + h) * U(_STEP)
     return mix64(total)
