@@ -39,6 +39,7 @@ U = np.uint64
 WORDS, THRESHOLD, SMOOTH = 5, 0.8, 0.25
 BANDS, ROWS = 12, 4
 SAMPLES = BANDS * ROWS
+BLOCK_BYTES = 2 << 20
 LIKELY, TIGHT = 0.6, 0.9
 #: Texts without an id get numbers from here on, above all ids.
 NAMELESS = 1 << 62
@@ -262,7 +263,7 @@ def keep_first(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", *
     return kept.select(*docs.columns)
 
 
-def classes(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", words: int = WORDS, threshold: float = THRESHOLD, smooth: float = SMOOTH, block_bytes: int = G.BLOCK_BYTES) -> DataFrame:
+def classes(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", words: int = WORDS, threshold: float = THRESHOLD, smooth: float = SMOOTH, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """doc_id, class_id (the smallest id of the class) of every row."""
     spark = docs.sparkSession
     body = F.coalesce(F.col(text), F.lit(""))
