@@ -8,13 +8,16 @@
 4. The others are sampled: 48 consistent weighted samples (Gamma variates read
    from quantile tables of 2**16 steps), in 12 bands of 4.
 5. In each band bucket every member is compared to the smallest one by weighted
-   Jaccard similarity.  In buckets where that fails for some, those are compared
-   further by their samples, leader by leader, so that tight groups give one
-   pair for each member and not all pairs; likely pairs are verified as well.
+   Jaccard similarity.  Where that fails, the member is compared by samples to
+   others of the bucket: to targets, of which no two are likely alike, and to
+   the settled member nearest to it; likely pairs are verified.  Members that
+   match none of those are asked again, up to four rounds, with the next nearest
+   and new targets.  So a group gives a few pairs for each member, never all.
 6. Verified pairs join units into classes; the class id is the smallest id.
 
-Only pairs that agree in no band (0.17 % at a similarity of 0.8, fewer above)
-or are verified below the threshold are left out.
+A unit can miss its class if it agrees with it in no band (0.17 % for a single
+partner at a similarity of 0.8, fewer above) or if, in every shared bucket, the
+leader, all targets and its four nearest matches are below the threshold.
 
 Defined results: texts of fewer words than a shingle are one shingle; a null
 text is taken as empty, and texts without words only equal each other; rows of one id
@@ -37,10 +40,11 @@ from tidemark.llm.storage import forget, materialize
 
 U = np.uint64
 WORDS, THRESHOLD, SMOOTH = 5, 0.8, 0.25
-BANDS, ROWS = 12, 4
-SAMPLES = BANDS * ROWS
+BANDS, BAND_ROWS = 12, 4
+SAMPLES = BANDS * BAND_ROWS
 BLOCK_BYTES = 2 << 20
-LIKELY, TIGHT = 0.6, 0.9
+#: Samples alike from which a pair is verified in a mixed bucket; members compared at once; rounds of such comparisons.
+LIKELY, PART, ROUNDS = 0.65, 4096, 4
 #: Texts without an id get numbers from here on, above all ids.
 NAMELESS = 1 << 62
 UNITS = "unit bigint, bands array<bigint>, sample binary, vector binary"
@@ -80,8 +84,8 @@ def samples(h: np.ndarray, weight: np.ndarray, start: np.ndarray, count: int = S
 
 def band_keys(sample: np.ndarray) -> np.ndarray:
     """One 64-bit key for each band of samples."""
-    parts = sample.astype(U).reshape(len(sample), -1, ROWS)
-    keys = K.fold([parts[:, :, i] for i in range(ROWS)])
+    parts = sample.astype(U).reshape(len(sample), -1, BAND_ROWS)
+    keys = K.fold([parts[:, :, i] for i in range(BAND_ROWS)])
     return K.mix64(keys + np.arange(keys.shape[1], dtype=U) * U(0x9E3779B97F4A7C15)).view(np.int64)
 
 
@@ -171,55 +175,63 @@ def _verified(pairs: DataFrame, units: DataFrame, threshold: float) -> DataFrame
     return both.mapInArrow(run, "a bigint, b bigint, near boolean")
 
 
-def _likely(rows: pa.Table) -> pa.Table:
-    """Pairs to verify in a bucket whose smallest member failed to match some others.
+def _likely(rows: pa.Table, nth: int) -> pa.Table:
+    """Pairs (a, b) to verify for each open member b of a bucket's part, where its smallest member was too unlike.
 
-    Members that matched it (``near``) are targets for the rest as far as they
-    are closer to them than it is; the rest are compared to earlier ones of
-    their own, of which those tightly like an earlier one are not kept.
+    An open member is compared by samples to targets, open ones of which no two
+    are likely alike, and to the settled member that is its nth-best match, so
+    a group gives a few pairs for each member and not all pairs.
     """
+    rows = rows.sort_by([("settled", "descending"), ("unit", "ascending")])
     unit = rows.column("unit").to_numpy()
-    near = np.asarray(rows.column("near").to_numpy(zero_copy_only=False), dtype=bool)
+    n = int(np.asarray(rows.column("settled").to_pylist(), bool).sum())
     marks = np.frombuffer(b"".join(rows.column("sample").to_pylist()), np.uint32).reshape(len(unit), -1)
-    order = np.lexsort((unit, ~near))
-    unit, near, marks = unit[order], near[order], marks[order]
-    settled = int(near.sum())
-    leader = int(np.argmin(np.where(near, unit, np.iinfo(np.int64).max)))
-    targets, a, b = [], [], []
-    pool = np.empty((len(unit) - settled, marks.shape[1]), np.uint32)
-    for i in range(settled, len(unit)):
+    a, b, targets = [], [], []
+    pool = np.empty((len(unit) - n, marks.shape[1]), np.uint32)
+    for i in range(n, len(unit)):
         own = marks[i]
-        for at in range(0, settled, 4096):
-            like = (marks[at : min(settled, at + 4096)] == own).mean(axis=1)
-            hit = np.flatnonzero((like >= LIKELY) & (like > (marks[leader] == own).mean())) + at
-            a += unit[hit].tolist()
-            b += [unit[i]] * len(hit)
-        like = (pool[: len(targets)] == own).mean(axis=1) if targets else np.zeros(0)
-        hit = np.flatnonzero(like >= LIKELY)
-        a += [targets[j] for j in hit.tolist()]
-        b += [unit[i]] * len(hit)
-        if not len(like) or like.max() < TIGHT:
+        like = (marks[:n] == own).mean(axis=1)
+        if n > nth:
+            best = int(np.argsort(-like, kind="stable")[nth])
+            if like[best] >= LIKELY:
+                a.append(int(unit[best]))
+                b.append(int(unit[i]))
+        like = (pool[: len(targets)] == own).mean(axis=1)
+        hit = np.flatnonzero(like >= LIKELY).tolist()
+        a += [targets[j] for j in hit]
+        b += [int(unit[i])] * len(hit)
+        if not hit:
             pool[len(targets)] = own
             targets.append(int(unit[i]))
-    a, b = np.array(a, np.int64), np.array(b, np.int64)
-    return pa.Table.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+    return pa.Table.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+
+def _asking(nth: int):
+    return lambda rows: _likely(rows, nth)
 
 
 def links(units: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """Verified pairs (a < b) of units that join all classes."""
+    """Verified pairs of units that join the classes."""
     members = units.select("unit", F.posexplode("bands").alias("band", "key"))
-    leaders = members.groupBy("band", "key").agg(F.min("unit").alias("a"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    leaders = members.groupBy("band", "key").agg(F.min("unit").alias("a"), F.count("*").alias("n")).filter("n > 1")
     led = materialize(members.join(leaders, ["band", "key"]), "neardup-led")
     first = materialize(_verified(led.filter("a <> unit").select("a", F.col("unit").alias("b")).distinct(), units, threshold), "neardup-first")
-    failed = led.join(first.filter("not near").select("a", F.col("b").alias("unit")), ["a", "unit"], "left_semi")
-    mixed = failed.select("band", "key").distinct()
-    near = first.filter("near").select("a", F.col("b").alias("unit"), F.lit(True).alias("near"))
-    left = led.join(mixed, ["band", "key"], "left_semi").join(near, ["a", "unit"], "left")
-    left = left.select("band", "key", "unit", (F.coalesce("near", F.lit(False)) | (F.col("a") == F.col("unit"))).alias("near"))
-    sampled = left.join(units.select("unit", "sample"), "unit")
-    more = sampled.groupBy("band", "key").applyInArrow(_likely, "a bigint, b bigint").distinct().join(first.select("a", "b"), ["a", "b"], "left_anti")
-    second = materialize(_verified(more, units, threshold).filter("near").select("a", "b"), "neardup-second")
-    return first.filter("near").select("a", "b").unionByName(second)
+    found = first.filter("near").select("a", "b")
+    open_ = materialize(led.join(first.filter("not near").select("a", F.col("b").alias("unit")), ["a", "unit"], "left_semi").select("band", "key", "unit", "n"), "neardup-open")
+    for nth in range(ROUNDS):
+        if open_.limit(1).count() == 0:
+            break
+        mixed = open_.select("band", "key").distinct()
+        state = led.join(mixed, ["band", "key"], "left_semi").select("band", "key", "unit", "n").join(open_.select("band", "key", "unit", F.lit(True).alias("open")), ["band", "key", "unit"], "left")
+        part = F.pmod(F.xxhash64("unit", F.lit(nth)), F.ceil(F.col("n") / PART).cast("int"))
+        sampled = state.select("band", "key", part.alias("part"), "unit", F.col("open").isNull().alias("settled")).join(units.select("unit", "sample"), "unit")
+        asked = sampled.groupBy("band", "key", "part").applyInArrow(_asking(nth), "a bigint, b bigint").distinct()
+        tried = materialize(_verified(asked, units, threshold), "neardup-tried")
+        found = found.unionByName(tried.filter("near").select("a", "b"))
+        # what is likely like some and was like none of them stays open
+        again = tried.groupBy(F.col("b").alias("unit")).agg(F.max("near").alias("near")).filter("not near").select("unit")
+        open_ = materialize(open_.join(again, "unit", "left_semi"), "neardup-open")
+    return found
 
 
 def components(edges: DataFrame) -> DataFrame:
