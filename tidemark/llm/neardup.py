@@ -27,6 +27,7 @@ belong together; a null id is never chosen as class id unless all are null.
 from __future__ import annotations
 
 import functools
+import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -253,6 +254,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 def release(spark: SparkSession) -> None:
     """Let Spark's cleaner drop the shuffle files of stages that nothing refers to any more."""
+    gc.collect()
     spark._jvm.System.gc()
 
 
@@ -264,7 +266,9 @@ def keep_first(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", *
     found = materialize(classes(docs, doc_id=doc_id, text=text, **options), "neardup-classes")
     first = found.filter("doc_id = class_id").groupBy("doc_id").agg(F.count("*").alias("n"))
     first = materialize(first.select(F.col("doc_id").alias(doc_id), "n"), "neardup-keep")
-    kept = docs.join(first.select(doc_id), doc_id, "left_semi")
+    release(docs.sparkSession)
+    # a merge join at every size: the ids kept grow with the input, so they are never sent to every executor
+    kept = docs.join(first.select(doc_id).hint("merge"), doc_id, "left_semi")
     again = first.filter("n > 1").select(doc_id)
     if again.limit(1).count():
         kept = kept.join(again, doc_id, "left_anti").unionByName(kept.join(again, doc_id, "left_semi").dropDuplicates([doc_id]))
