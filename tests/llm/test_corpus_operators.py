@@ -129,6 +129,9 @@ def test_classes_against_all_pairs(spark):
     docs = spark.createDataFrame([(*r, "c") for r in rows], SCHEMA + ", class_id string")
     got = neardup.classes(docs, block_bytes=20_000).collect()
     assert collections.Counter((r["doc_id"], r["class_id"]) for r in got) == brute_classes(rows)
+    copies = [(9000 - i, rows[-30][1] if i % 2 else rows[-29][1], "en") for i in range(400)]  # copies with larger ids share blocks with the first
+    again = neardup.classes(spark.createDataFrame(copies, SCHEMA), block_bytes=2000).collect()
+    assert collections.Counter((r["doc_id"], r["class_id"]) for r in again) == brute_classes(copies)
     kept = neardup.keep_first(docs)
     assert kept.columns == docs.columns
     want = {c for _, c in brute_classes(rows) if c is not None}

@@ -67,7 +67,7 @@ def _quantiles() -> tuple[np.ndarray, np.ndarray]:
 def samples(h: np.ndarray, weight: np.ndarray, start: np.ndarray, count: int = SAMPLES) -> np.ndarray:
     """Consistent weighted samples, as 32-bit marks of (shingle, level): a row for each set, which begin at ``start``."""
     gamma, log_gamma = _quantiles()
-    log_w = np.log(weight).astype(np.float32)
+    log_w = (np.round(np.log(weight) * (1 << 16)) / (1 << 16)).astype(np.float32)  # the last bits of log() vary with the place in an array
     low32 = U(0xFFFFFFFF)
     out = np.empty((len(start), count), np.uint32)
     for k in range(count):
@@ -96,9 +96,10 @@ class _Block:
     def __init__(self, left: pa.Table, right: pa.Table, words: int):
         wanted = {k for keys in right.column("keys").to_pylist() if keys for k in keys}
         take = []
-        for i, d in enumerate(left.column("digest").to_pylist()):
-            if d in wanted:
-                wanted.discard(d)  # a repeated row comes once
+        for i, d in enumerate(zip(left.column("unit").to_pylist(), left.column("digest").to_pylist(), strict=True)):
+            mark = f"{d[0]}|{d[1]}"
+            if mark in wanted:
+                wanted.discard(mark)  # a repeated row comes once, a copy with another id not at all
                 take.append(i)
         own = left.take(pa.array(take, pa.int64()))
         self.unit = own.column("unit").to_numpy()
@@ -109,7 +110,8 @@ class _Block:
 
 
 def _weights(df: np.ndarray, tf: np.ndarray, units: int, smooth: float) -> np.ndarray:
-    return tf * (1 + smooth * np.log(units / df) / np.log(units + 1))
+    """In steps of 2**-20, so that a shingle weighs the same wherever it is computed."""
+    return tf * (np.round((1 + smooth * np.log(units / df) / np.log(units + 1)) * (1 << 20)) / (1 << 20))
 
 
 def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
@@ -131,7 +133,7 @@ def sampled_units(docs: DataFrame, firsts: DataFrame, *, blocks: int, words: int
     place = ["unit", "digest"]
     blocked = docs.select(G.block_of(*place, blocks=blocks).alias("block"), *place, "text")
     null = lambda kind: F.lit(None).cast(kind)
-    known = firsts.groupBy(G.block_of(*place, blocks=blocks).alias("block")).agg(F.collect_list("digest").alias("keys"))
+    known = firsts.groupBy(G.block_of(*place, blocks=blocks).alias("block")).agg(F.collect_list(F.concat_ws("|", F.col("unit").cast("string"), F.col("digest"))).alias("keys"))
     known = known.select("block", F.lit(-1).alias("kind"), null("int").alias("bucket"), null("bigint").alias("total"), null("binary").alias("blob"), "keys")
 
     def grams(left: pa.Table, right: pa.Table) -> tuple[int, list[tuple[np.ndarray, np.ndarray]]]:
