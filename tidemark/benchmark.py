@@ -1,0 +1,34 @@
+"""Benchmark protocol: generators fitted on training learners, compared with held-out ones."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from tidemark.functions.randomness import derive_seed
+from tidemark.operators import generate, validation
+
+
+def as_events(sample: DataFrame) -> DataFrame:
+    """A generated sample as sessionized events, a minute apart where it has no times."""
+    at = F.col("at_s") if "at_s" in sample.columns else F.col("pos") * 60.0
+    return sample.select(
+        F.concat_ws("-", "session_id", F.lpad(F.col("pos").cast("string"), 6, "0")).alias("event_id"), F.col("session_id").alias("learner_id"),
+        F.timestamp_micros((at * 1e6).cast("bigint")).alias("timestamp"), "session_id", F.col("token").alias("activity_id"), F.col("token").alias("event_type"), "token",
+    )
+
+
+def run(seq: DataFrame, *, generators: tuple[str, ...] = ("markov", "semi_markov", "independent"), fraction: float = 0.3, repeats: int = 3, n_sessions: int = 500, seed: int = 0) -> DataFrame:
+    """(generator, metric, mean, std, min, max); 'reference' compares held-out with training learners; std is the sample's, 0 for one."""
+    split = validation.split_by_learner(seq, fraction, seed)
+    named = seq.join(F.broadcast(split), "learner_id")
+    columns = ["event_id", "learner_id", "timestamp", "session_id", "activity_id", "event_type", "token"]
+    train, holdout = named.filter("not holdout").select(columns).persist(), named.filter("holdout").select(columns).persist()
+    model = generate.fit(train)
+    out = validation.validate(train, holdout).withColumn("generator", F.lit("reference"))
+    for name in generators:
+        for k in range(repeats):
+            sample = as_events(generate.GENERATORS[name](model, n_sessions, derive_seed(seed, name, str(k))))
+            out = out.unionByName(validation.validate(train, sample.select(columns)).withColumn("generator", F.lit(name)))
+    v = F.col("value")
+    return out.groupBy("generator", "metric").agg(F.round(F.avg(v), 6).alias("mean"), F.round(F.coalesce(F.stddev_samp(v), F.lit(0.0)), 6).alias("std"), F.round(F.min(v), 6).alias("min"), F.round(F.max(v), 6).alias("max"))

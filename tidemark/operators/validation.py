@@ -9,7 +9,12 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import distances as D
 from tidemark.functions.randomness import uniform
-from tidemark.operators.sequences import START, in_session
+from tidemark.operators.sequences import START
+
+
+def in_session() -> Window:
+    """Both logs may use the same session ids."""
+    return Window.partitionBy("side", "session_id").orderBy("timestamp", "event_id")
 
 
 def both(a: DataFrame, b: DataFrame) -> DataFrame:
