@@ -71,4 +71,44 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_lm_scores, op2_byte_bpe, op3_quality_rules, op4_token_shards, op5_byte_shards, op6_url_reputation, op7_near_duplicates, op8_warc_segments, op9_decontamination, op10_pii_pseudonyms)
 }
 
-ORACLE_SQL: dict[str, str] = {}
+_LOW = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_WORDS = "regexp_extract_all(" + _LOW + r", '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+_OP8 = """WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages), d AS (SELECT page_id, strlen(h) AS n, sha256(h) AS g FROM p),
+ f AS (SELECT g, min(page_id) AS first FROM d WHERE n >= 100 GROUP BY g)
+SELECT d.page_id, CAST(n AS BIGINT) AS payload_bytes, d.g AS payload_digest, CASE WHEN f.first < d.page_id THEN 'revisit' ELSE 'response' END AS record_type,
+ CASE WHEN f.first < d.page_id THEN f.first END AS refers_to FROM d LEFT JOIN f ON f.g = d.g AND d.n >= 100"""
+
+_OP9 = f"""WITH d AS (SELECT doc_id, {_WORDS.format("coalesce(text, '')")} AS w FROM documents), b AS (SELECT item_id, {_WORDS.format("coalesce(text, '')")} AS w FROM benchmark),
+ bi AS (SELECT item_id, w, unnest(generate_series(1, greatest(1, len(w) - 9))) AS i FROM b WHERE len(w) > 0),
+ win AS (SELECT DISTINCT item_id, least(10, len(w)) AS k, array_to_string(list_slice(w, i, i + 9), ' ') AS g FROM bi),
+ ks AS (SELECT DISTINCT k FROM win),
+ di AS (SELECT doc_id, w, k, unnest(generate_series(1, len(w) - k + 1)) AS i FROM d, ks WHERE len(w) >= k),
+ g AS (SELECT doc_id, k, i, array_to_string(list_slice(w, i, i + k - 1), ' ') AS g FROM di),
+ h AS (SELECT g.doc_id, g.i, g.k, win.item_id FROM g JOIN win ON win.k = g.k AND win.g = g.g),
+ c AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(generate_series(i, i + k - 1)) AS p FROM h) GROUP BY doc_id),
+ t AS (SELECT doc_id, count(*) AS n_items, string_agg(s, ',' ORDER BY s) AS names FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS s FROM h) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, coalesce(c.n_hit, 0) AS n_hit, coalesce(t.n_items, 0) AS n_items, sha256(coalesce(t.names, '')) AS items_sha256, coalesce(c.n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN c ON c.doc_id = d.doc_id LEFT JOIN t ON t.doc_id = d.doc_id"""
+
+
+def _strength_sql(table: str) -> str:
+    """Prior strength of a level in SQL, as in reputation._strength."""
+    return f"""(SELECT 1 / least(0.5, greatest(0.001, CASE WHEN m < 2 OR n <= m THEN 0.5 WHEN bt + (sz - 1) * wi > 0 THEN (bt - wi) / (bt + (sz - 1) * wi) ELSE 0 END)) - 1 FROM (SELECT m, n, (npp - n * (b / n) * (b / n)) / nullif(m - 1, 0) AS bt, (b - npp) / nullif(n - m, 0) AS wi, (n - nn / n) / nullif(m - 1, 0) AS sz FROM (SELECT CAST(count(*) AS DOUBLE) AS m, CAST(sum(n) AS DOUBLE) AS n, CAST(sum(b) AS DOUBLE) AS b, CAST(sum(n * n) AS DOUBLE) AS nn, sum(b * b / CAST(n AS DOUBLE)) AS npp FROM {table} WHERE n > 0)))"""
+
+
+_OP6 = f"""WITH u AS (SELECT page_id, {_LOW.format("regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1)")} AS host, regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path FROM pages),
+ l AS (SELECT doc_id, max(CASE WHEN quality = 0 THEN 1 ELSE 0 END) AS bad FROM labels GROUP BY doc_id),
+ h0 AS (SELECT host, count(bad) AS n, coalesce(sum(bad), 0) AS b FROM u LEFT JOIN l ON l.doc_id = u.page_id WHERE host <> '' GROUP BY host),
+ h AS (SELECT *, regexp_extract(host, '([^.]*[.])?[^.]*$') AS domain FROM h0),
+ d AS (SELECT domain, sum(n) AS n, sum(b) AS b, regexp_extract(domain, '[^.]*$') AS suffix FROM h GROUP BY domain), s AS (SELECT suffix, sum(n) AS n, sum(b) AS b FROM d GROUP BY suffix),
+ k AS (SELECT {_strength_sql("h")} AS kh, {_strength_sql("d")} AS kd, {_strength_sql("s")} AS ks, (SELECT (sum(b) + 0.5) / (sum(n) + 1) FROM s) AS root),
+ sm AS (SELECT suffix, (b + ks * root) / (n + ks) AS above FROM s CROSS JOIN k), dm AS (SELECT domain, (b + kd * above) / (n + kd) AS above FROM d JOIN sm ON sm.suffix = d.suffix CROSS JOIN k),
+ p AS (SELECT host, (b + kh * above) / (n + kh) AS mean, n + kh AS total FROM h JOIN dm ON dm.domain = h.domain CROSS JOIN k),
+ bl AS (SELECT host FROM p WHERE mean - 1.645 * sqrt(mean * (1 - mean) / (total + 1)) > 0.3),
+ r AS (SELECT * FROM (VALUES ('block', 'com/en/', 'com', '/en/'), ('allow', 'example.com/en/7', 'example.com', '/en/7'), ('allow', 'net/de/', 'net', '/de/'), ('block', 'example.net/de/8', 'example.net', '/de/8'), ('block', 'org/es/', 'org', '/es/')) t(verdict, rule, rh, rp)),
+ f AS (SELECT u.page_id, r.rule, r.verdict, row_number() OVER (PARTITION BY u.page_id ORDER BY length(r.rule) DESC, r.rule) AS x FROM u JOIN r ON (u.host = r.rh OR ends_with(u.host, '.' || r.rh)) AND starts_with(u.path, r.rp))
+SELECT u.page_id, u.host, u.path, f.rule, coalesce(f.verdict, CASE WHEN bl.host IS NOT NULL THEN 'block' ELSE 'allow' END) AS verdict FROM u LEFT JOIN f ON f.page_id = u.page_id AND f.x = 1 LEFT JOIN bl ON bl.host = u.host"""
+
+#: Digests of tokens, estimated accuracies, checksums, permutations and similarity classes are not expressible; those queries are held against brute force in the tests.
+ORACLE_SQL: dict[str, str] = {"op6_url_reputation": _OP6, "op8_warc_segments": _OP8, "op9_decontamination": _OP9}
