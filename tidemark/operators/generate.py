@@ -7,10 +7,13 @@ of their size.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.randomness import pick, uniform
+from tidemark.functions.randomness import SEPARATOR, pick, uniform
+from tidemark.functions.ranking import seeded_rank
 from tidemark.operators.sequences import START, in_session, transitions
 
 #: Rows that a model table may have to be sent to every executor.
@@ -25,14 +28,25 @@ def _cumulative(counts: DataFrame, key: str, value: str = "token") -> DataFrame:
     return rows.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("cum", F.col(value).alias("token")))).alias("cumulative"))
 
 
-def fit(seq: DataFrame) -> dict[str, DataFrame]:
-    """Token, length, first-order transition and per-token gap tables."""
+def supported_order(seq: DataFrame, order: int, backoff: bool = False) -> int:
+    """The order if some session is longer than it; else an error or, with ``backoff``, one less than the longest, one at least."""
+    longest = seq.groupBy("session_id").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    if longest > order:
+        return order
+    if not backoff:
+        raise ValueError(f"order {order} needs sessions longer than {order} events; the longest has {longest}")
+    return max(longest - 1, 1)
+
+
+def fit(seq: DataFrame, order: int = 1) -> dict[str, DataFrame]:
+    """Token, length and per-token gap tables, and the transitions of all orders up to ``order``."""
+    every = [transitions(seq, k, SEPARATOR) for k in range(1, order + 1)]
     lengths = seq.groupBy("session_id").agg(F.count("*").alias("len")).groupBy("len").agg(F.count("*").alias("n"))
     gap = (F.lead(F.unix_micros("timestamp")).over(in_session()) - F.unix_micros("timestamp")) / 1e6
     return {
         "tokens": seq.groupBy("token").agg(F.count("*").alias("n")),
         "lengths": lengths,
-        "transitions": transitions(seq, 1),
+        "transitions": reduce(DataFrame.unionByName, every),
         "gaps": seq.select("token", gap.alias("gap_s")).filter("gap_s is not null").groupBy("token").agg(F.count("*").alias("n"), F.percentile("gap_s", F.array(*(F.lit(i / 16) for i in range(17)))).alias("sketch")),
     }
 
@@ -51,8 +65,8 @@ def independent(model: dict[str, DataFrame], n_sessions: int, seed: int = 0) ->
     return rows.join(F.broadcast(tokens), F.lit(True)).select(F.format_string("S%06d", "i").alias("session_id"), "pos", pick(F.col("cumulative"), uniform(seed, "token", F.col("i"), F.col("pos"))).alias("token"))
 
 
-def markov(model: dict[str, DataFrame], n_sessions: int, seed: int = 0) -> DataFrame:
-    """(session_id, pos, token): a first-order chain from the start mark; a context without successors falls back to all tokens."""
+def markov(model: dict[str, DataFrame], n_sessions: int, seed: int = 0, order: int = 1) -> DataFrame:
+    """(session_id, pos, token): a chain from start marks; the longest known context decides, and without any all tokens are drawn from."""
     table = _cumulative(model["transitions"], "context")
     size = table.count()
     if size > MOST_MODEL_ROWS:
@@ -60,14 +74,16 @@ def markov(model: dict[str, DataFrame], n_sessions: int, seed: int = 0) -> DataF
     chain = table.agg(F.map_from_entries(F.collect_list(F.struct("context", "cumulative"))).alias("table"))
     marginal = _cumulative(model["tokens"].withColumn("k", F.lit(0)), "k").select(F.col("cumulative").alias("any"))
     base = _skeleton(model, n_sessions, seed).join(F.broadcast(chain), F.lit(True)).join(F.broadcast(marginal), F.lit(True))
-    step = lambda path, pos: F.concat(path, F.array(pick(F.coalesce(F.try_element_at("table", F.element_at(path, -1)), F.col("any")), uniform(seed, "token", F.col("i"), pos))))
-    walked = base.select(F.format_string("S%06d", "i").alias("session_id"), F.aggregate(F.sequence(F.lit(1), "len"), F.array(F.lit(START)), step).alias("path"))
-    return walked.select("session_id", F.posexplode("path").alias("pos", "token")).filter("pos > 0")
+    known = lambda path: [F.try_element_at("table", F.array_join(F.slice(path, -k, k), SEPARATOR)) for k in range(order, 0, -1)]
+    step = lambda path, pos: F.concat(path, F.array(pick(F.coalesce(*known(path), F.col("any")), uniform(seed, "token", F.col("i"), pos))))
+    starts = F.array(*(F.lit(START) for _ in range(order)))
+    walked = base.select(F.format_string("S%06d", "i").alias("session_id"), F.aggregate(F.sequence(F.lit(1), "len"), starts, step).alias("path"))
+    return walked.select("session_id", F.posexplode("path").alias("pos", "token")).filter(F.col("pos") >= order).withColumn("pos", F.col("pos") - (order - 1))
 
 
-def semi_markov(model: dict[str, DataFrame], n_sessions: int, seed: int = 0) -> DataFrame:
+def semi_markov(model: dict[str, DataFrame], n_sessions: int, seed: int = 0, order: int = 1) -> DataFrame:
     """As markov(), with seconds since the start: gaps follow the token before, read off its quantile sketch."""
-    path = markov(model, n_sessions, seed)
+    path = markov(model, n_sessions, seed, order)
     u = uniform(seed, "gap", F.col("session_id"), F.col("pos")) * 16
     at = F.floor(u).cast("int")
     low, high = F.get("sketch", at), F.get("sketch", F.least(at + 1, F.lit(16)))
@@ -94,9 +110,9 @@ def scale_lengths(lengths: DataFrame, factor: float) -> DataFrame:
 def anomaly_quota(seq: DataFrame, rate: float, seed: int, least: int = 2) -> DataFrame:
     """A seeded choice of round-half-even(rate * sessions) sessions of at least ``least`` events."""
     own = seq.groupBy("session_id").agg(F.count("*").alias("n_events"))
-    total = own.agg(F.count("*").alias("n")).select(F.bround(F.col("n") * rate).cast("int").alias("quota"))
-    rank = F.row_number().over(Window.orderBy(uniform(seed, "anomaly", F.col("session_id")), "session_id"))
-    return own.filter(F.col("n_events") >= least).withColumn("rank", rank).join(F.broadcast(total), F.col("rank") <= F.col("quota")).select("session_id", "n_events")
+    total = own.agg(F.bround(F.count("*") * rate).cast("int").alias("quota"))
+    ranked = seeded_rank(own.filter(F.col("n_events") >= least), uniform(seed, "anomaly", F.col("session_id")), "session_id")
+    return ranked.join(F.broadcast(total), F.col("rank") <= F.col("quota")).select("session_id", "n_events")
 
 
 def abnormal_timing(seq: DataFrame, chosen: DataFrame, factor: float) -> DataFrame:

@@ -28,10 +28,10 @@ def rare_ngrams(counts: DataFrame, max_count: int = 1) -> DataFrame:
     return counts.filter(F.col("n") <= max_count)
 
 
-def transitions(seq: DataFrame, order: int = 1) -> DataFrame:
+def transitions(seq: DataFrame, order: int = 1, separator: str = " > ") -> DataFrame:
     """(context, token, n); contexts are padded on the left, no end is added."""
     w = in_session()
-    context = F.concat_ws(" > ", *(F.coalesce(F.lag("token", k).over(w), F.lit(START)) for k in range(order, 0, -1)))
+    context = F.concat_ws(separator, *(F.coalesce(F.lag("token", k).over(w), F.lit(START)) for k in range(order, 0, -1)))
     return seq.select(context.alias("context"), "token").groupBy("context", "token").agg(F.count("*").alias("n"))
 
 
@@ -64,6 +64,13 @@ def top_edges(graph: DataFrame, n: int = 10) -> DataFrame:
     return graph.orderBy(F.desc("n"), "src", "dst").limit(n)
 
 
+def transition_matrix(seq: DataFrame, top: int = 12) -> DataFrame:
+    """(src, dst, p): successors among the ``top`` most frequent tokens, shares of each row inside them."""
+    frequent = seq.groupBy("token").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "token").limit(top).select("token")
+    inside = edges(seq).join(F.broadcast(frequent.select(F.col("token").alias("src"))), "src").join(F.broadcast(frequent.select(F.col("token").alias("dst"))), "dst")
+    return inside.select("src", "dst", F.round(F.col("n") / F.sum("n").over(Window.partitionBy("src")), 6).alias("p"))
+
+
 def self_loop_share(graph: DataFrame) -> DataFrame:
     return graph.agg(F.round(F.try_divide(F.sum(F.when(F.col("src") == F.col("dst"), F.col("n")).otherwise(0)), F.sum("n")), 6).alias("share"))
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import distances as D
 from tidemark.functions.randomness import uniform
+from tidemark.functions.ranking import seeded_rank
 from tidemark.operators.sequences import START
 
 
@@ -151,7 +152,7 @@ def clustering(labels: DataFrame) -> DataFrame:
 
 def split_by_learner(events: DataFrame, fraction: float = 0.3, seed: int = 0) -> DataFrame:
     """(learner_id, holdout): a seeded share of the learners, at least one on either side."""
-    learners = events.select("learner_id").distinct().withColumn("u", uniform(seed, "split", F.col("learner_id")))
-    n = F.count("*").over(D.whole())
-    rank = F.row_number().over(Window.orderBy("u", "learner_id"))
-    return learners.select("learner_id", (rank <= F.greatest(F.lit(1), F.least(F.ceil(n * fraction), n - 1))).alias("holdout"))
+    learners = events.select("learner_id").distinct()
+    ranked = seeded_rank(learners, uniform(seed, "split", F.col("learner_id")), "learner_id")
+    n = learners.agg(F.count("*").alias("n")).select(F.greatest(F.lit(1), F.least(F.ceil(F.col("n") * fraction), F.col("n") - 1)).alias("most"))
+    return ranked.join(F.broadcast(n), F.lit(True)).select("learner_id", (F.col("rank") <= F.col("most")).alias("holdout"))

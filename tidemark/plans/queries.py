@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,7 +11,9 @@ from pyspark.sql import functions as F
 from tidemark import log
 from tidemark.functions import distances as D
 from tidemark.functions.randomness import uniform
+from tidemark.operators import calendar as C
 from tidemark.operators import generate as G
+from tidemark.operators import manipulation as M
 from tidemark.operators import profile as P
 from tidemark.operators import sequences as Q
 from tidemark.operators import sessionize as S
@@ -431,6 +434,73 @@ def _(spark, d):
     return G.repetition(s, G.anomaly_quota(s, 0.05, 9))
 
 
+_POS = f"row_number() OVER (PARTITION BY s.session_id ORDER BY s.ts, s.event_id) AS r, floor({_u(5, chr(39) + 'position' + chr(39), 's.session_id')} * q.n_events) + 1 AS p"
+
+
+@query("anomaly_event_frequency", f"+{_PICK}, z AS (SELECT s.*, {_POS} FROM seq s JOIN q ON q.session_id = s.session_id) SELECT session_id, event_id, token, CAST(us + CASE WHEN r > p THEN 180000000 ELSE 0 END AS BIGINT) AS new_us, false AS inserted FROM z UNION ALL SELECT session_id, event_id || '+' || CAST(k AS VARCHAR), 'view', CAST(us + k * 9000000 AS BIGINT), true FROM z CROSS JOIN generate_series(1, 20) AS t(k) WHERE r = p")
+def _(spark, d):
+    s = seq(spark, d)
+    return M.event_frequency(s, G.anomaly_quota(s, 0.1, 7), "view", 20, 180, seed=5)
+
+
+@query("anomaly_unexpected_transition", f"+{_PICK}, v AS (SELECT DISTINCT activity_id AS t FROM ev), b AS (SELECT DISTINCT activity_id AS src, lead(activity_id) OVER {_W} AS dst FROM seq), c AS (SELECT x.t AS src, y.t AS dst, row_number() OVER (ORDER BY x.t, y.t) - 1 AS pair FROM v x CROSS JOIN v y LEFT JOIN b ON b.src = x.t AND b.dst = y.t WHERE b.src IS NULL), z AS (SELECT s.*, c.src, c.dst, {_POS} FROM seq s JOIN q ON q.session_id = s.session_id JOIN c ON c.pair = floor({_u(5, chr(39) + 'pair' + chr(39), 's.session_id')} * (SELECT count(*) FROM c))) SELECT session_id, event_id, activity_id AS token, CAST(us + CASE WHEN r > p THEN 120000000 ELSE 0 END AS BIGINT) AS new_us, false AS inserted FROM z UNION ALL SELECT session_id, event_id || '+' || CAST(k AS VARCHAR), CASE WHEN k = 1 THEN src ELSE dst END, CAST(us + k * 60000000 AS BIGINT), true FROM z CROSS JOIN generate_series(1, 2) AS t(k) WHERE r = p")
+def _(spark, d):
+    s = Q.tokens(seq(spark, d), "activity_id")
+    return M.unexpected_transition(s, G.anomaly_quota(s, 0.1, 7), 60, seed=5)
+
+
+def _share(token: str, side: str) -> str:
+    return f"coalesce(count(CASE WHEN side = '{side}' AND token = '{token}' THEN 1 END) / count(CASE WHEN side = '{side}' THEN 1 END), 0)"
+
+
+def _median(token: str, side: str) -> str:
+    return f"median(CASE WHEN side = '{side}'" + (f" AND token = '{token}'" if token != "*" else "") + " THEN gap_s END)"
+
+
+_MEAN = "CAST(count(CASE WHEN side = '{0}' THEN 1 END) AS DOUBLE) / count(CASE WHEN side = '{0}' AND gap_s IS NULL THEN 1 END)"
+_ITEMS = [("event_weights", "click", _share("click", "a"), _share("click", "b"), "c < b"), ("event_weights", "error", _share("error", "a"), _share("error", "b"), "c = 0"), ("event_weights", "view", _share("view", "a"), _share("view", "b"), "c > b"), ("dwell_scale", "*", _median("*", "a"), _median("*", "b"), "abs(c / b / 1.0 - 1) <= 0.2"), ("dwell_scale", "view", _median("view", "a"), _median("view", "b"), "abs(c / b / 2.0 - 1) <= 0.2"), ("session_length", "scale", _MEAN.format("a"), _MEAN.format("b"), "abs(c / b / 1.0 - 1) <= 0.2")]
+
+
+@query("manipulation_check", f"+h AS (SELECT side, session_id, token, (lead(us) OVER {_W} - us) / 1e6 AS gap_s FROM seq) " + " UNION ALL ".join(f"SELECT '{control}' AS control, '{target}' AS target, round(b, 6) AS before, round(c, 6) AS after, CASE WHEN {right} THEN 'ok' ELSE 'failed' END AS status FROM (SELECT {b} AS b, {c} AS c FROM h)" for control, target, b, c, right in _ITEMS))
+def _(spark, d):
+    s = halves(spark, d)
+    return M.check_controls(s.filter("side = 'a'"), s.filter("side = 'b'"), {"view": 1.5, "error": 0.0, "click": 0.5, "signup": 1.0}, {"view": 2.0, "*": 1.0}, 1.0)
+
+
+#: Office hours of working days in three weeks, shorter than the log.
+_OFFICE = C.Calendar(date(2024, 1, 1), 21, tuple(float(8 <= h < 18) for h in range(24)), (1.0,) * 5 + (0.0,) * 2, deadlines=(C.Deadline(date(2024, 1, 15), 2.0),))
+
+
+@query("calendar_next_allowed", "+o AS (SELECT s AS b, s + INTERVAL 1 HOUR AS e FROM generate_series(TIMESTAMP '2024-01-01', TIMESTAMP '2024-01-21 23:00:00', INTERVAL 1 HOUR) AS t(s) WHERE hour(s) BETWEEN 8 AND 17 AND isodow(s) < 6) SELECT session_id, CAST(coalesce(greatest(epoch_us(o.b), start_us), start_us) AS BIGINT) AS next_us FROM ses ASOF LEFT JOIN o ON ses.start_ts < o.e")
+def _(spark, d):
+    return ses(spark, d).select("session_id", F.unix_micros(_OFFICE.next_allowed(F.col("start_time"))).alias("next_us"))
+
+
+_DAYS = "p AS (SELECT isodow(s) - 1 AS k, sum(CASE WHEN isodow(s) > 5 THEN 0.0 WHEN s BETWEEN TIMESTAMP '2024-01-12' AND TIMESTAMP '2024-01-15' THEN 2.0 ELSE 1.0 END) AS w FROM generate_series(TIMESTAMP '2024-01-01', TIMESTAMP '2024-01-21', INTERVAL 1 DAY) AS t(s) GROUP BY 1 UNION ALL SELECT 100 + i, CASE WHEN i BETWEEN 8 AND 17 THEN 1.0 ELSE 0.0 END FROM generate_series(0, 23) AS t(i)), n AS (SELECT count(*) AS n FROM ses), x AS (SELECT isodow(start_ts) - 1 AS k, count(*) AS c FROM ses GROUP BY 1 UNION ALL SELECT 100 + hour(start_ts), count(*) FROM ses GROUP BY 1), dv AS (SELECT p.k >= 100 AS hours, sum(abs(coalesce(x.c, 0) / n.n - p.w / t.w)) / 2 AS m, greatest(0.1, 0.75 * sqrt(count(*) / max(n.n))) AS b FROM p JOIN (SELECT k >= 100 AS hours, sum(w) AS w FROM p GROUP BY 1) t ON t.hours = (p.k >= 100) LEFT JOIN x ON x.k = p.k CROSS JOIN n GROUP BY 1)"
+
+
+@query("calendar_check", f"+{_DAYS}, i AS (SELECT 'calendar' AS control, 'period' AS target, CAST(count(CASE WHEN CAST(start_ts AS DATE) NOT BETWEEN DATE '2024-01-01' AND DATE '2024-01-22' THEN 1 END) AS DOUBLE) AS m, 0.0::DOUBLE AS b FROM ses UNION ALL SELECT 'calendar.hours', 'closed', CAST(count(CASE WHEN hour(start_ts) NOT BETWEEN 8 AND 17 THEN 1 END) AS DOUBLE), 0.0 FROM ses UNION ALL SELECT CASE WHEN hours THEN 'calendar.hours' ELSE 'calendar.weekdays' END, 'distribution', m, b FROM dv) SELECT control, target, round(m, 6) AS measured, round(b, 6) AS bound, CASE WHEN m <= b THEN 'ok' ELSE 'failed' END AS status FROM i")
+def _(spark, d):
+    return _OFFICE.check(ses(spark, d))
+
+
+@query("calendar_starts")
+def _(spark, d):
+    return spark.range(500).select(F.col("id").alias("session"), F.unix_micros(_OFFICE.sample(11, F.col("id"))).alias("start_us"))
+
+
+@query("transition_matrix", f"+f AS (SELECT activity_id AS t FROM ev GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 12), b AS (SELECT activity_id AS src, lead(activity_id) OVER {_W} AS dst FROM seq) SELECT src, dst, round(count(*) / sum(count(*)) OVER (PARTITION BY src), 6) AS p FROM b JOIN f ON f.t = b.src JOIN f g ON g.t = b.dst GROUP BY 1, 2")
+def _(spark, d):
+    return Q.transition_matrix(Q.tokens(seq(spark, d), "activity_id"))
+
+
+@query("generate_markov_3")
+def _(spark, d):
+    s = seq(spark, d)
+    order = G.supported_order(s, 3, backoff=True)
+    return G.markov(G.fit(s, order), 500, seed=11, order=order)
+
+
 def _generated(name: str):
     def run(spark, d):
         return G.GENERATORS[name](G.fit(seq(spark, d)), 500, seed=11)

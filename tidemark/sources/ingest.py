@@ -7,6 +7,9 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions.randomness import uniform
+from tidemark.functions.ranking import seeded_rank
+
 TRUE, FALSE = ("true", "t", "yes", "y", "1"), ("false", "f", "no", "n", "0")
 REQUIRED = ("learner_id", "timestamp", "activity_id", "event_type")
 KINDS = {"event_id": "string", "learner_id": "string", "timestamp": "timestamp", "session_id": "string", "activity_id": "string", "event_type": "string", "course_id": "string", "score": "double", "success": "boolean", "duration_ms": "bigint"}
@@ -139,8 +142,6 @@ def strip_metadata(events: DataFrame, *keys: str) -> DataFrame:
 
 def remap_ids(events: DataFrame, seed: int) -> DataFrame:
     """(learner_id, new_id): shuffled L-numbers."""
-    from tidemark.functions.randomness import uniform
-
     learners = events.select("learner_id").distinct()
-    rank = F.row_number().over(Window.orderBy(uniform(seed, "remap", F.col("learner_id")), "learner_id"))
-    return learners.select("learner_id", F.concat(F.lit("L"), F.lpad(rank.cast("string"), 6, "0")).alias("new_id"))
+    ranked = seeded_rank(learners, uniform(seed, "remap", F.col("learner_id")), "learner_id")
+    return ranked.select("learner_id", F.format_string("L%06d", "rank").alias("new_id"))
