@@ -14,7 +14,9 @@ from tidemark.functions.randomness import uniform
 from tidemark.operators import calendar as C
 from tidemark.operators import generate as G
 from tidemark.operators import manipulation as M
+from tidemark.operators import memorisation as R
 from tidemark.operators import profile as P
+from tidemark.operators import profiles as K
 from tidemark.operators import sequences as Q
 from tidemark.operators import sessionize as S
 from tidemark.operators import validation as V
@@ -512,6 +514,67 @@ for _name in G.GENERATORS:
     query(f"generate_{_name}")(_generated(_name))
 
 
+def _sides(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Sessions of either half."""
+    s = ses(spark, d)
+    b = F.col("learner_id").cast("bigint") % 10 < 3
+    return s.filter(~b), s.filter(b)
+
+
+@query("session_exposure", "+k AS (SELECT path, count(*) AS known FROM ses WHERE side = 'a' GROUP BY 1) SELECT count(*) AS n_sessions, round(avg(CASE WHEN known >= 1 THEN 1.0 ELSE 0 END), 6) AS match_rate, round(avg(CASE WHEN known = 1 THEN 1.0 ELSE 0 END), 6) AS unique_match_rate FROM ses LEFT JOIN k ON k.path = ses.path WHERE side = 'b' AND n_events >= 3")
+def _(spark, d):
+    return R.session_exposure(*_sides(spark, d))
+
+
+@query("trajectory_match", "+t AS (SELECT learner_id, any_value(side) AS side, count(*) AS n, string_agg(path, ' | ' ORDER BY start_us, session_id) AS way FROM ses GROUP BY 1) SELECT count(*) AS n_learners, round(avg(CASE WHEN way IN (SELECT way FROM t WHERE side = 'a') THEN 1.0 ELSE 0 END), 6) AS match_rate FROM t WHERE side = 'b' AND n >= 2")
+def _(spark, d):
+    return R.trajectory_match(*_sides(spark, d))
+
+
+@query("duration_histogram", "+e AS (SELECT min(duration_s) AS lo, max(duration_s) AS hi FROM ses) SELECT side, CAST(least(29, floor((duration_s - lo) / (hi - lo) * 30)) AS INTEGER) AS bin, count(*) AS n FROM ses CROSS JOIN e GROUP BY 1, 2")
+def _(spark, d):
+    a, b = _sides(spark, d)
+    return R.shared_histogram(a.withColumn("side", F.lit("a")).unionByName(b.withColumn("side", F.lit("b"))), "duration_s", "side")
+
+
+@query("unique_sessions", "SELECT session_id FROM ses WHERE path IN (SELECT path FROM ses GROUP BY 1 HAVING count(*) = 1)")
+def _(spark, d):
+    return R.rarest(ses(spark, d)).select("session_id")
+
+
+@query("recall_by_kind", "SELECT d.source AS kind, count(*) AS n, round(avg(CASE WHEN d.doc_id % 17 >= 9 THEN 1.0 ELSE 0 END), 6) AS recall FROM documents d JOIN (SELECT DISTINCT doc_id FROM labels WHERE quality = 0) l ON l.doc_id = d.doc_id GROUP BY 1", "")
+def _(spark, d):
+    docs = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", F.col("source").alias("kind"))
+    bad = spark.read.parquet(f"{d}/labels.parquet").filter("quality = 0").select("doc_id")
+    return R.recall_by(docs.join(bad, "doc_id", "left_semi"), docs.filter("doc_id % 17 >= 9"), "doc_id", "kind")
+
+
+@query("unknown_predictions", "SELECT doc_id FROM labels EXCEPT SELECT doc_id FROM documents WHERE lang <> 'de'", "")
+def _(spark, d):
+    docs = spark.read.parquet(f"{d}/documents.parquet").filter("lang <> 'de'")
+    return R.unknown_ids(spark.read.parquet(f"{d}/labels.parquet"), docs, "doc_id")
+
+
+@query("closest_learner", f"+{_LF}, z AS (SELECT learner_id, CAST(learner_id AS BIGINT) % 10 < 3 AS b, " + ", ".join(f"round(greatest(-3.0, least(3.0, ({c} - avg({c}) OVER ()) / CASE WHEN stddev_pop({c}) OVER () = 0 THEN 1.0 ELSE stddev_pop({c}) OVER () END)), 5) AS {c}" for c in _LC) + " FROM lf), f AS (SELECT * FROM z WHERE NOT b ORDER BY " + _u(17, "'reference'", "learner_id") + ", learner_id LIMIT 500) SELECT z.learner_id, round(sqrt(min(" + " + ".join(f"(z.{c} - f.{c}) * (z.{c} - f.{c})" for c in _LC) + ")), 5) AS distance FROM z CROSS JOIN f WHERE z.b GROUP BY 1")
+def _(spark, d):
+    """Distances of one half's learners to the closest of a seeded sample of 500 learners of the other: a sampling operator."""
+    z = P.standardize(P.learner_features(ses(spark, d), events(spark, d), _TYPES), "learner_id")
+    b = F.col("learner_id").cast("bigint") % 10 < 3
+    sample = z.filter(~b).orderBy(uniform(17, "reference", F.col("learner_id")), "learner_id").limit(500)
+    return R.closest(z.filter(b), sample, "learner_id")
+
+
+@query("assigned_profiles")
+def _(spark, d):
+    s = seq(spark, d)
+    return K.fit_profiles(s, 2, _TYPES, seed=7, least=1).assign(s)
+
+
+@query("generate_profiles")
+def _(spark, d):
+    return K.fit_profiles(seq(spark, d), 2, _TYPES, seed=7, least=1).generate(300, seed=3)
+
+
 @query("scaled_lengths", "+l AS (SELECT n_events AS len, count(*) AS n FROM ses GROUP BY 1) SELECT CAST(greatest(1, round_even(len * 1.5, 0)) AS INTEGER) AS len, CAST(sum(n) AS BIGINT) AS n FROM l GROUP BY 1")
 def _(spark, d):
     return G.scale_lengths(G.fit(seq(spark, d))["lengths"], 1.5)
