@@ -21,7 +21,7 @@ def as_events(sample: DataFrame) -> DataFrame:
 def run(seq: DataFrame, *, generators: tuple[str, ...] = ("markov", "semi_markov", "independent"), fraction: float = 0.3, repeats: int = 3, n_sessions: int = 500, seed: int = 0) -> DataFrame:
     """(generator, metric, mean, std, min, max); 'reference' compares held-out with training learners; std is the sample's, 0 for one."""
     split = validation.split_by_learner(seq, fraction, seed)
-    named = seq.join(F.broadcast(split), "learner_id")
+    named = seq.join(split, "learner_id")
     columns = ["event_id", "learner_id", "timestamp", "session_id", "activity_id", "event_type", "token"]
     train, holdout = named.filter("not holdout").select(columns).persist(), named.filter("holdout").select(columns).persist()
     model = generate.fit(train)

@@ -87,7 +87,7 @@ def semi_markov(model: dict[str, DataFrame], n_sessions: int, seed: int = 0, ord
     u = uniform(seed, "gap", F.col("session_id"), F.col("pos")) * 16
     at = F.floor(u).cast("int")
     low, high = F.get("sketch", at), F.get("sketch", F.least(at + 1, F.lit(16)))
-    drawn = path.join(F.broadcast(model["gaps"].select("token", "sketch")), "token", "left").withColumn("gap_s", F.greatest(F.lit(0.001), F.coalesce(low + (high - low) * (u - at), F.lit(60.0))))
+    drawn = path.join(model["gaps"].select("token", "sketch"), "token", "left").withColumn("gap_s", F.greatest(F.lit(0.001), F.coalesce(low + (high - low) * (u - at), F.lit(60.0))))
     before = Window.partitionBy("session_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
     return drawn.select("session_id", "pos", "token", F.round(F.coalesce(F.sum("gap_s").over(before), F.lit(0.0)), 3).alias("at_s"))
 

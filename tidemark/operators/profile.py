@@ -120,8 +120,8 @@ def analyze_by(labelled: DataFrame, min_sessions: int = 1) -> DataFrame:
     per = tokens.withColumn("p", F.col("n") / F.sum("n").over(Window.partitionBy("label")))
     whole = tokens.groupBy("token").agg(F.sum("n").alias("n")).select("token", (F.col("n") / F.sum("n").over(Window.partitionBy())).alias("q"))
     # half the sum of |p - q| is the sum of the positive differences, so tokens absent from a label need no row
-    tvd = per.join(F.broadcast(whole), "token").groupBy("label").agg(F.round(F.sum(F.greatest(F.col("p") - F.col("q"), F.lit(0.0))), 6).alias("tvd"))
-    return stats.join(F.broadcast(tvd), "label", "left").filter(F.col("label").isNull() | (F.col("n_sessions") >= min_sessions)).select(F.coalesce("label", F.lit("(all)")).alias("label"), "n_sessions", "n_learners", "n_events", "mean_length", F.coalesce("tvd", F.lit(0.0)).alias("tvd"))
+    tvd = per.join(whole, "token").groupBy("label").agg(F.round(F.sum(F.greatest(F.col("p") - F.col("q"), F.lit(0.0))), 6).alias("tvd"))
+    return stats.join(tvd, "label", "left").filter(F.col("label").isNull() | (F.col("n_sessions") >= min_sessions)).select(F.coalesce("label", F.lit("(all)")).alias("label"), "n_sessions", "n_learners", "n_events", "mean_length", F.coalesce("tvd", F.lit(0.0)).alias("tvd"))
 
 
 def learner_features(sessions: DataFrame, events: DataFrame, vocabulary: Sequence[str]) -> DataFrame:

@@ -130,7 +130,9 @@ def activity_profiles(seq: DataFrame) -> DataFrame:
 def nll(seq: DataFrame) -> DataFrame:
     """Mean negative log probability of each session's bigrams, add one."""
     counts = transitions(seq)
-    table = probabilities(counts, 1.0)
+    size = counts.agg(F.count_distinct("token").alias("size"))
+    smoothed = (F.col("n") + 1) / (F.sum("n").over(Window.partitionBy("context")) + F.col("size"))
+    table = counts.join(F.broadcast(size), F.lit(True)).select("context", "token", smoothed.alias("p"))  # pairs that occur are all that is scored
     context: Column = F.coalesce(F.lag("token").over(in_session()), F.lit(START))
-    scored = seq.select("session_id", context.alias("context"), "token").join(F.broadcast(table), ["context", "token"])
+    scored = seq.select("session_id", context.alias("context"), "token").join(table, ["context", "token"])
     return scored.groupBy("session_id").agg(F.round(F.avg(-F.log("p")), 6).alias("nll"))
