@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tidemark import log
 from tidemark.functions import distances as D
 from tidemark.functions.randomness import uniform
+from tidemark.operators import assemble as A
 from tidemark.operators import calendar as C
 from tidemark.operators import generate as G
 from tidemark.operators import manipulation as M
@@ -496,6 +497,17 @@ def _(spark, d):
     return Q.transition_matrix(Q.tokens(seq(spark, d), "activity_id"))
 
 
+@query("sessions_per_learner", "SELECT sessions, count(*) AS n FROM (SELECT learner_id, count(DISTINCT session_id) AS sessions FROM seq GROUP BY 1) GROUP BY 1")
+def _(spark, d):
+    return A.sessions_per_learner(seq(spark, d))
+
+
+@query("generate_assembled")
+def _(spark, d):
+    s = seq(spark, d)
+    return A.assemble(G.semi_markov(G.fit(s), 500, seed=11), 500, A.sessions_per_learner(s), _OFFICE, seed=11)
+
+
 @query("generate_markov_3")
 def _(spark, d):
     s = seq(spark, d)
