@@ -614,14 +614,13 @@ def _(spark, d):
     return I.ingest(_raw(spark, d), _MAP)[1]
 
 
-@query("ingest_events", "SELECT 1", "")
+@query("ingest_events")
 def _(spark, d):
     return I.ingest(_raw(spark, d), _MAP)[0].select("event_id", "learner_id", F.unix_micros("timestamp").alias("us"), "event_type")
 
 
 _RAW = "r AS (SELECT event_id AS n, CAST(CASE WHEN event_id % 90 = 0 THEN event_id + 1 ELSE event_id END AS VARCHAR) AS event_id, CAST(user_id AS VARCHAR) AS user_id, event_type, ts, event_id % 50 = 0 AS bad_t, event_id % 70 = 0 AS bad_e FROM events), k AS (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY n) AS d FROM r WHERE NOT bad_t AND NOT bad_e)"
 ORACLE_SQL["ingest_report"] = f"WITH {_RAW}, o AS (SELECT date_trunc('second', ts) < max(date_trunc('second', ts)) OVER (PARTITION BY user_id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS late FROM k WHERE d = 1), u AS (SELECT 'timestamp:invalid_timestamp' AS reason, count(*) AS n FROM r WHERE bad_t UNION ALL SELECT 'event_type:missing_required', count(*) FROM r WHERE bad_e UNION ALL SELECT 'duplicate_event_id', count(*) FROM k WHERE d > 1 UNION ALL SELECT 'out_of_order', count(*) FROM o WHERE late UNION ALL SELECT 'rows_read', count(*) FROM r UNION ALL SELECT 'rows_kept', count(*) FROM k WHERE d = 1) SELECT * FROM u WHERE n > 0"
-del ORACLE_SQL["ingest_events"]
 
 
 @query("integrity", None)
