@@ -11,6 +11,7 @@ import numpy as np
 import pytest
 
 from tests.llm.helpers import SCHEMA, documents, sentence
+from tidemark.llm import gramcounts as G
 from tidemark.llm import lmscore, neardup
 
 
@@ -140,6 +141,37 @@ def test_classes_against_all_pairs(spark):
     assert neardup.classes(spark.createDataFrame([], SCHEMA)).collect() == []
 
 
+def sampled_group(pairs, common=600, own=120, single=78, seed=3):
+    """Units around one passage: a unit is like its partner (about 0.82) and unlike all others (about 0.6)."""
+    rng = np.random.default_rng(seed)
+    draw = lambda n: rng.integers(0, 1 << 62, n, dtype=np.uint64)
+    passage, made = draw(common), []
+    for _ in range(pairs):
+        both = draw(own)
+        made += [np.sort(np.concatenate([passage, both, draw(single)])) for _ in range(2)]
+    order = rng.permutation(len(made))
+    made = {int(u): h for u, h in zip(order, made, strict=True)}
+    w = np.ones(common + own + single)
+    marks = {u: neardup.samples(h, w, np.array([0])) for u, h in made.items()}
+    rows = [(u, neardup.band_keys(marks[u])[0].tolist(), marks[u].tobytes(), G.squeeze(G.deltas(h), w)) for u, h in made.items()]
+    keys = {u: set(enumerate(k)) for u, k, _, _ in rows}
+    return rows, [(int(order[2 * i]), int(order[2 * i + 1])) for i in range(pairs)], keys
+
+
+def lost_pairs(spark, group):
+    """Partners that share a band bucket and that no links connect."""
+    rows, pairs, keys = group
+    label = {r[0]: r[0] for r in rows}
+    for x, y in neardup.links(spark.createDataFrame(rows, neardup.UNITS)).select("a", "b").collect():
+        low, high = sorted((label[x], label[y]))
+        label = {u: low if v == high else v for u, v in label.items()}
+    return [p for p in pairs if keys[p[0]] & keys[p[1]] and label[p[0]] != label[p[1]]]
+
+
+def test_pairs_within_a_group_of_unlike_units_are_linked(spark):
+    assert lost_pairs(spark, sampled_group(400)) == []
+
+
 def test_pipeline_against_its_parts(spark, tmp_path):
     corpus_pipeline = pytest.importorskip("corpus_pipeline")
     import hashlib

@@ -9,15 +9,13 @@
    from quantile tables of 2**16 steps), in 12 bands of 4.
 5. In each band bucket every member is compared to the smallest one by weighted
    Jaccard similarity.  Where that fails, the member is compared by samples to
-   others of the bucket: to targets, of which no two are likely alike, and to
-   the settled member nearest to it; likely pairs are verified.  Members that
-   match none of those are asked again, up to four rounds, with the next nearest
-   and new targets.  So a group gives a few pairs for each member, never all.
+   all others of the bucket, and likely pairs are verified in the same task,
+   until links connect them.  Only links leave the task, so a group gives less
+   than one for each member.
 6. Verified pairs join units into classes; the class id is the smallest id.
 
 A unit can miss its class if it agrees with it in no band (0.17 % for a single
-partner at a similarity of 0.8, fewer above) or if, in every shared bucket, the
-leader, all targets and its four nearest matches are below the threshold.
+partner at a similarity of 0.8, fewer above).
 
 Defined results: texts of fewer words than a shingle are one shingle; a null
 text is taken as empty, and texts without words only equal each other; rows of one id
@@ -44,8 +42,8 @@ WORDS, THRESHOLD, SMOOTH = 5, 0.8, 0.25
 BANDS, BAND_ROWS = 12, 4
 SAMPLES = BANDS * BAND_ROWS
 BLOCK_BYTES = 2 << 20
-#: Samples alike from which a pair is verified in a mixed bucket; members compared at once; rounds of such comparisons.
-LIKELY, PART, ROUNDS = 0.65, 4096, 4
+#: Samples alike from which a pair is verified in a mixed bucket; members of such a bucket in one task; pairs verified at once.
+LIKELY, PART, ASKED = 0.65, 4096, 1024
 #: Texts without an id get numbers from here on, above all ids.
 NAMELESS = 1 << 62
 UNITS = "unit bigint, bands array<bigint>, sample binary, vector binary"
@@ -178,39 +176,51 @@ def _verified(pairs: DataFrame, units: DataFrame, threshold: float) -> DataFrame
     return both.mapInArrow(run, "a bigint, b bigint, near boolean")
 
 
-def _likely(rows: pa.Table, nth: int) -> pa.Table:
-    """Pairs (a, b) to verify for each open member b of a bucket's part, where its smallest member was too unlike.
+def _linked(rows: pa.Table, threshold: float) -> pa.Table:
+    """Links (a, b) of a mixed bucket's part: every pair with an open member is verified here if its samples make it likely.
 
-    An open member is compared by samples to targets, open ones of which no two
-    are likely alike, and to the settled member that is its nth-best match, so
-    a group gives a few pairs for each member and not all pairs.
+    A pair that links found so far connect, or that meets in an earlier band,
+    needs no look; settled members are connected by their leader.  So a part
+    gives fewer links than it has members, however many pairs it compares.
     """
-    rows = rows.sort_by([("settled", "descending"), ("unit", "ascending")])
-    unit = rows.column("unit").to_numpy()
-    n = int(np.asarray(rows.column("settled").to_pylist(), bool).sum())
+    rows = rows.sort_by("unit")
+    unit, band = rows.column("unit").to_numpy(), rows.column("band")[0].as_py()
+    settled = np.asarray(rows.column("settled").to_pylist(), bool)
     marks = np.frombuffer(b"".join(rows.column("sample").to_pylist()), np.uint32).reshape(len(unit), -1)
-    a, b, targets = [], [], []
-    pool = np.empty((len(unit) - n, marks.shape[1]), np.uint32)
-    for i in range(n, len(unit)):
-        own = marks[i]
-        like = (marks[:n] == own).mean(axis=1)
-        if n > nth:
-            best = int(np.argsort(-like, kind="stable")[nth])
-            if like[best] >= LIKELY:
-                a.append(int(unit[best]))
-                b.append(int(unit[i]))
-        like = (pool[: len(targets)] == own).mean(axis=1)
-        hit = np.flatnonzero(like >= LIKELY).tolist()
-        a += [targets[j] for j in hit]
-        b += [int(unit[i])] * len(hit)
-        if not hit:
-            pool[len(targets)] = own
-            targets.append(int(unit[i]))
+    own = [_unpacked(v) for v in rows.column("vector").to_pylist()]
+    weight = np.concatenate([w for _, w in own])
+    start = np.cumsum([0] + [len(w) for _, w in own])
+    total = np.add.reduceat(weight, start[:-1])
+    distinct, number = np.unique(np.concatenate([h for h, _ in own]), return_inverse=True)
+    del own
+    mine = np.zeros(len(distinct))
+    group = np.where(settled, -1, np.arange(len(unit)))
+    a, b = [], []
+    for i in np.flatnonzero(~settled).tolist():
+        same = marks == marks[i]
+        ask = (same.mean(axis=1) >= LIKELY) & (group != group[i]) & (settled | (np.arange(len(unit)) > i))
+        at = np.flatnonzero(ask)
+        at = at[~same[at, : band * BAND_ROWS].reshape(len(at), band, BAND_ROWS).all(axis=2).any(axis=1)]
+        whole = slice(start[i], start[i + 1])
+        mine[number[whole]] = weight[whole]
+        for some in np.split(at, range(ASKED, len(at), ASKED)):
+            if not len(some):
+                continue
+            n = start[some + 1] - start[some]
+            ends = np.cumsum(n)
+            flat = np.arange(ends[-1]) + np.repeat(start[some] - (ends - n), n)
+            shared = np.add.reduceat(np.minimum(mine[number[flat]], weight[flat]), ends - n)
+            for j in some[shared / (total[i] + total[some] - shared) >= threshold - 1e-9].tolist():
+                if group[j] != group[i]:
+                    a.append(int(min(unit[i], unit[j])))
+                    b.append(int(max(unit[i], unit[j])))
+                    group[group == group[j]] = group[i]
+        mine[number[whole]] = 0
     return pa.Table.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
 
-def _asking(nth: int):
-    return lambda rows: _likely(rows, nth)
+def _linking(threshold: float):
+    return lambda rows: _linked(rows, threshold)
 
 
 def links(units: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -221,20 +231,12 @@ def links(units: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     first = materialize(_verified(led.filter("a <> unit").select("a", F.col("unit").alias("b")).distinct(), units, threshold), "neardup-first")
     found = first.filter("near").select("a", "b")
     open_ = materialize(led.join(first.filter("not near").select("a", F.col("b").alias("unit")), ["a", "unit"], "left_semi").select("band", "key", "unit", "n"), "neardup-open")
-    for nth in range(ROUNDS):
-        if open_.limit(1).count() == 0:
-            break
-        mixed = open_.select("band", "key").distinct()
-        state = led.join(mixed, ["band", "key"], "left_semi").select("band", "key", "unit", "n").join(open_.select("band", "key", "unit", F.lit(True).alias("open")), ["band", "key", "unit"], "left")
-        part = F.pmod(F.xxhash64("unit", F.lit(nth)), F.ceil(F.col("n") / PART).cast("int"))
-        sampled = state.select("band", "key", part.alias("part"), "unit", F.col("open").isNull().alias("settled")).join(units.select("unit", "sample"), "unit")
-        asked = sampled.groupBy("band", "key", "part").applyInArrow(_asking(nth), "a bigint, b bigint").distinct()
-        tried = materialize(_verified(asked, units, threshold), "neardup-tried")
-        found = found.unionByName(tried.filter("near").select("a", "b"))
-        # what is likely like some and was like none of them stays open
-        again = tried.groupBy(F.col("b").alias("unit")).agg(F.max("near").alias("near")).filter("not near").select("unit")
-        open_ = materialize(open_.join(again, "unit", "left_semi"), "neardup-open")
-    return found
+    mixed = open_.select("band", "key").distinct()
+    state = led.join(mixed, ["band", "key"], "left_semi").select("band", "key", "unit", "n").join(open_.select("band", "key", "unit", F.lit(True).alias("open")), ["band", "key", "unit"], "left")
+    part = F.pmod(F.xxhash64("unit", F.lit(0)), F.ceil(F.col("n") / PART).cast("int"))
+    cells = state.select("band", "key", part.alias("part"), "unit", F.col("open").isNull().alias("settled")).join(units.select("unit", "sample", "vector"), "unit")
+    linked = cells.groupBy("band", "key", "part").applyInArrow(_linking(threshold), "a bigint, b bigint").distinct()
+    return found.unionByName(materialize(linked, "neardup-linked"))
 
 
 def components(edges: DataFrame) -> DataFrame:
