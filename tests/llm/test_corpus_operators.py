@@ -172,6 +172,11 @@ def test_pairs_within_a_group_of_unlike_units_are_linked(spark):
     assert lost_pairs(spark, sampled_group(400)) == []
 
 
+def test_pairs_across_parts_of_a_bucket_are_linked(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "PART", 40)
+    assert lost_pairs(spark, sampled_group(400)) == []
+
+
 def test_pipeline_against_its_parts(spark, tmp_path):
     corpus_pipeline = pytest.importorskip("corpus_pipeline")
     import hashlib

@@ -10,8 +10,9 @@
 5. In each band bucket every member is compared to the smallest one by weighted
    Jaccard similarity.  Where that fails, the member is compared by samples to
    all others of the bucket, and likely pairs are verified in the same task,
-   until links connect them.  Only links leave the task, so a group gives less
-   than one for each member.
+   until links connect them.  Large buckets are dealt into parts, and a task
+   compares a part with itself or with another.  Only links leave a task, fewer
+   than it has members.
 6. Verified pairs join units into classes; the class id is the smallest id.
 
 A unit can miss its class if it agrees with it in no band (0.17 % for a single
@@ -42,7 +43,7 @@ WORDS, THRESHOLD, SMOOTH = 5, 0.8, 0.25
 BANDS, BAND_ROWS = 12, 4
 SAMPLES = BANDS * BAND_ROWS
 BLOCK_BYTES = 2 << 20
-#: Samples alike from which a pair is verified in a mixed bucket; members of such a bucket in one task; pairs verified at once.
+#: Samples alike from which a pair is verified in a mixed bucket; members of such a bucket in one part; pairs verified at once.
 LIKELY, PART, ASKED = 0.65, 4096, 1024
 #: Texts without an id get numbers from here on, above all ids.
 NAMELESS = 1 << 62
@@ -177,15 +178,17 @@ def _verified(pairs: DataFrame, units: DataFrame, threshold: float) -> DataFrame
 
 
 def _linked(rows: pa.Table, threshold: float) -> pa.Table:
-    """Links (a, b) of a mixed bucket's part: every pair with an open member is verified here if its samples make it likely.
+    """Links (a, b) of a mixed bucket's part, or between two of its parts: every pair with an open member is verified here if its samples make it likely.
 
     A pair that links found so far connect, or that meets in an earlier band,
-    needs no look; settled members are connected by their leader.  So a part
+    needs no look; settled members are connected by their leader.  So a task
     gives fewer links than it has members, however many pairs it compares.
     """
     rows = rows.sort_by("unit")
     unit, band = rows.column("unit").to_numpy(), rows.column("band")[0].as_py()
     settled = np.asarray(rows.column("settled").to_pylist(), bool)
+    part = rows.column("part").to_numpy()
+    across = rows.column("low")[0].as_py() != rows.column("high")[0].as_py()
     marks = np.frombuffer(b"".join(rows.column("sample").to_pylist()), np.uint32).reshape(len(unit), -1)
     own = [_unpacked(v) for v in rows.column("vector").to_pylist()]
     weight = np.concatenate([w for _, w in own])
@@ -199,7 +202,7 @@ def _linked(rows: pa.Table, threshold: float) -> pa.Table:
     for i in np.flatnonzero(~settled).tolist():
         same = marks == marks[i]
         ask = (same.mean(axis=1) >= LIKELY) & (group != group[i]) & (settled | (np.arange(len(unit)) > i))
-        at = np.flatnonzero(ask)
+        at = np.flatnonzero(ask & (part != part[i]) if across else ask)
         at = at[~same[at, : band * BAND_ROWS].reshape(len(at), band, BAND_ROWS).all(axis=2).any(axis=1)]
         whole = slice(start[i], start[i + 1])
         mine[number[whole]] = weight[whole]
@@ -233,9 +236,12 @@ def links(units: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     open_ = materialize(led.join(first.filter("not near").select("a", F.col("b").alias("unit")), ["a", "unit"], "left_semi").select("band", "key", "unit", "n"), "neardup-open")
     mixed = open_.select("band", "key").distinct()
     state = led.join(mixed, ["band", "key"], "left_semi").select("band", "key", "unit", "n").join(open_.select("band", "key", "unit", F.lit(True).alias("open")), ["band", "key", "unit"], "left")
-    part = F.pmod(F.xxhash64("unit", F.lit(0)), F.ceil(F.col("n") / PART).cast("int"))
-    cells = state.select("band", "key", part.alias("part"), "unit", F.col("open").isNull().alias("settled")).join(units.select("unit", "sample", "vector"), "unit")
-    linked = cells.groupBy("band", "key", "part").applyInArrow(_linking(threshold), "a bigint, b bigint").distinct()
+    # each part meets itself and each other part in a task of its own
+    parts = F.ceil(F.col("n") / PART).cast("int")
+    dealt = state.select("band", "key", "unit", F.col("open").isNull().alias("settled"), parts.alias("parts"), F.pmod(F.xxhash64("unit", F.lit(0)), parts).cast("int").alias("part"))
+    met = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    cells = met.select("band", "key", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), "part", "unit", "settled").join(units.select("unit", "sample", "vector"), "unit")
+    linked = cells.groupBy("band", "key", "low", "high").applyInArrow(_linking(threshold), "a bigint, b bigint").distinct()
     return found.unionByName(materialize(linked, "neardup-linked"))
 
 
