@@ -8,6 +8,7 @@ import math
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tests.llm.helpers import SCHEMA, documents, sentence
@@ -177,6 +178,25 @@ def test_pairs_across_parts_of_a_bucket_are_linked(spark, monkeypatch):
     assert lost_pairs(spark, sampled_group(400)) == []
 
 
+def test_alike_units_with_few_equal_samples_are_verified():
+    """Of pairs at a similarity of 0.8 that share a band, some agree in fewer than 32 of 48 samples."""
+    rng = np.random.default_rng(11)
+    w, few = np.ones(900), 0
+    for _ in range(4000):
+        h = rng.integers(0, 1 << 62, 1000, dtype=np.uint64)
+        own = [np.sort(h[:900]), np.sort(h[100:])]
+        marks = [neardup.samples(x, w, np.array([0])) for x in own]
+        bands = [k[0].tolist() for k in map(neardup.band_keys, marks)]
+        band = next((i for i, (x, y) in enumerate(zip(*bands, strict=True)) if x == y), None)
+        if band is None or (marks[0] == marks[1]).mean() >= 0.65:
+            continue
+        few += 1
+        cell = {"unit": [1, 2], "band": [band] * 2, "low": [0] * 2, "high": [0] * 2, "part": [0] * 2, "settled": [False] * 2, "sample": [m.tobytes() for m in marks], "vector": [G.squeeze(G.deltas(x), w) for x in own]}
+        assert neardup._linked(pa.table(cell), 0.8).to_pydict() == {"a": [1], "b": [2]}
+        break
+    assert few
+
+
 def test_pipeline_against_its_parts(spark, tmp_path):
     corpus_pipeline = pytest.importorskip("corpus_pipeline")
     import hashlib

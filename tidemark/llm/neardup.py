@@ -44,7 +44,7 @@ BANDS, BAND_ROWS = 12, 4
 SAMPLES = BANDS * BAND_ROWS
 BLOCK_BYTES = 2 << 20
 #: Samples alike from which a pair is verified in a mixed bucket; members of such a bucket in one part; pairs verified at once.
-LIKELY, PART, ASKED = 0.65, 4096, 1024
+LIKELY, PART, ASKED = 0.5, 4096, 1024
 #: Texts without an id get numbers from here on, above all ids.
 NAMELESS = 1 << 62
 UNITS = "unit bigint, bands array<bigint>, sample binary, vector binary"
