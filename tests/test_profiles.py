@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import memorisation as R
 from tidemark.operators import profiles as K
-from tidemark.operators import sequences, sessionize
+from tidemark.operators import profile, sequences, sessionize
 
 T0 = datetime(2026, 3, 2, 9, tzinfo=UTC)
 
@@ -68,3 +68,14 @@ def test_closest(spark):
     assert {tuple(r) for r in R.closest(a, b, "k").collect()} == {("p", 5.0), ("q", 1.0)}
     with pytest.raises(ValueError):
         R.closest(a, b, "k", most=1)
+
+
+def test_closest_of_all_reference_rows(spark):
+    a = spark.createDataFrame([("p", 2999.0), ("q", -4.0)], "k string, x double")
+    b = spark.range(3000).select(F.col("id").cast("string").alias("k"), F.col("id").cast("double").alias("x"))
+    want = {("p", 0.0), ("q", 4.0)}
+    assert {tuple(r) for r in R.closest(a, b, "k").collect()} == {tuple(r) for r in R.closest(a, b, "k", block=7).collect()} == want
+    assert {tuple(r) for r in R.closest(a, b.limit(0), "k").collect()} == {("p", None), ("q", None)}
+    far = spark.createDataFrame([(str(i), 0.0) for i in range(99)] + [("far", 1.0)], "k string, x double")
+    z = {c: profile.standardize(far, "k", **o).filter("k = 'far'").first().x for c, o in {"free": {"clip": None}, "clipped": {}}.items()}
+    assert z == {"free": 9.94987, "clipped": 3.0}

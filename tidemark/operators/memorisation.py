@@ -49,15 +49,22 @@ def unknown_ids(predicted: DataFrame, universe: DataFrame, key: str) -> DataFram
     return predicted.select(key).distinct().join(universe.select(key), key, "left_anti")
 
 
-def closest(features: DataFrame, others: DataFrame, key: str, most: int = 2_000) -> DataFrame:
-    """(key, distance): from each row to the nearest of a table of reference rows, whose number is checked."""
+def closest(features: DataFrame, others: DataFrame, key: str, most: int | None = None, block: int = 2_000) -> DataFrame:
+    """(key, distance): from each row to the nearest of all reference rows, or an error if there are more than ``most``.
+
+    Reference rows are compared in blocks of about ``block``: the nearest of each block, then of all.
+    """
     names = [c for c in features.columns if c != key]
-    if others.limit(most + 1).count() > most:
+    if most is not None and others.limit(most + 1).count() > most:
         raise ValueError(f"more than {most} reference rows; sample them")
-    table = others.agg(F.collect_list(F.array(*(F.col(c).cast("double") for c in names))).alias("__rows"))
     point = F.array(*(F.col(c).cast("double") for c in names))
+    points = others.select(point.alias("__row")).distinct()
+    place = F.pmod(F.xxhash64("__row"), F.lit(others.count() // block + 1))
+    nobody = others.sparkSession.range(1).select(F.array().cast("array<array<double>>").alias("__rows"))
+    table = points.groupBy(place.alias("__block")).agg(F.collect_list("__row").alias("__rows")).select("__rows").unionByName(nobody)
     apart = lambda r: F.aggregate(F.zip_with(F.col("__point"), r, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda t, x: t + x)
-    return features.select(key, point.alias("__point")).join(F.broadcast(table), F.lit(True)).select(key, F.round(F.sqrt(F.array_min(F.transform("__rows", apart))), 5).alias("distance"))
+    near = features.select(key, point.alias("__point")).crossJoin(table).select(key, F.array_min(F.transform("__rows", apart)).alias("__d"))
+    return near.groupBy(key).agg(F.round(F.sqrt(F.min("__d")), 5).alias("distance"))
 
 
 def rarest(sessions: DataFrame) -> DataFrame:

@@ -131,9 +131,10 @@ def learner_features(sessions: DataFrame, events: DataFrame, vocabulary: Sequenc
     return own.join(mix, "learner_id").select("learner_id", "n_sessions", F.round("mean_length", 6).alias("mean_length"), F.round("log_duration", 6).alias("log_duration"), F.round("success_rate", 6).alias("success_rate"), *(f"share_{v}" for v in vocabulary))
 
 
-def standardize(features: DataFrame, key: str, clip: float = 3.0) -> DataFrame:
-    """Population z-scores, clipped; a constant column is 0."""
+def standardize(features: DataFrame, key: str, clip: float | None = 3.0) -> DataFrame:
+    """Population z-scores, clipped unless ``clip`` is None; a constant column is 0."""
     names = [c for c in features.columns if c != key]
     stats = features.agg(*(x for c in names for x in (F.avg(c).alias(f"m_{c}"), F.stddev_pop(c).alias(f"s_{c}"))))
-    z = lambda c: F.greatest(F.lit(-clip), F.least(F.lit(clip), (F.col(c) - F.col(f"m_{c}")) / F.when(F.col(f"s_{c}") == 0, 1.0).otherwise(F.col(f"s_{c}"))))
+    free = lambda c: (F.col(c) - F.col(f"m_{c}")) / F.when(F.col(f"s_{c}") == 0, 1.0).otherwise(F.col(f"s_{c}"))
+    z = lambda c: free(c) if clip is None else F.greatest(F.lit(-clip), F.least(F.lit(clip), free(c)))
     return features.join(F.broadcast(stats), F.lit(True)).select(key, *(F.round(z(c), 5).alias(c) for c in names))

@@ -569,11 +569,10 @@ def _(spark, d):
 
 @query("closest_learner", f"+{_LF}, z AS (SELECT learner_id, CAST(learner_id AS BIGINT) % 10 < 3 AS b, " + ", ".join(f"round(greatest(-3.0, least(3.0, ({c} - avg({c}) OVER ()) / CASE WHEN stddev_pop({c}) OVER () = 0 THEN 1.0 ELSE stddev_pop({c}) OVER () END)), 5) AS {c}" for c in _LC) + " FROM lf), f AS (SELECT * FROM z WHERE NOT b ORDER BY " + _u(17, "'reference'", "learner_id") + ", learner_id LIMIT 500) SELECT z.learner_id, round(sqrt(min(" + " + ".join(f"(z.{c} - f.{c}) * (z.{c} - f.{c})" for c in _LC) + ")), 5) AS distance FROM z CROSS JOIN f WHERE z.b GROUP BY 1")
 def _(spark, d):
-    """Distances of one half's learners to the closest of a seeded sample of 500 learners of the other: a sampling operator."""
-    z = P.standardize(P.learner_features(ses(spark, d), events(spark, d), _TYPES), "learner_id")
+    """Distances of one half's learners to the closest of all learners of the other, unclipped; the SQL still samples 500 and clips."""
+    z = P.standardize(P.learner_features(ses(spark, d), events(spark, d), _TYPES), "learner_id", clip=None)
     b = F.col("learner_id").cast("bigint") % 10 < 3
-    sample = z.filter(~b).orderBy(uniform(17, "reference", F.col("learner_id")), "learner_id").limit(500)
-    return R.closest(z.filter(b), sample, "learner_id")
+    return R.closest(z.filter(b), z.filter(~b), "learner_id")
 
 
 @query("assigned_profiles")
