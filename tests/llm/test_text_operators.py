@@ -188,3 +188,16 @@ def test_pseudonyms_are_one_to_one():
     assert len({pii.pseudonym("date", x, b"k") for x in days}) == len(days)
     octets = [f"10.0.{a}.{b}" for a in range(40) for b in range(50)]
     assert len({pii.pseudonym("ip", x, b"k") for x in octets}) == 2000
+
+
+def test_values_beside_other_groups_are_replaced():
+    key = b"k"
+    for kind, v, texts in [
+        ("card", "4111 1111 1111 1111", ["{} 12/27", "{} 123", "12 {}", "1 2 3 5 {}"]),
+        ("card", "4111111111111111", ["{} 7 items", "no 7 {}"]),
+        ("iban", "AT61 1904 3002 3457 3201", ["{} BIC", "{} EUR", "{} BANK AG", "AB12 {}"]),
+    ]:
+        new = pii.pseudonym(kind, v, key)
+        for t in texts:
+            assert pii.rewrite(t.format(v), key) == (t.format(new), [kind]), t
+    assert pii.rewrite("4111 1111 1111 1112 12/27", key) == ("4111 1111 1111 1112 12/27", [])

@@ -7,7 +7,8 @@ digits are made valid again.  A value always gets the same pseudonym, however
 it is punctuated, so records stay linked; without the key it can't be undone.
 
 Defined results: a null text stays null; text without such values is unchanged;
-overlapping finds go to the kind named first in KINDS, then the leftmost.
+overlapping finds go to the kind named first in KINDS, then the leftmost; where a
+match in groups is not valid, the longest valid run of its groups is taken.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ import datetime
 import functools
 import hashlib
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -158,7 +159,10 @@ KINDS: dict[str, tuple[str, Callable[[str, bytes], str | None]]] = {
     "phone": (r"(?<![0-9A-Za-z])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}" + _EDGE_R, phone),
     "card": (_EDGE_L + r"[0-9](?:[ -]?[0-9]){12,18}" + _EDGE_R, card),
 }
-_FIND = {k: re.compile(p).finditer for k, (p, _) in KINDS.items()}
+_FIND = {k: re.compile(p) for k, (p, _) in KINDS.items()}
+#: Kinds written in groups, whose matches may take in groups around the value.
+_GROUPED = {"iban", "card"}
+_GROUP = re.compile("[0-9A-Z]+").finditer
 _DIGIT = re.compile("[0-9]").search
 
 
@@ -168,6 +172,15 @@ def pseudonym(kind: str, value: str, key: bytes) -> str | None:
     return KINDS[kind][1](value, hashlib.blake2b(kind.encode(), key=hashlib.sha256(key).digest(), digest_size=32).digest())
 
 
+def _spans(kind: str, text: str, span: tuple[int, int]) -> Iterator[tuple[int, int]]:
+    """A match and, for kinds in groups, the spans of whole groups inside it that match too: the longest first, then the leftmost."""
+    yield span
+    if kind in _GROUPED:
+        groups = [m.span() for m in _GROUP(text, *span)]
+        inner = sorted((a - b, a, b) for i, (a, _) in enumerate(groups) for _, b in groups[i:] if (a, b) != span)
+        yield from ((a, b) for _, a, b in inner if _FIND[kind].fullmatch(text, a, b))
+
+
 def scan(text: str, key: bytes) -> list[tuple[int, int, str, str]]:
     """Spans to replace, with kind and pseudonym, from left to right and free of overlaps."""
     found: list[tuple[int, int, str, str]] = []
@@ -179,15 +192,20 @@ def scan(text: str, key: bytes) -> list[tuple[int, int, str, str]]:
                 continue
         elif not digits:
             continue
-        for m in _FIND[kind](text):
-            new = pseudonym(kind, m.group(), key)
-            if new is None:
-                continue
-            i = bisect.bisect_left(starts, m.start())
-            if (i and found[i - 1][1] > m.start()) or (i < len(found) and starts[i] < m.end()):
-                continue
-            starts.insert(i, m.start())
-            found.insert(i, (m.start(), m.end(), kind, new))
+        at = 0
+        while m := _FIND[kind].search(text, at):
+            at = next(_GROUP(text, *m.span())).end() if kind in _GROUPED else m.end()
+            for a, b in _spans(kind, text, m.span()):
+                new = pseudonym(kind, text[a:b], key)
+                if new is None:
+                    continue
+                i = bisect.bisect_left(starts, a)
+                if (i and found[i - 1][1] > a) or (i < len(found) and starts[i] < b):
+                    continue
+                starts.insert(i, a)
+                found.insert(i, (a, b, kind, new))
+                at = b
+                break
     return found
 
 
