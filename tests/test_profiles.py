@@ -79,3 +79,17 @@ def test_closest_of_all_reference_rows(spark):
     far = spark.createDataFrame([(str(i), 0.0) for i in range(99)] + [("far", 1.0)], "k string, x double")
     z = {c: profile.standardize(far, "k", **o).filter("k = 'far'").first().x for c, o in {"free": {"clip": None}, "clipped": {}}.items()}
     assert z == {"free": 9.94987, "clipped": 3.0}
+
+
+def test_ten_starts_by_default(spark, monkeypatch):
+    seeds = []
+
+    class Counted(K.KMeans):
+        def __init__(self, *, seed, **options):
+            super().__init__(seed=seed, **options)
+            seeds.append(seed)
+
+    monkeypatch.setattr(K, "KMeans", Counted)
+    people = {f"r{i}": ["aaaa"] for i in range(5)} | {f"w{i}": ["bb"] for i in range(5)}
+    K.fit_profiles(log(spark, people), 2, ("a", "b"), seed=4)
+    assert seeds == list(range(4, 14))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.ml.clustering import KMeans
+from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -15,6 +15,8 @@ from tidemark.operators.sessionize import sessions
 
 #: A feature tells a profile apart from this z-score on.
 TELLING, CLIP = 0.25, 3.0
+#: Starts of k-means, of which the cheapest is kept.
+TRIES = 10
 
 
 @dataclass(frozen=True)
@@ -61,7 +63,13 @@ def _nearest(point: Column, centroids: list[list[float]]) -> Column:
     return F.array_min(F.array(*(F.struct(apart(c).alias("d"), F.lit(i).alias("i")) for i, c in enumerate(centroids))))["i"]
 
 
-def fit_profiles(seq: DataFrame, n_profiles: int, vocabulary: tuple[str, ...], seed: int = 0, tries: int = 3, least: int = 5) -> Profiles:
+def best_kmeans(points: DataFrame, k: int, seed: int, tries: int = TRIES, **options) -> KMeansModel:
+    """The cheapest of some k-means runs with consecutive seeds, the first of equally cheap ones."""
+    fits = [KMeans(k=k, seed=seed + i, **options).fit(points) for i in range(tries)]
+    return min(fits, key=lambda m: m.summary.trainingCost)
+
+
+def fit_profiles(seq: DataFrame, n_profiles: int, vocabulary: tuple[str, ...], seed: int = 0, tries: int = TRIES, least: int = 5) -> Profiles:
     """The best of some k-means runs over standardised learner features; every profile needs ``least`` learners."""
     rows = profile.learner_features(sessions(seq), seq, vocabulary)
     names = [c for c in rows.columns if c != "learner_id"]
@@ -69,8 +77,7 @@ def fit_profiles(seq: DataFrame, n_profiles: int, vocabulary: tuple[str, ...], s
     means, stds = {c: float(stats[f"m_{c}"]) for c in names}, {c: float(stats[f"s_{c}"] or 1.0) for c in names}
     points = rows.select("learner_id", array_to_vector(_point(means, stds)).alias("features")).cache()
     try:
-        fits = [KMeans(k=n_profiles, seed=seed + i, maxIter=100).fit(points) for i in range(tries)]
-        best = min(fits, key=lambda m: m.summary.trainingCost)
+        best = best_kmeans(points, n_profiles, seed, tries, maxIter=100)
         sizes, centres = best.summary.clusterSizes, [[float(x) for x in c] for c in best.clusterCenters()]
     finally:
         points.unpersist()

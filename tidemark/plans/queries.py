@@ -281,12 +281,14 @@ def _(spark, d):
 
 def _kmeans(spark, d):
     """Learner clusters by k-means, numbered by descending size; no SQL twin."""
-    from pyspark.ml.clustering import KMeans
     from pyspark.ml.feature import VectorAssembler
 
     rows = P.standardize(P.learner_features(ses(spark, d), events(spark, d), _TYPES), "learner_id")
-    points = VectorAssembler(inputCols=_LC, outputCol="features").transform(rows).select("learner_id", "features")
-    model = KMeans(k=3, seed=7, maxIter=50, initSteps=5).fit(points)
+    points = VectorAssembler(inputCols=_LC, outputCol="features").transform(rows).select("learner_id", "features").cache()
+    try:
+        model = K.best_kmeans(points, 3, 7, maxIter=50, initSteps=5)
+    finally:
+        points.unpersist()
     order = {c: r for r, c in enumerate(sorted(range(3), key=lambda c: (-model.summary.clusterSizes[c], list(model.clusterCenters()[c]))))}
     number = F.create_map(*(F.lit(x) for p in order.items() for x in p))
     return model.transform(points).select("learner_id", F.element_at(number, F.col("prediction")).alias("profile"))
