@@ -16,34 +16,41 @@ from tidemark.llm import gramcounts as G
 from tidemark.llm import lmscore, neardup
 
 
-def brute_scores(rows, held_out):
+def brute_scores(rows, held_out, order=2):
     docs = [(t or "").split() for _, t, _ in rows]
-    one, two = collections.Counter(w for d in docs for w in d), collections.Counter(p for d in docs for p in itertools.pairwise(d))
-    total = sum(map(len, docs))
+    grams = lambda d: collections.Counter(tuple(d[i : i + n]) for n in range(1, order + 1) for i in range(len(d) - n + 1))
+    whole = collections.Counter()
+    for d in docs:
+        whole.update(grams(d))
     out = []
     for (i, _, _), d in zip(rows, docs, strict=True):
-        mine1, mine2 = (collections.Counter(d), collections.Counter(itertools.pairwise(d))) if held_out else (collections.Counter(), collections.Counter())
-        size = max(1, total - len(d) if held_out else total)
+        mine = grams(d) if held_out else collections.Counter()
+        size = max(1, sum(map(len, docs)) - (len(d) if held_out else 0))
+
+        def word(gram):
+            n = whole[gram] - mine[gram]
+            if len(gram) == 1:
+                return (n or 0.4) / size
+            return n / max(1, whole[gram[:-1]] - mine[gram[:-1]]) if n else 0.4 * word(gram[1:])
+
         score, backed = 0.0, 0
-        for k, w in enumerate(d):
-            unigram = (one[w] - mine1[w] or 0.4) / size
-            pair = (d[k - 1], w)
-            if k and two[pair] - mine2[pair] > 0:
-                score += math.log((two[pair] - mine2[pair]) / max(1, one[d[k - 1]] - mine1[d[k - 1]]))
-            else:
-                score += math.log(unigram) + (math.log(0.4) if k else 0)
-                backed += k > 0
-        out.append((i, len(d), backed, round(score, 6)))
+        for k in range(len(d)):
+            longest = tuple(d[max(0, k - order + 1) : k + 1])
+            score += math.log(word(longest))
+            backed += len(longest) > 1 and whole[longest] == mine[longest]
+        out.append((i, len(d), backed, round(score, 5)))
     return collections.Counter(out)
 
 
-@pytest.mark.parametrize("held_out", [True, False])
-def test_scores_against_brute_force(spark, held_out):
+@pytest.mark.parametrize(("held_out", "order"), [(True, 2), (False, 2), (True, 1), (True, 5)])
+def test_scores_against_brute_force(spark, held_out, order):
     rows = [r for r in documents() if "\x1c" not in (r[1] or "")]
     docs = spark.createDataFrame([(*r, 0.0) for r in rows], SCHEMA + ", log_score double")
-    got = lmscore.score(docs, held_out=held_out, block_bytes=20_000).collect()
-    assert collections.Counter((r["doc_id"], r["n_words"], r["n_backed_off"], round(r["log_score"], 6)) for r in got) == brute_scores(rows, held_out)
+    counted = lambda got: collections.Counter((r["doc_id"], r["n_words"], r["n_backed_off"], round(r["log_score"], 5)) for r in got)
+    assert counted(lmscore.score(docs, held_out=held_out, order=order, block_bytes=20_000).collect()) == brute_scores(rows, held_out, order)
     assert lmscore.score(spark.createDataFrame([], SCHEMA)).collect() == []
+    apart = [r for r in rows[:125] if r[0] is not None]
+    assert counted(lmscore.score_joined(spark.createDataFrame(apart, SCHEMA), held_out=held_out, order=order).collect()) == brute_scores(apart, held_out, order)
 
 
 def test_consistent_samples_estimate_weighted_similarity():

@@ -5,12 +5,15 @@ n-gram hashes that fall into it, sorted and delta-coded, with its own counts;
 the bucket, which holds that part of the count table, sums over the blocks and
 answers each with the global counts in the order asked.  So an n-gram moves
 once for each block that has it, however often it occurs, and no key can be
-hot.  Both numbers grow with the input; a part's memory does not.
+hot.  Blocks and buckets grow with the input, a part's memory does not.  A
+block sends nothing to buckets of which it has no n-gram, so there are never
+more messages than distinct n-grams of the blocks: the messages shrink down to
+single rows as the input grows, and their number stays in proportion to it.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -22,10 +25,10 @@ from tidemark.llm.storage import parts_for
 
 U = np.uint64
 BLOCK_BYTES = 4 << 20
-RIGHT = "block int, kind int, bucket int, total bigint, blob binary, keys array<string>"
-_RIGHT = pa.schema([("block", pa.int32()), ("kind", pa.int32()), ("bucket", pa.int32()), ("total", pa.int64()), ("blob", pa.binary()), ("keys", pa.list_(pa.string()))])
+RIGHT = "block int, kind int, bucket int, blob binary, keys array<string>"
+_RIGHT = pa.schema([("block", pa.int32()), ("kind", pa.int32()), ("bucket", pa.int32()), ("blob", pa.binary()), ("keys", pa.list_(pa.string()))])
 
-Grams = Callable[[pa.Table, pa.Table], tuple[int, list[tuple[np.ndarray, np.ndarray]]]]
+Grams = Callable[[pa.Table, pa.Table], list[tuple[np.ndarray, np.ndarray]]]
 
 
 def _planes(x: np.ndarray) -> bytes:
@@ -66,14 +69,14 @@ def blocks_for(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> int:
 
 def _bounds(h: np.ndarray, buckets: int) -> np.ndarray:
     """Where each bucket's slice of the sorted hashes begins; bucket k has the k-th part of the hash range."""
-    edges = np.array([((k << 64) + buckets - 1) // buckets for k in range(1, buckets)], dtype=U)
+    edges = np.array([((k << 64) + buckets - 1) // buckets for k in range(1, buckets)], dtype=U)  # one number a bucket, as in any shuffle
     return np.concatenate([[0], np.searchsorted(h, edges), [len(h)]])
 
 
 def _answer(rows: pa.Table) -> pa.Table:
     out = []
     kinds = rows.column("kind").to_numpy()
-    blocks, blobs, totals = rows.column("block").to_pylist(), rows.column("blob").to_pylist(), rows.column("total").to_pylist()
+    blocks, blobs = rows.column("block").to_pylist(), rows.column("blob").to_pylist()
     bucket = rows.column("bucket")[0].as_py()
     for kind in np.unique(kinds).tolist():
         own = np.flatnonzero(kinds == kind).tolist()
@@ -82,9 +85,9 @@ def _answer(rows: pa.Table) -> pa.Table:
         _, back = np.unique(h, return_inverse=True)
         count = np.bincount(back, weights=np.concatenate([p[1] for p in parts]).astype(np.float64)) if len(h) else np.zeros(0)
         seen = count[back].astype(np.uint64)
-        total, at = sum(totals[i] for i in own), 0
+        at = 0
         for i, p in zip(own, parts, strict=True):
-            out.append((blocks[i], kind, bucket, total, squeeze(seen[at : at + len(p[0])]), None))
+            out.append((blocks[i], kind, bucket, squeeze(seen[at : at + len(p[0])]), None))
             at += len(p[0])
     return pa.Table.from_arrays([pa.array([r[i] for r in out], f.type) for i, f in enumerate(_RIGHT)], schema=_RIGHT)
 
@@ -92,40 +95,33 @@ def _answer(rows: pa.Table) -> pa.Table:
 def exchange(blocked: DataFrame, known: DataFrame, grams: Grams, buckets: int) -> DataFrame:
     """Answers for each block, as rows of RIGHT.
 
-    ``grams`` gets the rows of a block and of ``known`` and returns the block's
-    share of the total and, for each kind, its sorted distinct hashes and counts.
+    ``grams`` gets the rows of a block and of ``known`` and returns, for each
+    kind, the block's sorted distinct hashes and their counts.
     """
 
     def ask(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
-        total, kinds = grams(left, right)
         out = []
-        for kind, (h, count) in enumerate(kinds):
+        for kind, (h, count) in enumerate(grams(left, right)):
             cut = _bounds(h, buckets)
-            for bucket in range(buckets):
+            for bucket in np.flatnonzero(np.diff(cut)).tolist():
                 part = slice(cut[bucket], cut[bucket + 1])
-                out.append((key[0].as_py(), kind, bucket, total, squeeze(deltas(h[part]), count[part].astype(np.uint32)), None))
+                out.append((key[0].as_py(), kind, bucket, squeeze(deltas(h[part]), count[part].astype(np.uint32)), None))
         return pa.Table.from_arrays([pa.array([r[i] for r in out], f.type) for i, f in enumerate(_RIGHT)], schema=_RIGHT)
 
     asked = blocked.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(ask, RIGHT)
     return asked.groupBy("bucket").applyInArrow(_answer, RIGHT)
 
 
-def answers(right: pa.Table, kinds: int) -> tuple[int, list[np.ndarray]]:
-    """The total, and for each kind the global counts in the order asked, from the rows of one block."""
-    kind, bucket = right.column("kind").to_pylist(), right.column("bucket").to_pylist()
-    blob, total = right.column("blob").to_pylist(), right.column("total").to_pylist()
-    own = sorted((k, b, i) for i, (k, b) in enumerate(zip(kind, bucket, strict=True)) if k is not None and k >= 0)
+def answers(right: pa.Table, kinds: int) -> list[np.ndarray]:
+    """For each kind the global counts in the order asked, from the rows of one block."""
+    kind, bucket, blob = (right.column(c).to_pylist() for c in ("kind", "bucket", "blob"))
     parts: list[list[np.ndarray]] = [[] for _ in range(kinds)]
-    for k, _, i in own:
+    for k, _, i in sorted((k, b, i) for i, (k, b) in enumerate(zip(kind, bucket, strict=True)) if k is not None and k >= 0):
         parts[k].append(unsqueeze(blob[i], "<u8")[0])
-    whole = next((total[i] for _, _, i in own), 0)
-    return whole, [np.concatenate(p).astype(np.int64) if p else np.zeros(0, np.int64) for p in parts]
+    return [np.concatenate(p).astype(np.int64) if p else np.zeros(0, np.int64) for p in parts]
 
 
 def no_keys(blocked: DataFrame) -> DataFrame:
     """An empty right side."""
     return blocked.sparkSession.createDataFrame([], RIGHT)
 
-
-def texts_in_pieces(table: pa.Table, column: str) -> Iterator[pa.RecordBatch]:
-    yield from table.combine_chunks().to_batches()

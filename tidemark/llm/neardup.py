@@ -133,17 +133,18 @@ def sampled_units(docs: DataFrame, firsts: DataFrame, *, blocks: int, words: int
     blocked = docs.select(G.block_of(*place, blocks=blocks).alias("block"), *place, "text")
     null = lambda kind: F.lit(None).cast(kind)
     known = firsts.groupBy(G.block_of(*place, blocks=blocks).alias("block")).agg(F.collect_list(F.concat_ws("|", F.col("unit").cast("string"), F.col("digest"))).alias("keys"))
-    known = known.select("block", F.lit(-1).alias("kind"), null("int").alias("bucket"), null("bigint").alias("total"), null("binary").alias("blob"), "keys")
+    known = known.select("block", F.lit(-1).alias("kind"), null("int").alias("bucket"), null("binary").alias("blob"), "keys")
+    units = max(1, firsts.count())
 
-    def grams(left: pa.Table, right: pa.Table) -> tuple[int, list[tuple[np.ndarray, np.ndarray]]]:
+    def grams(left: pa.Table, right: pa.Table) -> list[tuple[np.ndarray, np.ndarray]]:
         b = _Block(left, right, words)
-        return len(b.unit), [(b.distinct, b.count)]
+        return [(b.distinct, b.count)]
 
     def sample(left: pa.Table, right: pa.Table) -> pa.Table:
         b = _Block(left, right, words)
-        units, (counts,) = G.answers(right, 1)
+        (counts,) = G.answers(right, 1)
         df = counts[b.number] if len(b.h) else np.zeros(0, np.int64)
-        w = _weights(df, b.tf, max(units, 1), smooth)
+        w = _weights(df, b.tf, units, smooth)
         n = len(b.unit)
         shared, whole = np.bincount(b.row, weights=np.where(df > 1, w, 0), minlength=n), np.bincount(b.row, weights=w, minlength=n)
         chosen = (whole > 0) & (shared >= (threshold - 1e-9) * whole)

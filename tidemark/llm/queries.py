@@ -19,7 +19,8 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lmscore.score(_table(spark, sf_dir, "documents"))
+    made = lmscore.score(_table(spark, sf_dir, "documents"))
+    return made.select("doc_id", "n_words", "n_backed_off", *(F.round(c, 6).alias(c) for c in ("log_score", "mean_log_score")))
 
 
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,6 +75,16 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 _LOW = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = "regexp_extract_all(" + _LOW + r", '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
+_OP1 = r"""WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents), u AS (SELECT doc_id, unnest(w) AS t, generate_subscripts(w, 1) AS i FROM d),
+ p AS (SELECT doc_id, i, t, lag(t) OVER (PARTITION BY doc_id ORDER BY i) AS b FROM u), c1 AS (SELECT t, count(*) AS n FROM u GROUP BY t), m1 AS (SELECT doc_id, t, count(*) AS n FROM u GROUP BY doc_id, t),
+ c2 AS (SELECT b, t, count(*) AS n FROM p WHERE b IS NOT NULL GROUP BY b, t), m2 AS (SELECT doc_id, b, t, count(*) AS n FROM p WHERE b IS NOT NULL GROUP BY doc_id, b, t),
+ o1 AS (SELECT m1.doc_id, m1.t, c1.n - m1.n AS n FROM m1 JOIN c1 USING (t)), o2 AS (SELECT m2.doc_id, m2.b, m2.t, c2.n - m2.n AS n FROM m2 JOIN c2 USING (b, t)),
+ z AS (SELECT doc_id, greatest(1, (SELECT count(*) FROM u) - len(w)) AS size FROM d),
+ s AS (SELECT p.doc_id, p.b, o2.n AS n2, cx.n AS nc, ln((CASE WHEN own.n > 0 THEN own.n ELSE 0.4 END) / z.size) AS one FROM p JOIN z USING (doc_id) JOIN o1 own ON own.doc_id = p.doc_id AND own.t = p.t
+  LEFT JOIN o1 cx ON cx.doc_id = p.doc_id AND cx.t = p.b LEFT JOIN o2 ON o2.doc_id = p.doc_id AND o2.b = p.b AND o2.t = p.t),
+ g AS (SELECT doc_id, count(*) AS n, sum(CASE WHEN b IS NOT NULL AND n2 = 0 THEN 1 ELSE 0 END) AS k, sum(CASE WHEN b IS NULL THEN one WHEN n2 > 0 THEN ln(n2 / greatest(1.0, nc)) ELSE ln(0.4) + one END) AS v FROM s GROUP BY doc_id)
+SELECT d.doc_id, coalesce(g.n, 0) AS n_words, CAST(coalesce(g.k, 0) AS BIGINT) AS n_backed_off, round(coalesce(v, 0), 6) AS log_score, round(coalesce(v / g.n, 0), 6) AS mean_log_score FROM d LEFT JOIN g ON g.doc_id = d.doc_id"""
+
 _OP8 = """WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages), d AS (SELECT page_id, strlen(h) AS n, sha256(h) AS g FROM p),
  f AS (SELECT g, min(page_id) AS first FROM d WHERE n >= 100 GROUP BY g)
 SELECT d.page_id, CAST(n AS BIGINT) AS payload_bytes, d.g AS payload_digest, CASE WHEN f.first < d.page_id THEN 'revisit' ELSE 'response' END AS record_type,
@@ -111,4 +122,4 @@ _OP6 = f"""WITH u AS (SELECT page_id, {_LOW.format("regexp_extract(coalesce(url,
 SELECT u.page_id, u.host, u.path, f.rule, coalesce(f.verdict, CASE WHEN bl.host IS NOT NULL THEN 'block' ELSE 'allow' END) AS verdict FROM u LEFT JOIN f ON f.page_id = u.page_id AND f.x = 1 LEFT JOIN bl ON bl.host = u.host"""
 
 #: Digests of tokens, estimated accuracies, checksums, permutations and similarity classes are not expressible; those queries are held against brute force in the tests.
-ORACLE_SQL: dict[str, str] = {"op6_url_reputation": _OP6, "op8_warc_segments": _OP8, "op9_decontamination": _OP9}
+ORACLE_SQL: dict[str, str] = {"op1_lm_scores": _OP1, "op6_url_reputation": _OP6, "op8_warc_segments": _OP8, "op9_decontamination": _OP9}

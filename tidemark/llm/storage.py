@@ -1,8 +1,9 @@
 """Shared scratch tables, the only way lineage is cut here.
 
 A table is written below ``spark.checkpoint.dir`` so that every executor can
-read it again after another one is lost.  Only where that setting is absent
-(unit tests on one machine) a local folder is taken.
+read it again after another one is lost.  Only where that setting is absent and
+the session runs in one process (unit tests) a local folder is taken.  Tables
+that a result still reads stay; ``clean`` deletes all of an application.
 """
 
 from __future__ import annotations
@@ -23,14 +24,25 @@ def shared_root(spark: SparkSession) -> str:
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root:
         return root.rstrip("/")
-    app = spark.sparkContext.applicationId
+    app, master = spark.sparkContext.applicationId, spark.sparkContext.master
+    if master.split("[")[0] != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if app not in _LOCAL:
         _LOCAL[app] = "file://" + tempfile.mkdtemp(prefix="tidemark-")
     return _LOCAL[app]
 
 
+def _own(spark: SparkSession) -> str:
+    return f"{shared_root(spark)}/tidemark/{spark.sparkContext.applicationId}"
+
+
 def new_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_root(spark)}/tidemark/{label}-{uuid.uuid4().hex}"
+    return f"{_own(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+def clean(spark: SparkSession) -> None:
+    """Delete all scratch tables of this application; results that read them can't be read any more."""
+    remove(spark, _own(spark))
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
@@ -44,10 +56,11 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
 def forget(df: DataFrame) -> None:
     """Delete the scratch files below a stored table that no one reads any more."""
     spark = df.sparkSession
-    marker = f"{shared_root(spark)}/tidemark/"
+    own = _own(spark)
+    mark = own.split(":", 1)[-1].lstrip("/")
     for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        if "/tidemark/" in folder:
-            remove(spark, marker + folder.rsplit("/tidemark/", 1)[1])
+        if f"{mark}/" in folder:
+            remove(spark, f"{own}/{folder.split(f'{mark}/', 1)[1]}")
 
 
 def remove(spark: SparkSession, path: str) -> None:
@@ -67,4 +80,4 @@ def input_bytes(df: DataFrame) -> int:
 
 def parts_for(df: DataFrame, bytes_each: int, least: int = 8) -> int:
     """A number of parts in proportion to the input, so that each stays of one size."""
-    return max(least, min(1 << 20, math.ceil(input_bytes(df) / bytes_each)))
+    return max(least, math.ceil(input_bytes(df) / bytes_each))
