@@ -5,6 +5,7 @@ from __future__ import annotations
 import base64
 import collections
 import hashlib
+import pickle
 import random
 import re
 
@@ -144,11 +145,33 @@ def test_contamination_against_brute_force(spark, table_bytes):
     bench = spark.createDataFrame(items, "item_id bigint, text string")
     got = contamination.find_occurrences(docs, bench, table_bytes=table_bytes)
     assert collections.Counter((r["doc_id"], r["n_words"], r["n_hit"], tuple(r["items"])) for r in got.collect()) == collections.Counter((i, *(tuple(x) if isinstance(x, list) else x for x in brute_hits(t, items))) for i, t, _ in rows)
+    with pytest.raises(ValueError):
+        contamination.find_occurrences(docs, bench, most_bytes=10)
     if table_bytes > 1000:
         assert contamination.find_occurrences(docs, bench.limit(0)).filter("n_hit > 0").count() == 0
         assert contamination.drop_contaminated(docs, bench).columns == docs.columns
 
 
+def test_tables_stay_in_proportion_to_the_benchmark(monkeypatch):
+    rng = random.Random(14)
+    texts = [sentence(rng, 200) for _ in range(1500)]
+    size = sum(map(len, texts))
+    made = contamination.Matcher([str(i) for i in range(len(texts))], pa.array(texts), 10)
+    assert len(pickle.dumps(made)) < 12 * size
+    monkeypatch.setattr(contamination, "COMPARED", 7)  # a bucket larger than what is compared at once
+    items = ["a b c d", "a x c d", "a b c d", "b b c d"] + [f"a b {i} c d" for i in range(20)]
+    own = contamination.Matcher([str(i) for i in range(len(items))], pa.array(items), 4)
+    docs = pa.array(["z a b c d a b 7 c d", "a x c d" * 2, "b 3 c d", None])
+    body, offsets = K.text_buffers(docs)
+    w = K.words(body, offsets, contamination.WORD_BYTES, lower=True)
+    cover, found = np.zeros(len(w.hash) + 1, np.int64), {}
+    own.search(w, body, cover, found)
+    hit = np.cumsum(cover[:-1]) > 0
+    for r, t in enumerate(docs.to_pylist()):
+        n, n_hit, names = brute_hits(t, list(enumerate(items)), 4)
+        assert (int((w.row == r).sum()), int(hit[w.row == r].sum()), sorted(found.get(r, ()))) == (n, n_hit, names)
+
+
 @pytest.mark.parametrize("n", [1, 2, 3, 7, 16, 17, 1000])
 def test_permutation_is_one(n):
     assert sorted(feistel.permute(np.arange(n), n, b"k").tolist()) == list(range(n))

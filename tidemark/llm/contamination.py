@@ -3,31 +3,43 @@
 The symbols of the search are words, the patterns windows of ``window`` words
 of the benchmark's items.  A block is two words; for every block the shift
 table says how far the cursor may move, since no window can end before that.
-Where the shift is zero, the suffix-hash bucket of the block selects windows,
-and a direct comparison of the words' bytes confirms an occurrence.
-Many cursors advance in step, so that each move is a vector operation.
-
-Defined results: null and empty texts have no words and no hit; repeated rows
-are judged one by one; an empty benchmark hits nothing; an item without a word
-has no window; an item of fewer words than ``window`` is one window; columns of
-``docs`` beside the text pass through and those named like a result are replaced.
+Where the shift is zero, the bucket of the block's hash (and, inside it, the hash
+of a window's first block) selects windows, and a direct comparison of the words'
+bytes confirms an occurrence.  Many cursors advance in step, so that each move is
+a vector operation.
+
+Windows are places in the words of the items, kept as arrays: the tables take
+about twelve times the bytes of the benchmark's text (stated by a test).  Their
+size is checked before they are sent out; a larger benchmark is dealt into several
+tables, which one scan of the documents searches in turn, one in memory at a time.
+
+Defined results: null and empty texts have no words and no hit; a very long text is
+searched whole; repeated rows are judged one by one; equal windows of several items
+count for each; an empty benchmark hits nothing, and without documents there are no
+rows; an item without a word has no window; an item of fewer words than ``window``
+is one window; columns of ``docs`` beside the text pass through and those named like
+a result are replaced.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.llm import textkernel as K
 from tidemark.llm.arrowmap import add_columns
-from tidemark.llm.storage import materialize
 
 #: Fixed by the contract: letters and digits of ASCII, and all other code points.
 WORD_BYTES = bytes([*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)])
 SEGMENT = 2048
+#: Text of a benchmark in one table, and in all of them; pairs of positions and windows compared at once.
+TABLE_BYTES, MOST_BYTES, COMPARED = 16 << 20, 1 << 30, 1 << 18
 
 FIELDS = [
     T.StructField("n_words", T.LongType()),
@@ -40,32 +52,63 @@ def _lowered(body: np.ndarray) -> bytes:
     return body.tobytes().lower()  # bytes.lower() touches A-Z alone
 
 
+def _spread(low: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """low, low + 1, ... for n numbers each."""
+    return np.arange(int(n.sum())) + np.repeat(low - (np.cumsum(n) - n), n)
+
+
+class Items:
+    """Words of all items: lower-cased bytes, places, hashes and item of each word."""
+
+    def __init__(self, texts: pa.Array):
+        body, offsets = K.text_buffers(texts)
+        w = K.words(body, offsets, WORD_BYTES, lower=True)
+        self.low, self.hash, self.row, self.rows = _lowered(body), w.hash, w.row.astype(np.int32), w.rows
+        self.start, self.end = w.start.astype(np.int32), w.end.astype(np.int32)
+
+    def windows(self, length: int) -> Iterator[tuple[int, np.ndarray]]:
+        """(words, first word of each) of the windows: ``length`` words, or all of a shorter item."""
+        n = np.bincount(self.row, minlength=self.rows)
+        first = np.cumsum(n) - n
+        for k in range(1, length):
+            if len(short := first[n == k]):
+                yield k, short
+        if len(self.row) >= length and len(whole := np.flatnonzero(self.row[: len(self.row) - length + 1] == self.row[length - 1 :])):
+            yield length, whole
+
+
 class Tables:
-    """Shift table, suffix buckets and windows of one length."""
-
-    def __init__(self, length: int, windows: list[tuple[bytes, ...]], owners: list[list[int]]):
-        self.length, self.windows, self.owners = length, windows, owners
-        flat = [w for x in windows for w in x]
-        joined = pa.array([b"\n".join(flat).decode()], pa.string())
-        body, offsets = K.text_buffers(joined)
-        self.hash = K.words(body, offsets, WORD_BYTES).hash.reshape(len(windows), length)
-        self.block = min(2, length)
-        bits = max(12, int(8 * len(windows) * length).bit_length())
+    """Shift table, buckets and windows of one length."""
+
+    def __init__(self, items: Items, length: int, first: np.ndarray):
+        self.length, self.block = length, min(2, length)
+        key = K.fold([items.hash[first + i] for i in range(length)])
+        self.key, one, same = np.unique(key, return_index=True, return_inverse=True)
+        first_of = first[one].astype(np.int32)
+        owners = np.unique(np.stack([same, items.row[first]]), axis=1)
+        bits = max(12, int(4 * len(first_of)).bit_length())
         self.mask = np.uint64((1 << bits) - 1)
         longest = min(length - self.block + 1, 255)
         self.shift = np.full(1 << bits, longest, np.uint8)
         for j in range(self.block - 1, length):
-            key = self._block(self.hash, j)
-            np.minimum.at(self.shift, (key & self.mask).astype(np.int64), np.uint8(min(length - 1 - j, longest)))
-        suffix = self._block(self.hash, length - 1)
-        self.order = np.argsort(suffix, kind="stable")
-        self.suffix = suffix[self.order]
+            np.minimum.at(self.shift, (self._block(items.hash, first_of + j) & self.mask).astype(np.int64), np.uint8(min(length - 1 - j, longest)))
+        bucket = self._bucket(items.hash, first_of + length - 1)
+        order = np.argsort(bucket, kind="stable")
+        self.bucket, self.first, number = bucket[order], first_of[order], np.empty(len(order), np.int64)
+        number[order] = np.arange(len(order))
+        by = np.argsort(number[owners[0]], kind="stable")
+        self.owner = owners[1][by].astype(np.int32)
+        self.owner_at = np.searchsorted(number[owners[0]][by], np.arange(len(order) + 1))
+        del self.key
 
     def _block(self, h: np.ndarray, at) -> np.ndarray:
-        return K.fold([h[..., at - i] for i in range(self.block)])
+        return K.fold([h[at - i] for i in range(self.block)])
+
+    def _bucket(self, h: np.ndarray, last) -> np.ndarray:
+        return K.fold([self._block(h, last), self._block(h, last - self.length + self.block)])
 
-    def candidates(self, w: K.Words) -> tuple[np.ndarray, np.ndarray]:
-        """Last-word positions and window numbers whose word hashes all agree."""
+    def candidates(self, w: K.Words, items: Items) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Last-word positions and window numbers whose word hashes all agree, some at a time."""
         m = self.length
         first = w.first_of_row()
         begin, stop = first[:-1] + m - 1, first[1:]
@@ -73,8 +116,7 @@ class Tables:
         begin, stop = begin[keep], stop[keep]
         pieces = -(-(stop - begin) // SEGMENT)
         owner = np.repeat(np.arange(len(begin)), pieces)
-        nth = np.arange(len(owner)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
-        at = begin[owner] + nth * SEGMENT
+        at = begin[owner] + _spread(np.zeros(len(pieces), np.int64), pieces) * SEGMENT
         end = np.minimum(at + SEGMENT, stop[owner])
         stops = []
         while len(at):
@@ -86,124 +128,82 @@ class Tables:
             alive = at < end
             at, end = at[alive], end[alive]
         if not stops:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+            return
         at = np.concatenate(stops)
-        where, which = [], []
-        for part in np.array_split(at, max(1, len(at) // 50_000)):
-            key = self._block(w.hash, part)
-            low, high = np.searchsorted(self.suffix, key, "left"), np.searchsorted(self.suffix, key, "right")
-            n = high - low
-            pos = np.repeat(part, n)
-            nth = np.arange(len(pos)) - np.repeat(np.cumsum(n) - n, n)
-            window = self.order[np.repeat(low, n) + nth]
+        bucket = self._bucket(w.hash, at)
+        low, high = np.searchsorted(self.bucket, bucket, "left"), np.searchsorted(self.bucket, bucket, "right")
+        at, low, n = at[low < high], low[low < high], (high - low)[low < high]
+        while len(at):
+            take = np.minimum(n, COMPARED)
+            some = max(1, int(np.searchsorted(np.cumsum(take), COMPARED, "right")))
+            pos, window = np.repeat(at[:some], take[:some]), _spread(low[:some], take[:some])
             for i in range(m):
-                same = w.hash[pos - m + 1 + i] == self.hash[window, i]
+                same = w.hash[pos - m + 1 + i] == items.hash[self.first[window] + i]
                 pos, window = pos[same], window[same]
-                if not len(pos):
-                    break
-            where.append(pos)
-            which.append(window)
-        return np.concatenate(where), np.concatenate(which)
+            if len(pos):
+                yield pos, window
+            left = n[:some] > take[:some]
+            at = np.concatenate([at[:some][left], at[some:]])
+            low, n = np.concatenate([(low + take)[:some][left], low[some:]]), np.concatenate([(n - take)[:some][left], n[some:]])
 
 
 class Matcher:
-    """Windows of all items, as Wu-Manber tables by length."""
-
-    def __init__(self, items: list[tuple[str, str | None]], window: int):
-        self.names = [i or "" for i, _ in items]
-        found: dict[tuple[bytes, ...], list[int]] = {}
-        for n, (_, text) in enumerate(items):
-            body, offsets = K.text_buffers(pa.array([text or ""], pa.string()))
-            w, low = K.words(body, offsets, WORD_BYTES, lower=True), _lowered(body)
-            seq = [low[a:b] for a, b in zip(w.start.tolist(), w.end.tolist(), strict=True)]
-            for i in range(max(1, len(seq) - window + 1) if seq else 0):
-                owners = found.setdefault(tuple(seq[i : i + window]), [])
-                if not owners or owners[-1] != n:
-                    owners.append(n)
-        by_length: dict[int, list[tuple[bytes, ...]]] = {}
-        for x in found:
-            by_length.setdefault(len(x), []).append(x)
-        self.tables = [Tables(k, v, [found[x] for x in v]) for k, v in sorted(by_length.items())]
-
-    def search(self, column: pa.Array) -> tuple[K.Words, np.ndarray, dict[int, set[int]]]:
-        """Words, which of them are hit, and item numbers by row."""
-        body, offsets = K.text_buffers(column)
-        w = K.words(body, offsets, WORD_BYTES, lower=True)
-        cover = np.zeros(len(w.hash) + 1, np.int64)
-        items: dict[int, set[int]] = {}
-        low: bytes | None = None
+    """Windows of some items, as Wu-Manber tables by length."""
+
+    def __init__(self, names: list[str], texts: pa.Array, window: int):
+        self.names, self.items = names, Items(texts)
+        self.tables = [Tables(self.items, k, first) for k, first in self.items.windows(window)]
+
+    def search(self, w: K.Words, body: np.ndarray, cover: np.ndarray, found: dict[int, set[str]]) -> None:
+        """Add occurrences to ``cover`` (1 at a first word, -1 behind a last one) and their items to ``found``, by row."""
+        own, low = self.items, None
         for t in self.tables:
-            where, which = t.candidates(w)
-            if not len(where):
-                continue
-            low = low if low is not None else _lowered(body)
-            first = where - t.length + 1
-            confirmed = np.zeros(len(where), bool)
-            spans: dict[tuple[int, bytes], bool] = {}
-            for k, (f, last, n) in enumerate(zip(first.tolist(), where.tolist(), which.tolist(), strict=True)):
-                key = (n, low[w.start[f] : w.end[last]])
-                if key not in spans:
-                    own = tuple(low[w.start[i] : w.end[i]] for i in range(f, last + 1))
-                    spans[key] = own == t.windows[n]
-                if spans[key]:
-                    confirmed[k] = True
-                    items.setdefault(int(w.row[f]), set()).update(t.owners[n])
-            np.add.at(cover, first[confirmed], 1)
-            np.add.at(cover, where[confirmed] + 1, -1)
-        return w, np.cumsum(cover[:-1]) > 0, items
-
-    def named(self, items: dict[int, set[int]], rows: int) -> list[list[str]]:
-        return [sorted({self.names[i] for i in items[r]}) if r in items else [] for r in range(rows)]
-
-    def judge(self, column: pa.Array) -> list:
-        w, hit, items = self.search(column)
-        n_hit = np.bincount(w.row[hit], minlength=w.rows).astype(np.int64)
-        return [w.per_row(), n_hit, self.named(items, w.rows)]
-
-    def marks(self, column: pa.Array) -> list:
-        """As judge(), with a byte for each word in place of the number hit."""
-        w, hit, items = self.search(column)
-        ends = w.first_of_row()
-        flags = hit.astype(np.uint8)
-        return [w.per_row(), [flags[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)], self.named(items, w.rows)]
-
-
-def find_occurrences(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = 10, table_bytes: int = 32 << 20) -> DataFrame:
+            for last, which in t.candidates(w, own):
+                low = low if low is not None else _lowered(body)
+                first = last - t.length + 1
+                seen: dict[tuple[int, bytes], bool] = {}
+                hit = np.zeros(len(last), bool)
+                for k, (f, z, n) in enumerate(zip(first.tolist(), last.tolist(), which.tolist(), strict=True)):
+                    key = (n, low[w.start[f] : w.end[z]])
+                    if key not in seen:
+                        o = int(t.first[n])
+                        seen[key] = all(low[w.start[f + i] : w.end[f + i]] == own.low[own.start[o + i] : own.end[o + i]] for i in range(t.length))
+                    if seen[key]:
+                        hit[k] = True
+                        found.setdefault(int(w.row[f]), set()).update(self.names[i] for i in t.owner[t.owner_at[n] : t.owner_at[n + 1]])
+                np.add.at(cover, first[hit], 1)
+                np.add.at(cover, last[hit] + 1, -1)
+
+
+def _judged(column: pa.Array, parts: list[Broadcast]) -> list:
+    body, offsets = K.text_buffers(column)
+    w = K.words(body, offsets, WORD_BYTES, lower=True)
+    cover, found = np.zeros(len(w.hash) + 1, np.int64), {}
+    for part in parts:
+        part.value.search(w, body, cover, found)
+        if len(parts) > 1:
+            part.__dict__.pop("_value", None)  # read again from the executor's file when it is next in turn
+    hit = np.cumsum(cover[:-1]) > 0
+    return [w.per_row(), np.bincount(w.row[hit], minlength=w.rows).astype(np.int64), [sorted(found.get(r, ())) for r in range(w.rows)]]
+
+
+def find_occurrences(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = 10, table_bytes: int = TABLE_BYTES, most_bytes: int = MOST_BYTES) -> DataFrame:
     """``docs`` with n_words, n_hit and items (sorted strings) for each row.
 
-    The benchmark is a set of tests of bounded size; its bytes are counted
-    before anything is sent out.  Beyond ``table_bytes`` its items are dealt
-    into several passes, each within that bound, whose findings are merged.
+    The benchmark is a set of tests of bounded size: its bytes are counted, and
+    above ``most_bytes`` it is refused.
     """
-    size = benchmark.agg(F.sum(F.octet_length(item_text))).first()[0] or 0
-    passes = max(1, -(-int(size) // table_bytes))
-    items = benchmark.select(F.col(item_id).cast("string"), F.col(item_text)).filter(F.col(item_text).isNotNull())
-    out = docs
-    for n in range(passes):
-        part = items if passes == 1 else items.filter(F.pmod(F.xxhash64(F.col(item_id).cast("string")), F.lit(passes)) == n)
-        shared = docs.sparkSession.sparkContext.broadcast(Matcher([(r[0], r[1]) for r in part.collect()], window))
-        if passes == 1:
-            return add_columns(out, text, FIELDS, lambda column: shared.value.judge(column))
-        out = _merge(out, text, shared, n, n == passes - 1)
-        if n < passes - 1:
-            out = materialize(out, "contamination")
-    return out
-
-
-def _merge(docs: DataFrame, text: str, shared, n: int, last: bool) -> DataFrame:
-    """One pass of several: hits are kept as one mark for each word until the last."""
-    marks = [T.StructField("__n", T.LongType()), T.StructField(f"__hit{n}", T.BinaryType()), T.StructField(f"__items{n}", T.ArrayType(T.StringType()))]
-
-    out = add_columns(docs, text, marks, lambda column: shared.value.marks(column))
-    if not last:
-        return out
-    hits = [f"__hit{i}" for i in range(n + 1)]
-    merged = F.udf(lambda *x: int(np.bitwise_or.reduce([np.frombuffer(y, np.uint8) for y in x]).sum()), "long")
-    named = F.array_sort(F.array_distinct(F.flatten(F.array(*(F.col(f"__items{i}") for i in range(n + 1))))))
-    made = {"n_words": F.col("__n"), "n_hit": merged(*hits), "items": named}
-    gone = {"__n", *hits, *(f"__items{i}" for i in range(n + 1))}
-    kept = [c for c in out.columns if c not in gone and c.lower() not in made]
-    return out.select(*kept, *(v.alias(k) for k, v in made.items()))
+    spark = docs.sparkSession
+    size = int(benchmark.agg(F.sum(F.octet_length(item_text))).first()[0] or 0)
+    if size > most_bytes:
+        raise ValueError(f"a benchmark of {size} bytes is above the bound of {most_bytes}")
+    items = benchmark.select(F.coalesce(F.col(item_id).cast("string"), F.lit("")).alias("name"), F.col(item_text).alias("text")).filter("text is not null")
+    n = max(1, -(-size // table_bytes))
+    parts = []
+    for k in range(n):
+        own = (items if n == 1 else items.filter(F.pmod(F.xxhash64("name"), F.lit(n)) == k)).toArrow()
+        parts.append(spark.sparkContext.broadcast(Matcher(own.column("name").to_pylist(), own.column("text").combine_chunks(), window)))
+    return add_columns(docs, text, FIELDS, lambda column: _judged(column, parts), most=4 << 20 if n == 1 else 32 << 20)
 
 
 def items_digest(items) -> F.Column:

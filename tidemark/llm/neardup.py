@@ -19,8 +19,11 @@ A unit can miss its class if it agrees with it in no band (0.17 % for a single
 partner at a similarity of 0.8, fewer above).
 
 Defined results: texts of fewer words than a shingle are one shingle; a null
-text is taken as empty, and texts without words only equal each other; rows of one id
-belong together; a null id is never chosen as class id unless all are null.
+text is taken as empty, and texts without words only equal each other; a very long
+text is a block by itself at worst; repeated rows are one member and come back as
+often as they were; rows of one id belong together; a null id is never chosen as
+class id unless all are null; other columns are left out, whatever their names; an
+empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -243,7 +246,10 @@ def links(units: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     met = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     cells = met.select("band", "key", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), "part", "unit", "settled").join(units.select("unit", "sample", "vector"), "unit")
     linked = cells.groupBy("band", "key", "low", "high").applyInArrow(_linking(threshold), "a bigint, b bigint").distinct()
-    return found.unionByName(materialize(linked, "neardup-linked"))
+    made = materialize(found.unionByName(linked), "neardup-links")
+    for scratch in (led, first, open_):
+        forget(scratch)
+    return made
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -307,8 +313,10 @@ def classes(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", word
     pairs = rows.select("unit", "digest").distinct()
     several = pairs.join(pairs.groupBy("unit").count().filter("count > 1").select("unit"), "unit").join(first, "digest")
     same_id = several.join(several.groupBy("unit").agg(F.min("first").alias("a")), "unit").filter("a <> first").select("a", F.col("first").alias("b"))
-    edges = links(units, threshold).unionByName(same_id)
-    labels = components(edges)
+    linked = links(units, threshold)
+    forget(units)
+    labels = components(linked.unionByName(same_id))
+    forget(linked)
     joined = rows.join(first, "digest").join(labels.withColumnRenamed("unit", "first"), "first", "left")
     chosen = F.coalesce("label", "first")
     return joined.select(F.col("id").alias("doc_id"), F.when(chosen < NAMELESS, chosen).alias("class_id"))
