@@ -61,6 +61,24 @@ def test_token_shards_hold_every_sequence_once(spark):
     assert tokenshards.write(spark.createDataFrame([], SCHEMA), storage.new_path(spark, "t"), path=PATH, pattern=PATTERN, key=b"k") == 0
 
 
+def test_large_vocabularies_take_four_bytes(spark, tmp_path):
+    import base64
+
+    pieces = [bytes([a]) for a in range(256)] + [bytes([a, b]) for a in range(256) for b in range(256)]
+    path = tmp_path / "wide.tiktoken"
+    path.write_bytes(b"".join(base64.b64encode(p) + b" %d\n" % i for i, p in enumerate(pieces)))
+    assert (tokenshards.id_type(PATH, PATTERN), tokenshards.id_type(str(path), PATTERN)) == ("<u2", "<u4")
+    rows = [(i, "ÿ" * (i % 7) + " x", "en") for i in range(40)]
+    folder = storage.new_path(spark, "t")
+    total = tokenshards.write(spark.createDataFrame(rows, SCHEMA), folder, path=str(path), pattern=PATTERN, key=b"k", length=4, rows=9)
+    got = tokenshards.read(spark, folder, length=4, rows=9, kind="<u4").collect()
+    own = tokenshards.encoding(str(path), PATTERN)
+    ids = {i: [*own.encode_ordinary(t), len(pieces)] for i, t, _ in rows}
+    assert len(got) == total and max(x for r in got for x in r["ids"]) == len(pieces) == 65_792
+    assert all(r["ids"] == ids[r["doc_id"]][4 * r["seq_no"] : 4 * r["seq_no"] + 4] for r in got)
+    assert all(zlib.crc32(np.array(r["ids"], "<u4").tobytes()) == r["ids_crc32"] for r in got)
+
+
 PAGES = "page_id bigint, url string, html string"
 
 

@@ -6,7 +6,8 @@ on good and on bad texts, and a text is kept when its posterior probability of
 being good reaches a threshold.  The pattern table has at most 3**rules rows,
 whatever the corpus, so only it comes to the driver.
 
-Defined results: a null text has no words; texts below the base rules (too few
+Defined results: a null text has no words; a very long text is measured whole; a
+posterior of exactly the threshold is kept; texts below the base rules (too few
 words, or too many of them in repeated windows) are never kept; repeated rows
 get equal verdicts; with an empty table nothing is estimated or returned; input
 columns pass through, those named like a result are replaced.
@@ -19,13 +20,13 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.storage import forget, materialize
+from tidemark.llm.storage import materialize
 
 #: Fixed by the contract.
 WORD_GAP = "[\\x20\\x09-\\x0D]+"
 BLANKS = " \t\n\x0b\x0c\r"
 SYMBOLS = "[#*$%&|<>]"
-MARKS = "[!?#*$%&|<>]"
+MARKS = "[!?]"
 WINDOW = 5
 
 MEASURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
@@ -100,7 +101,7 @@ def _per_hundred(part: str, whole: str) -> Column:
     return F.try_divide(F.col(part) * 100, F.col(whole))
 
 
-#: Rules by name: share of symbols, of repeated lines and of repeated words, word length, capitals, marks that decorate words.
+#: Rules by name: share of symbols, of repeated lines and of repeated words, word length, capitals, exclamation and question marks.
 RULES = {
     "symbols": lambda: _vote(_per_hundred("n_symbols", "word_chars"), 1, 5),
     "lines": lambda: _vote(_per_hundred("n_dup_lines", "n_lines"), 5, 30),
@@ -176,17 +177,14 @@ def _code(votes: Column) -> Column:
 def keep_good(docs: DataFrame, *, text: str = "text", least: float = 0.5) -> DataFrame:
     """The rows of ``docs`` whose text passes, with their columns.
 
-    The verdict depends on the text alone, so it is applied in the scan: the
-    posterior map has one entry for each vote pattern.
+    Rows are measured once and stored with the number of their vote pattern; the
+    table of patterns and the rows kept are both read from there.
     """
-    cut = measure(docs, text=text, keep=[]).withColumn("base_failed", base_failed())
-    votes = F.array(*(rule() for rule in RULES.values()))
-    stored = materialize(cut.select(votes.alias("votes")), "quality")
-    post = fit([(tuple(r["votes"]), r["count"]) for r in stored.groupBy("votes").count().collect()])
-    forget(stored)
-    good = [F.lit(sum((a + 1) * 3**j for j, a in enumerate(v))) for v, p in sorted(post.items()) if p >= least]
     named = [f"__c{i}" for i in range(len(docs.columns))]
-    renamed = docs.toDF(*named)
-    judged = measure(renamed, text=named[docs.columns.index(text)], keep=named)
-    kept = judged.filter(~base_failed() & _code(votes).isin(good)) if good else judged.limit(0)
+    votes = F.array(*(rule() for rule in RULES.values()))
+    judged = measure(docs.toDF(*named), text=named[docs.columns.index(text)], keep=named)
+    stored = materialize(judged.select(*named, base_failed().alias("__failed"), votes.alias("__votes")).withColumn("__code", _code(F.col("__votes"))), "quality")
+    post = fit([(tuple(r["__votes"]), r["count"]) for r in stored.groupBy("__votes").count().collect()])
+    good = [sum((a + 1) * 3**j for j, a in enumerate(v)) for v, p in sorted(post.items()) if p >= least]
+    kept = stored.filter(~F.col("__failed") & F.col("__code").isin(good)) if good else stored.limit(0)
     return kept.select(*(F.col(n).alias(c) for n, c in zip(named, docs.columns, strict=True)))

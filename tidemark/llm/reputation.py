@@ -7,18 +7,25 @@ the spread of the children's rates at each level.  A host is blocked when the
 lower bound of its posterior bad rate exceeds a limit, so that few outcomes
 alone block nothing.
 
+The bound is the mean less z deviations of the posterior beta distribution.
+
 Defined results: a null url and one without ``://`` has an empty host and path
-and is allowed; labels that repeat for a page count once, as bad if any is;
-labels of unknown pages are ignored; without labels everything is allowed.
+and is allowed; a very long url is cut like any other; labels that repeat for a page
+count once, as bad if any is; labels of unknown pages and of null ids are ignored;
+repeated pages are counted and judged one by one, those without an id too; of equally
+long rules the first in the alphabet wins; without labels everything is allowed,
+without pages there are no rows; other columns are left out, whatever their names.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
+from tidemark.llm.storage import materialize
+
 #: Fixed by the contract: verdict and rule.
 RULES = (("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/"))
 #: Suffixes of two labels under which domains are registered; more can be given.
@@ -48,24 +55,30 @@ def rule_of(host: Column, path: Column, rules: Sequence[tuple[str, str]]) -> Col
     return chosen
 
 
-def domain_of(host: Column, two_labels: Sequence[str] = TWO_LABELS) -> Column:
-    """The label below the public suffix, with the suffix; ports and user names are cut off."""
-    name = F.regexp_replace(host, r"^.*@|:[0-9]*$", "")
-    last2, last3 = F.substring_index(name, ".", -2), F.substring_index(name, ".", -3)
-    return F.when(last2.isin(list(two_labels)), last3).otherwise(last2)
-
-
-def _strength(children: DataFrame) -> float:
-    """Prior pseudo-counts by the analysis-of-variance estimate of the correlation within groups."""
-    x = children.filter("n > 0").select("n", "b", (F.col("b") / F.col("n")).alias("p"))
-    s = x.agg(
-        F.count("*").alias("m"),
-        F.sum("n").alias("n"),
-        F.sum("b").alias("b"),
-        F.sum(F.col("n") * F.col("n")).alias("nn"),
-        F.sum(F.col("n") * F.col("p") * F.col("p")).alias("npp"),
-    ).first()
-    m, n = s["m"], s["n"] or 0
+def _name(host: Column) -> Column:
+    """A host without port and user name."""
+    return F.regexp_replace(host, r"^.*@|:[0-9]*$", "")
+
+
+def with_domain(hosts: DataFrame, suffixes: DataFrame | None = None) -> DataFrame:
+    """``hosts`` with ``domain``, the label below the public suffix with the suffix.
+
+    ``suffixes`` is a table with the column ``suffix`` of those that have several
+    labels, such as a public list; without it a few common ones are known.
+    """
+    name = _name(F.col("host"))
+    tail = lambda n: F.substring_index(name, ".", -n)
+    if suffixes is None:
+        return hosts.withColumn("domain", F.when(tail(2).isin(list(TWO_LABELS)), tail(3)).otherwise(tail(2)))
+    known = suffixes.select(F.col("suffix").alias("__tail")).distinct()
+    longest = hosts.select("host", F.explode(F.array(*(F.struct(F.lit(n).alias("n"), tail(n).alias("t")) for n in (2, 3, 4)))).alias("x"))
+    longest = longest.select("host", F.col("x.n").alias("n"), F.col("x.t").alias("__tail")).join(known, "__tail").groupBy("host").agg(F.max("n").alias("__n"))
+    return hosts.join(longest, "host", "left").withColumn("domain", F.expr("substring_index(regexp_replace(host, '^.*@|:[0-9]*$', ''), '.', -1 - coalesce(__n, 1))")).drop("__n")
+
+
+def _strength(s: Row | None) -> float:
+    """Prior pseudo-counts by the analysis-of-variance estimate of the correlation within groups, from the sums of a level."""
+    m, n = (s["m"], s["n"]) if s else (0, 0)
     if m < 2 or n <= m:
         return 1 / MOST_RHO - 1
     p = s["b"] / n
@@ -77,19 +90,26 @@ def _strength(children: DataFrame) -> float:
     return 1 / min(MOST_RHO, max(LEAST_RHO, rho)) - 1
 
 
-def reputation(visits: DataFrame) -> DataFrame:
+def reputation(visits: DataFrame, suffixes: DataFrame | None = None) -> DataFrame:
     """Posterior of each host of ``visits(host, bad)``; bad is null where there is no label.
 
-    host, n, b, alpha, beta, mean and lower bound.
+    host, n, b, alpha, beta, mean and lower bound.  Hosts are counted once and
+    stored; the sums of all levels are one aggregate over that table.
     """
-    hosts = visits.groupBy("host").agg(F.count("bad").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).alias("b"))
-    hosts = hosts.withColumn("domain", domain_of(F.col("host")))
-    domains = hosts.groupBy("domain").agg(F.sum("n").alias("n"), F.sum("b").alias("b")).withColumn("suffix", F.expr("if(instr(domain, '.') > 0, substring(domain, instr(domain, '.') + 1), domain)"))
-    suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("b").alias("b"))
-    k_host, k_domain, k_suffix = _strength(hosts), _strength(domains), _strength(suffixes)
-    whole = suffixes.agg(F.sum("n").alias("n"), F.sum("b").alias("b")).first()
-    root = ((whole["b"] or 0) + 0.5) / ((whole["n"] or 0) + 1)
-    suffix_mean = suffixes.select("suffix", ((F.col("b") + k_suffix * root) / (F.col("n") + k_suffix)).alias("above"))
+    counted = visits.groupBy("host").agg(F.count("bad").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).alias("b"))
+    suffix = F.expr("if(instr(domain, '.') > 0, substring(domain, instr(domain, '.') + 1), domain)")
+    hosts = materialize(with_domain(counted, suffixes).withColumn("suffix", suffix), "reputation-hosts")
+    both = lambda *by: hosts.groupBy(*by).agg(F.sum("n").alias("n"), F.sum("b").alias("b"))
+    domains, suffixes_ = both("domain", "suffix"), both("suffix")
+    level = lambda df, name: df.select(F.lit(name).alias("level"), "n", "b")
+    share = F.col("b") / F.col("n")
+    every = level(hosts, "host").unionByName(level(domains, "domain")).unionByName(level(suffixes_, "suffix")).filter("n > 0")
+    sums = every.groupBy("level").agg(F.count("*").alias("m"), F.sum("n").alias("n"), F.sum("b").alias("b"), F.sum(F.col("n") * F.col("n")).alias("nn"), F.sum(F.col("n") * share * share).alias("npp"))
+    known = {r["level"]: r for r in sums.collect()}  # three rows at most
+    k_host, k_domain, k_suffix = (_strength(known.get(x)) for x in ("host", "domain", "suffix"))
+    whole = known.get("suffix")
+    root = ((whole["b"] if whole else 0) + 0.5) / ((whole["n"] if whole else 0) + 1)
+    suffix_mean = suffixes_.select("suffix", ((F.col("b") + k_suffix * root) / (F.col("n") + k_suffix)).alias("above"))
     domain_mean = domains.join(suffix_mean, "suffix").select("domain", ((F.col("b") + k_domain * F.col("above")) / (F.col("n") + k_domain)).alias("above"))
     a = F.col("b") + k_host * F.col("above")
     b = F.col("n") - F.col("b") + k_host * (1 - F.col("above"))
@@ -99,7 +119,7 @@ def reputation(visits: DataFrame) -> DataFrame:
     return made.withColumn("mean", mean).withColumn("lower", mean - BOUND_Z * F.sqrt(mean * (1 - mean) / (total + 1)))
 
 
-def judge(pages: DataFrame, outcomes: DataFrame, *, rules: Sequence[tuple[str, str]] = RULES, limit: float = LIMIT, key: str = "page_id", url: str = "url") -> DataFrame:
+def judge(pages: DataFrame, outcomes: DataFrame, *, rules: Sequence[tuple[str, str]] = RULES, limit: float = LIMIT, key: str = "page_id", url: str = "url", suffixes: DataFrame | None = None) -> DataFrame:
     """key, host, path, rule and verdict of every page.
 
     ``outcomes`` has key and bad (0 or 1).  Hosts are counted with partial sums
@@ -108,8 +128,9 @@ def judge(pages: DataFrame, outcomes: DataFrame, *, rules: Sequence[tuple[str, s
     """
     parsed = pages.select(F.col(key).alias("key"), host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"))
     labels = outcomes.select(F.col(key).alias("key"), F.col("bad").cast("int")).groupBy("key").agg(F.max("bad").alias("bad"))
-    known = reputation(parsed.select("key", "host").join(labels, "key", "left").filter("host <> ''"))
-    blocked = known.filter(F.col("lower") > limit).select("host", F.lit(True).alias("blocked"))
+    known = reputation(parsed.select("key", "host").filter("host <> ''").join(labels, "key", "left"), suffixes)
+    blocked = known.filter(F.col("lower") > limit).select(F.col("host").alias("at"), F.lit(True).alias("blocked"))
     ruled = parsed.withColumn("fit", rule_of(F.col("host"), F.col("path"), rules))
     method = F.when(F.col("blocked"), "block").otherwise("allow")
-    return ruled.join(blocked, "host", "left").select(F.col("key").alias(key), "host", "path", F.col("fit.rule").alias("rule"), F.coalesce(F.col("fit.verdict"), method).alias("verdict"))
+    nowhere = F.concat(F.lit("/"), F.xxhash64("key").cast("string"))  # pages without a host meet no other page: a host has no slash
+    return ruled.withColumn("at", F.when(F.col("host") == "", nowhere).otherwise(F.col("host"))).join(blocked, "at", "left").select(F.col("key").alias(key), "host", "path", F.col("fit.rule").alias("rule"), F.coalesce(F.col("fit.verdict"), method).alias("verdict"))

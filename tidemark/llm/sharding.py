@@ -1,13 +1,15 @@
 """Contiguous shards of equal bytes, in DataFrame functions alone.
 
-Rows are put in order of their key by range partitions and stored; the bytes
-and rows of each partition give its global offset, a running sum inside the
-partition gives each row's, and the global byte range is cut at equal targets.
-A row goes where its middle byte falls, so a shard misses its share by at most
-half of the row at either end.
-
-Defined results: a null text has no bytes; null keys come first; rows that are
-equal in key, size and checksum are interchangeable; an empty table gives no
+Rows that are equal in key, size and checksum are counted as one group, so that no
+key can be hot.  Groups are put in order of their key by range partitions and
+stored; the bytes and rows of each partition give its global offset, a running sum
+inside the partition gives each group's, and the global byte range is cut at equal
+targets.  A row goes where its middle byte falls, so a shard misses its share by at
+most half of the row at either end.
+
+Defined results: a null text has no bytes; a very long text is one row of its size;
+null keys come first; rows of a group are interchangeable, and come back as many as
+they were; other columns are left out, whatever their names; an empty table gives no
 rows; with more shards than rows some stay empty.
 """
 
@@ -21,8 +23,8 @@ from tidemark.llm.storage import materialize, parts_for
 #: Bytes that a row takes besides its text, fixed by the contract.
 OVERHEAD = 8
 PART_BYTES = 32 << 20
-#: Rows of offsets that are sent to every executor: one for each range partition.
-MOST_OFFSETS = 1 << 20
+#: Rows of a group that are laid out at once.
+RUN = 1 << 12
 
 
 def by_bytes(docs: DataFrame, shards: int, *, key: str = "doc_id", text: str = "text", part_bytes: int = PART_BYTES) -> DataFrame:
@@ -31,25 +33,22 @@ def by_bytes(docs: DataFrame, shards: int, *, key: str = "doc_id", text: str = "
     body = F.coalesce(F.col(text), F.lit(""))
     order = ["key", "size", "crc"]
     sized = docs.select(F.col(key).alias("key"), (F.octet_length(body) + F.lit(OVERHEAD)).cast("bigint").alias("size"), F.crc32(F.encode(body, "UTF-8")).alias("crc"))
-    stored = materialize(sized.repartitionByRange(parts, *order).withColumn("part", F.spark_partition_id()), "sharding")
+    groups = sized.groupBy(*order).agg(F.count("*").alias("n"))
+    stored = materialize(groups.repartitionByRange(parts, *order).withColumn("part", F.spark_partition_id()), "sharding")
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    totals = stored.groupBy("part").agg(F.sum("size").alias("bytes"), F.count("*").alias("rows"))
-    offsets = totals.select(
-        "part",
-        F.coalesce(F.sum("bytes").over(before), F.lit(0)).alias("byte0"),
-        F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("row0"),
-        F.sum("bytes").over(whole).alias("total"),
-    )
-    if parts <= MOST_OFFSETS:
-        offsets = F.broadcast(offsets)
-    inside = Window.partitionBy("part").orderBy(*order)
-    up_to = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    running = stored.withColumn("end", F.sum("size").over(up_to)).withColumn("nth", F.row_number().over(inside).cast("bigint"))
-    ranked = running.join(offsets, "part").select(
+    totals = stored.groupBy("part").agg(F.sum(F.col("size") * F.col("n")).alias("bytes"), F.sum("n").alias("rows"))
+    offsets = totals.select("part", F.coalesce(F.sum("bytes").over(before), F.lit(0)).alias("byte0"), F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("row0"))
+    total = totals.agg(F.sum("bytes")).first()[0] or 0
+    earlier = Window.partitionBy("part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    placed = stored.withColumn("bytes1", F.coalesce(F.sum(F.col("size") * F.col("n")).over(earlier), F.lit(0))).withColumn("rows1", F.coalesce(F.sum("n").over(earlier), F.lit(0)))
+    # one row of offsets for each range partition of 32 MB; the planner decides whether it is sent or sorted
+    begun = placed.join(offsets, "part").select(*order, "n", (F.col("byte0") + F.col("bytes1")).alias("byte"), (F.col("row0") + F.col("rows1")).alias("rank"))
+    runs = begun.select("*", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1, F.lit(RUN).cast("bigint"))).alias("from"))
+    each = runs.select("*", F.explode(F.sequence("from", F.least(F.col("n") - 1, F.col("from") + RUN - 1))).alias("nth"))
+    ranked = each.select(
         *order,
-        (F.col("row0") + F.col("nth") - 1).alias("rank"),
-        F.expr(f"least({shards - 1}, ((2 * (byte0 + end) - size) * {shards}) div (2 * total))").cast("int").alias("shard"),
+        (F.col("rank") + F.col("nth")).alias("rank"),
+        F.expr(f"least({shards - 1}, (cast(2 * (byte + nth * size) + size AS decimal(20, 0)) * {shards}) div (2 * {max(total, 1)}L))").cast("int").alias("shard"),
     )
     starts = ranked.groupBy("shard").agg(F.min("rank").alias("first"))  # one row for each shard at most
     return ranked.join(F.broadcast(starts), "shard").select(

@@ -11,8 +11,10 @@ Reading: members are inflated one after the other; continuation records are
 grouped by origin id, ordered by segment number and verified against the total
 length; chunked framing is decoded and the payload digest verified.
 
-Defined results: a null payload is empty; repeated pages (equal id and payload)
-are repeated in the result; missing or surplus segments, wrong lengths and
+Defined results: a null payload is empty, a very long one takes many segments;
+repeated pages (equal id and payload) are repeated in the result; a null id stays
+null; other columns are left out, whatever their names; an empty table gives no rows;
+a url so long that a record's head takes 16 MB compressed is refused; missing or surplus segments, wrong lengths and
 digests raise an error unless ``strict`` is off, which reports them instead.
 """
 
@@ -37,13 +39,16 @@ def roles(pages: DataFrame, *, key: str, payload: str) -> DataFrame:
     """``key``, ``url`` and payload with digest and, for copies, the key of the first page with that payload.
 
     Only one row for each digest, found by partial minima, is joined; Spark may
-    split the pages' side where one payload has a large share of them.
+    split the pages' side where one payload has a large share of them.  Payloads
+    too short to be shared, of which many are empty, are looked up by their page.
     """
     digest = F.sha2(F.encode(F.col("payload"), "UTF-8"), 256)
     own = pages.select(F.col(key).alias("key"), "url", F.coalesce(F.col(payload), F.lit("")).alias("payload")).withColumn("digest", digest)
     long = own.filter(F.octet_length("payload") >= LEAST_SHARED)
-    first = long.groupBy("digest").agg(F.min("key").alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    return own.join(first, "digest", "left").withColumn("first", F.when(F.col("first") < F.col("key"), F.col("first")))
+    first = long.groupBy(F.col("digest").alias("at")).agg(F.min("key").alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    alone = F.concat(F.lit("-"), F.xxhash64("key", "url").cast("string"))
+    placed = own.withColumn("at", F.when(F.octet_length("payload") >= LEAST_SHARED, F.col("digest")).otherwise(alone))
+    return placed.join(first, "at", "left").drop("at").withColumn("first", F.when(F.col("first") < F.col("key"), F.col("first")))
 
 
 def _head(fields: list[tuple[str, object]]) -> bytes:
