@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import collections
+import datetime
 import hashlib
 import pickle
 import random
@@ -182,7 +183,7 @@ def test_pseudonyms_keep_format_and_links(spark):
     key = b"secret"
     values = {
         "card": ["4041894974608795", "4041 8949 7460 8795"], "phone": ["+1 (017) 555-7713", "212-555-0199"], "ip": ["233.254.104.120", "1.43.173.185"],
-        "date": ["2024-02-29", "29.02.2024", "02/29/2024", "2024/02/29"], "email": ["Jo.34@mail7.example.com"], "secret": ["b44e15e09fd311c3cf3163b66d5a9875b883d8ce"],
+        "date": ["2024-02-29", "29.02.2024", "02/29/2024", "2024/02/29", "25/12/2024"], "email": ["Jo.34@mail7.example.com", "a1" * 90 + "@b.c"], "secret": ["b44e15e09fd311c3cf3163b66d5a9875b883d8ce", "0a" * 700],
         "ssn": ["123-45-6789"], "iban": ["DE89 3704 0044 0532 0130 00", "GB82WEST12345698765432"],
     }
     for kind, texts in values.items():
@@ -213,6 +214,68 @@ def test_pseudonyms_are_one_to_one():
     assert len({pii.pseudonym("ip", x, b"k") for x in octets}) == 2000
 
 
+def made_values(rng):
+    """Values of all kinds, valid and not, and what an own reading of each says."""
+    digits = lambda n: [rng.randrange(10) for _ in range(n)]
+    join = lambda d: "".join(map(str, d))
+
+    def doubled(d):
+        return sum(x if (len(d) - i) % 2 else sum(map(int, str(2 * x))) for i, x in enumerate(d))
+
+    d = digits(rng.choice([13, 15, 16, 19]))
+    d[-1] = (d[-1] - doubled(d)) % 10 if rng.random() < 0.7 else d[-1]
+    yield "card", join(d), doubled(d) % 10 == 0 and len(set(d)) > 1
+    tail, check = join(digits(18)), rng.randrange(2, 99)
+    good = 98 - int(tail + "131400") % 97  # D and E are 13 and 14
+    number = f"DE{good if rng.random() < 0.7 else check:02d}{tail}"
+    yield "iban", number, int(tail + "1314" + number[2:4]) % 97 == 1
+    y, m, d = rng.randrange(1900, 2100), rng.randrange(1, 14), rng.randrange(1, 33)
+    try:
+        real = bool(datetime.date(y, m, d))
+    except ValueError:
+        real = False
+    yield "date", f"{y}-{m:02d}-{d:02d}", real
+    yield "date", f"{d:02d}.{m:02d}.{y}", real
+    octets = [rng.randrange(300) for _ in range(4)]
+    yield "ip", ".".join(map(str, octets)), max(octets) < 256
+    area, group, serial = rng.choice([0, 666, 900, 123, 899]), rng.choice([0, 7]), rng.choice([0, 4321])
+    yield "ssn", f"{area:03d}-{group:02d}-{serial:04d}", area in (123, 899) and group > 0 and serial > 0
+    yield "secret", "".join(rng.choice("0123456789abcdef") for _ in range(rng.choice([31, 32, 64, 200]))) + "a1", True
+    yield "email", f"{rng.choice(['jo', 'a.b', 'x' * 80])}{rng.randrange(99)}@host.example", True
+    yield "phone", f"{join(digits(3))}-{join(digits(3))}-{join(digits(4))}", True
+
+
+def test_values_against_an_own_reading(spark):
+    """Tables of values between words: what is valid is replaced by its pseudonym, which is valid in turn, and nothing else is touched."""
+    rng, key = random.Random(21), b"k"
+    rows, want = [], {}
+    for i in range(150):
+        found = [x for x in made_values(rng) if not (x[0] == "secret" and len(x[1]) < 32)]
+        rng.shuffle(found)
+        rows.append((i, " ; ".join(f"w{j}x {v} q" for j, (_, v, _) in enumerate(found)), "en"))
+        want[i] = [(kind, v, valid) for kind, v, valid in found]
+    for r in pii.pseudonymize(spark.createDataFrame(rows, SCHEMA), key=key).collect():
+        parts = [x.split(" ")[1] for x in r["text"].split(" ; ")]
+        assert r["pii_kinds"] == sorted(k for k, _, valid in want[r["doc_id"]] if valid)
+        for new, (kind, v, valid) in zip(parts, want[r["doc_id"]], strict=True):
+            assert new == (pii.pseudonym(kind, v, key) if valid else v), (kind, v, valid)
+            if valid:
+                assert len(new) == len(v) or kind == "ip"
+                assert pii.rewrite(f"w {new} q", key)[1] == [kind]
+    slashed = [f"{d:02d}/{m:02d}/20{y:02d}" for y in range(30) for m in range(1, 13) for d in range(1, 29)]
+    assert len({pii.pseudonym("date", x, key) for x in slashed}) == len(slashed)
+
+
+def test_key_is_drawn_or_set(spark):
+    drawn = pii.session_key(spark)
+    assert drawn == pii.session_key(spark) and len(drawn) == 32
+    spark.conf.set(pii.KEY_SETTING, "own")
+    try:
+        assert pii.session_key(spark) == b"own"
+    finally:
+        spark.conf.unset(pii.KEY_SETTING)
+
+
 def test_values_beside_other_groups_are_replaced():
     key = b"k"
     for kind, v, texts in [

@@ -1,14 +1,20 @@
 """Format-preserving pseudonyms for personal data.
 
 Numbers and dates that pass their validation (Luhn and mod-97 check digits,
-octet ranges, real calendar days, number plans) are permuted inside their own
-format by a keyed Feistel network: digits stay digits, separators stay, check
-digits are made valid again.  A value always gets the same pseudonym, however
-it is punctuated, so records stay linked; without the key it can't be undone.
+octet ranges, real calendar days, areas of social security numbers) are permuted
+inside their own format by a keyed Feistel network: digits stay digits, separators
+stay, check digits are made valid again.  Phone numbers have no check and are told
+by their grouping.  A value always gets the same pseudonym, however it is
+punctuated, so records stay linked; without the key it can't be undone.
 
-Defined results: a null text stays null; text without such values is unchanged;
+The key is an argument or the setting ``spark.tidemark.pii.key``.  Without it a key
+is drawn for the application, and pseudonyms are linked within it alone.
+
+Defined results: a null text stays null, an empty and a very long one are read
+whole; text without such values is unchanged; repeated rows are rewritten alike;
 overlapping finds go to the kind named first in KINDS, then the leftmost; where a
-match in groups is not valid, the longest valid run of its groups is taken.
+match in groups is not valid, the longest valid run of its groups is taken; a column
+named like a result is replaced; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -18,21 +24,34 @@ import datetime
 import functools
 import hashlib
 import re
+import secrets
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 from tidemark.llm.arrowmap import add_columns
 from tidemark.llm.feistel import permute_number
 
 _HEX, _DIGITS, _LETTERS = "0123456789abcdef", "0123456789", "abcdefghijklmnopqrstuvwxyz"
-DEFAULT_KEY = b"tidemark pseudonyms, replace me"
+KEY_SETTING = "spark.tidemark.pii.key"
+#: Signs that are permuted as one number.
+TOGETHER = 128
+_DRAWN: dict[str, bytes] = {}
+
+
+def session_key(spark: SparkSession) -> bytes:
+    """The key that the session names, or one drawn for this application."""
+    named = spark.conf.get(KEY_SETTING, None)
+    return named.encode() if named else _DRAWN.setdefault(spark.sparkContext.applicationId, secrets.token_bytes(32))
 
 
 def _permuted(values: list[int], radices: list[int], key: bytes) -> list[int]:
-    """Mixed-radix digits of the permuted number."""
+    """Mixed-radix digits of the permuted number; very long ones in parts, each with a key of its own."""
+    if len(values) > TOGETHER:
+        cut = range(0, len(values), TOGETHER)
+        return [v for i in cut for v in _permuted(values[i : i + TOGETHER], radices[i : i + TOGETHER], hashlib.blake2b(b"%d" % i, key=key[:64]).digest())]
     x, n = 0, 1
     for v, r in zip(values, radices, strict=True):
         x, n = x * r + v, n * r
@@ -69,12 +88,11 @@ def card(value: str, key: bytes) -> str | None:
 
 
 def phone(value: str, key: bytes) -> str | None:
-    """Area and subscriber digits change; the country code and the exchange stay."""
+    """All ten digits change; a country code stays."""
     d = [c for c in value if c in _DIGITS]
     lead = len(d) - 10
-    own = d[lead : lead + 3] + d[lead + 6 :]
-    new = [str(x) for x in _permuted([int(c) for c in own], [10] * 7, key)]
-    return _refill(value, d[:lead] + new[:3] + d[lead + 3 : lead + 6] + new[3:], str.isdigit)
+    new = [str(x) for x in _permuted([int(c) for c in d[lead:]], [10] * 10, key)]
+    return _refill(value, d[:lead] + new, str.isdigit)
 
 
 def ssn(value: str, key: bytes) -> str | None:
@@ -110,10 +128,15 @@ _BLOCKS = [(datetime.date(1900, 1, 1), datetime.date(2099, 12, 31)), (datetime.d
 
 
 def date(value: str, key: bytes) -> str | None:
-    """2024-05-06, 2024/05/06, 06.05.2024 and 05/06/2024 (month first), if there is such a day."""
+    """2024-05-06, 2024/05/06, 06.05.2024 and 05/06/2024, if there is such a day.
+
+    With slashes the month is first where that is a day.  Else the day is, and
+    stays above 12 in the pseudonym, so that no other date gets the same one.
+    """
     a, b, c = re.split("[-/.]", value)
     mark = value[len(a)]
-    y, m, d = (a, b, c) if len(a) == 4 else (c, b, a) if mark == "." else (c, a, b)
+    day_first = mark == "." or (len(a) == 2 and int(a) > 12)
+    y, m, d = (a, b, c) if len(a) == 4 else (c, b, a) if day_first else (c, a, b)
     try:
         day = datetime.date(int(y), int(m), int(d))
     except ValueError:
@@ -121,9 +144,13 @@ def date(value: str, key: bytes) -> str | None:
     block = next((x for x in _BLOCKS if x[0] <= day <= x[1]), None)
     if block is None:
         return None
-    new = block[0] + datetime.timedelta(permute_number((day - block[0]).days, (block[1] - block[0]).days + 1, key))
+    new = day
+    while new == day or (day_first and mark == "/" and new.day <= 12):
+        new = block[0] + datetime.timedelta(permute_number((new - block[0]).days, (block[1] - block[0]).days + 1, key))
+        if new == day:
+            break
     y, m, d = f"{new.year:04d}", f"{new.month:02d}", f"{new.day:02d}"
-    return mark.join((y, m, d) if len(a) == 4 else (d, m, y) if mark == "." else (m, d, y))
+    return mark.join((y, m, d) if len(a) == 4 else (d, m, y) if day_first else (m, d, y))
 
 
 def email(value: str, key: bytes) -> str | None:
@@ -150,8 +177,8 @@ def secret(value: str, key: bytes) -> str | None:
 _EDGE_L, _EDGE_R = r"(?<![0-9A-Za-z])", r"(?![0-9A-Za-z])"
 #: Fixed patterns, in order of precedence.
 KINDS: dict[str, tuple[str, Callable[[str, bytes], str | None]]] = {
-    "email": (r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", email),
-    "secret": (_EDGE_L + r"[0-9a-fA-F]{32,128}" + _EDGE_R, secret),
+    "email": (r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", email),
+    "secret": (_EDGE_L + r"[0-9a-fA-F]{32,}" + _EDGE_R, secret),
     "iban": (_EDGE_L + r"[A-Z]{2}[0-9]{2}(?: ?[0-9A-Z]{4}){2,7}(?: ?[0-9A-Z]{1,3})?" + _EDGE_R, iban),
     "ip": (r"(?<![0-9A-Za-z.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9A-Za-z]|\.[0-9])", ip),
     "date": (r"(?<![0-9A-Za-z./-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{4}/[0-9]{2}/[0-9]{2}|[0-9]{2}\.[0-9]{2}\.[0-9]{4}|[0-9]{2}/[0-9]{2}/[0-9]{4})(?![0-9A-Za-z/-]|\.[0-9])", date),
@@ -223,8 +250,9 @@ def rewrite(text: str | None, key: bytes) -> tuple[str | None, list[str]]:
     return "".join([*out, text[at:]]), [k for _, _, k, _ in spans]
 
 
-def pseudonymize(docs: DataFrame, *, key: bytes = DEFAULT_KEY, text: str = "text", kinds: str = "pii_kinds") -> DataFrame:
+def pseudonymize(docs: DataFrame, *, key: bytes | None = None, text: str = "text", kinds: str = "pii_kinds") -> DataFrame:
     """``docs`` with the text rewritten in place and the sorted kinds of the values replaced."""
+    key = session_key(docs.sparkSession) if key is None else key
     fields = [T.StructField(text, T.StringType()), T.StructField(kinds, T.ArrayType(T.StringType()))]
 
     def work(column: pa.Array) -> list:
