@@ -54,6 +54,8 @@ def test_token_shards_hold_every_sequence_once(spark):
             want[(i, n // 16, tuple(ids[n : n + 16]))] += 1
     assert collections.Counter((r["doc_id"], r["seq_no"], tuple(r["ids"])) for r in got) == want
     assert all(zlib.crc32(np.array(r["ids"], "<u2").tobytes()) == r["ids_crc32"] for r in got)
+    raw = tokenshards.read(spark, folder, length=16, rows=50, packed=True).collect()
+    assert {r["slot"]: bytes(r["ids"]) for r in raw} == {r["slot"]: np.array(r["ids"], "<u2").tobytes() for r in got}
     later = tokenshards.read(spark, folder, length=16, rows=50, from_slot=123).collect()
     assert sorted(r["slot"] for r in later) == list(range(123, total))
     order = [r["doc_id"] for r in sorted(got, key=lambda r: r["slot"])]

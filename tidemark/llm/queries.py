@@ -34,7 +34,7 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = storage.new_path(spark, "token-shards")
     tokenshards.write(_table(spark, sf_dir, "documents"), folder, path=VOCABULARY, pattern=tokenshards.POSSESSIVE, key=b"training order 1")
-    return tokenshards.read(spark, folder)
+    return tokenshards.read(spark, folder, packed=True)
 
 
 def op5_byte_shards(spark: SparkSession, sf_dir: str) -> DataFrame:

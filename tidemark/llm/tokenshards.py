@@ -109,7 +109,7 @@ def write(docs: DataFrame, folder: str, *, path: str, pattern: str, key: bytes,
                 n += sum(len(own.encode_ordinary(t or "")) // length + 1 for t in piece.column("text").to_pylist())
         yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([n], pa.int64())], names=["part", "n"])
 
-    counts = {r["part"]: r["n"] for r in source.mapInArrow(count, "part int, n bigint").collect()}  # one row for each partition
+    counts = {r["part"]: r["n"] for r in source.select("text").mapInArrow(count, "part int, n bigint").collect()}  # one row for each partition
     total = sum(counts.values())
     if total == 0:
         return 0
@@ -144,8 +144,11 @@ def write(docs: DataFrame, folder: str, *, path: str, pattern: str, key: bytes,
     return total
 
 
-def read(spark: SparkSession, folder: str, *, length: int = 256, rows: int = ROWS, from_slot: int = 0, kind: str = "<u2") -> DataFrame:
-    """Records from a slot on: doc_id, seq_no, n_tokens, ids, ids_crc32, slot, shard and byte_offset."""
+def read(spark: SparkSession, folder: str, *, length: int = 256, rows: int = ROWS, from_slot: int = 0, kind: str = "<u2", packed: bool = False) -> DataFrame:
+    """Records from a slot on: doc_id, seq_no, n_tokens, ids, ids_crc32, slot, shard and byte_offset.
+
+    ``packed``: the ids as the bytes that are stored, little-endian and without padding.
+    """
     files = spark.read.format("binaryFile").load(folder).select(F.col("shard").cast("bigint").alias("shard"), "content")
     wanted = files.filter(F.col("shard") >= from_slot // rows)
     layout, width = record_type(length, kind), np.dtype(kind).itemsize
@@ -158,8 +161,11 @@ def read(spark: SparkSession, folder: str, *, length: int = 256, rows: int = ROW
                 for at in range(first, len(whole), PIECE):
                     own = whole[at : at + PIECE]
                     place, n = np.arange(at, at + len(own)), own["head"]["n"].astype(np.int64)
-                    used = np.arange(length) < n[:, None]
-                    ids = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(n)).astype(np.int32)), pa.array(own["ids"][used].astype(np.int32)))
+                    values, ends = own["ids"][np.arange(length) < n[:, None]], np.append(0, np.cumsum(n)).astype(np.int32)
+                    if packed:
+                        ids = pa.Array.from_buffers(pa.binary(), len(own), [None, pa.py_buffer(ends * width), pa.py_buffer(values)])
+                    else:
+                        ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(values.astype(np.int32)))
                     doc = own["head"]["doc"]
                     raw = memoryview(np.ascontiguousarray(own)).cast("B")
                     begin = (np.arange(len(own)) * layout.itemsize + HEAD.itemsize).tolist()
@@ -169,4 +175,4 @@ def read(spark: SparkSession, folder: str, *, length: int = 256, rows: int = ROW
                         names=["doc_id", "seq_no", "n_tokens", "ids", "ids_crc32", "slot", "shard", "byte_offset"],
                     )
 
-    return wanted.mapInArrow(parse, "doc_id bigint, seq_no bigint, n_tokens bigint, ids array<int>, ids_crc32 bigint, slot bigint, shard bigint, byte_offset bigint")
+    return wanted.mapInArrow(parse, f"doc_id bigint, seq_no bigint, n_tokens bigint, ids {'binary' if packed else 'array<int>'}, ids_crc32 bigint, slot bigint, shard bigint, byte_offset bigint")
