@@ -45,8 +45,8 @@ from tidemark.llm.textkernel import slices
 POSSESSIVE = r" ?\p{L}++|'(?:[sdmt]|ll|ve|re)| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"
 HEAD = np.dtype([("doc", "<i8"), ("seq", "<u4"), ("n", "<u2")])
 NO_ID = -(1 << 63)
-#: Records of a shard: 34 MB of 256 ids of two bytes.
-ROWS = 1 << 16
+#: Records of a shard: 17 MB of 256 ids of two bytes.
+ROWS = 1 << 15
 #: Records that a reader unpacks at once.
 PIECE = 1 << 12
 
