@@ -6,6 +6,8 @@ kept; all but the last return the columns of ``documents``.
 
 from __future__ import annotations
 
+import functools
+import threading
 from collections.abc import Callable
 
 import public_tokenizers
@@ -15,33 +17,57 @@ from pyspark.sql import functions as F
 from tidemark.llm import bpe, contamination, neardup, pii, quality, storage
 
 
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+_LEFT = threading.local()
+
+
+def _stage(work: Stage) -> Stage:
+    """A stage that first deletes what the one before it, whose rows are stored by then, left in the shared folder."""
+
+    @functools.wraps(work)
+    def run_one(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        storage.discard(getattr(_LEFT, "paths", []), docs)
+        _LEFT.paths = []
+        with storage.recorded() as made:
+            out = work(spark, docs, sf_dir)
+        _LEFT.paths = made
+        return out
+
+    return run_one
+
+
+@_stage
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the weak supervision of rules, and the base rules, accept."""
     return quality.keep_good(docs)
 
 
+@_stage
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The first document of each class of near-duplicates."""
     return neardup.keep_first(docs)
 
 
+@_stage
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which no window of a benchmark item occurs."""
     return contamination.drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+@_stage
 def pseudonyms(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, personal data replaced; n_chars is that of the new text."""
     made = pii.pseudonymize(docs).withColumn("n_chars", F.char_length("text").cast("bigint"))
     return made.select(*docs.columns)
 
 
+@_stage
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents with token counts and the digests of ids and decoded bytes."""
     return bpe.round_trip(docs.select("doc_id", "text"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+STAGES: list[tuple[str, Stage]] = [
     ("quality_rules", quality_rules),
     ("near_duplicates", near_duplicates),
     ("decontamination", decontamination),
@@ -49,7 +75,7 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("byte_bpe", byte_bpe),
 ]
 
-#: Estimated accuracies, similarity classes and tokens are not expressible in SQL; tests hold the result against brute force.
+#: Pseudonyms and tokens are not expressible in SQL; tests hold the result against brute force.
 ORACLE_SQL: str | None = None
 
 

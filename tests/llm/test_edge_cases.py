@@ -167,6 +167,21 @@ def test_pipeline_on_awkward_and_empty_tables(spark, folder, tmp_path):
     assert len(left) == len(set(left)) and set(left) <= {r[0] for r in own if len((r[1] or "").split()) >= 10}
 
 
+def test_a_stage_deletes_what_the_one_before_left(spark, folder):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    at, _ = folder
+    docs = spark.read.parquet(f"{at}/documents.parquet")
+    judged = corpus_pipeline.quality_rules(spark, docs, at)
+    chained = corpus_pipeline.decontamination(spark, judged, at)  # not stored: it still reads the scratch table
+    assert chained.count() >= 0
+    judged = corpus_pipeline.quality_rules(spark, docs, at)
+    stored = storage.materialize(judged, "edge")
+    corpus_pipeline.decontamination(spark, stored, at)
+    assert stored.count() >= 0
+    with pytest.raises(Exception, match="(?i)not.exist|not found"):
+        judged.count()
+
+
 def test_scratch_is_deleted_and_a_cluster_needs_a_shared_folder(spark):
     made = storage.materialize(spark.range(3), "gone")
     files = made.inputFiles()

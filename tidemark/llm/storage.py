@@ -8,15 +8,19 @@ that a result still reads stay; ``clean`` deletes all of an application.
 
 from __future__ import annotations
 
+import contextlib
 import math
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 NO_ESTIMATE = 1 << 60
 _LOCAL: dict[str, str] = {}
+_RECORDS = threading.local()
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -37,7 +41,30 @@ def _own(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession, label: str) -> str:
-    return f"{_own(spark)}/{label}-{uuid.uuid4().hex}"
+    path = f"{_own(spark)}/{label}-{uuid.uuid4().hex}"
+    for paths in getattr(_RECORDS, "open", []):
+        paths.append(path)
+    return path
+
+
+@contextlib.contextmanager
+def recorded() -> Iterator[list[str]]:
+    """The paths that are given out meanwhile in this thread."""
+    _RECORDS.open = [*getattr(_RECORDS, "open", []), []]
+    try:
+        yield _RECORDS.open[-1]
+    finally:
+        _RECORDS.open = _RECORDS.open[:-1]
+
+
+def discard(paths: list[str], kept: DataFrame) -> None:
+    """Delete scratch tables, but for those that ``kept`` reads."""
+    if paths:
+        plain = lambda x: x.split(":", 1)[-1].lstrip("/")
+        read = {plain(f).rsplit("/", 1)[0] for f in kept.inputFiles()}
+        for path in paths:
+            if plain(path) not in read:
+                remove(kept.sparkSession, path)
 
 
 def clean(spark: SparkSession) -> None:
