@@ -22,15 +22,17 @@ _LEFT = threading.local()
 
 
 def _stage(work: Stage) -> Stage:
-    """A stage that first deletes what the one before it, whose rows are stored by then, left in the shared folder."""
+    """A stage that first deletes what those before it, whose rows are stored by then, left in the shared folder."""
 
     @functools.wraps(work)
     def run_one(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        storage.discard(getattr(_LEFT, "paths", []), docs)
-        _LEFT.paths = []
+        left = vars(_LEFT)  # this thread's: scratch paths by stage
+        names = [name for name, _ in STAGES]
+        for name in names[: names.index(run_one.name)]:
+            storage.discard(left.pop(name, []), docs)
         with storage.recorded() as made:
             out = work(spark, docs, sf_dir)
-        _LEFT.paths = made
+        left.setdefault(run_one.name, []).extend(made)
         return out
 
     return run_one
@@ -75,6 +77,9 @@ STAGES: list[tuple[str, Stage]] = [
     ("byte_bpe", byte_bpe),
 ]
 
+for _name, _work in STAGES:
+    _work.name = _name
+
 #: Pseudonyms and tokens are not expressible in SQL; tests hold the result against brute force.
 ORACLE_SQL: str | None = None
 
