@@ -10,9 +10,10 @@ def test_precedence_and_types(tmp_path):
     path = tmp_path / "c.toml"
     path.write_text('[generation]\nseed = 1\nn_sessions = 7\n[sessionization]\nidle_timeout_s = 60\n[validation.thresholds]\nbigram_tvd = 1\n')
     got = config.load(str(path), {"generation.n_sessions": 9}, {"TIDEMARK_SEED": "5", "TIDEMARK_OTHER": "x"})
-    assert (got.generation.seed, got.generation.n_sessions, got.sessionization.idle_timeout_s, got.validation.thresholds) == (5, 9, 60.0, {"bigram_tvd": 1.0})
-    assert config.load(environ={}) == config.Settings()
-    for bad in ({"io.colour": 1}, {"nothing.x": 1}, {"generation.n_sessions": True}, {"generation.n_sessions": "9"}, {"logging.level": "LOUD"}, {"sessionization.idle_timeout_s": 0}):
+    assert [got[k] for k in ("generation.seed", "generation.n_sessions", "sessionization.idle_timeout_s", "validation.thresholds")] == [5, 9, 60.0, {"bigram_tvd": 1.0}]
+    assert dict(config.load(environ={})) == dict(config.Settings())
+    assert config.load(overrides={"generator.order": 3}, environ={}).generator() == {"order": 3} and len(config.Settings().sections()) == 11
+    for bad in ({"io.colour": 1}, {"nothing.x": 1}, {"generation.n_sessions": True}, {"generation.n_sessions": "9"}, {"logging.level": "LOUD"}, {"sessionization.idle_timeout_s": 0}, {"benchmark.generators": []}, {"io.strict": 1}, {"validation.thresholds": {"a": "b"}}):
         with pytest.raises(ValueError):
             config.load(overrides=bad, environ={})
 

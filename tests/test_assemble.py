@@ -1,11 +1,11 @@
 """Sessions dealt to learners: all of them, as many each as drawn, in the calendar and never overlapping."""
 
-from datetime import UTC, date, datetime
+from datetime import UTC, datetime
 
 from pyspark.sql import functions as F
 
 from tidemark.operators import assemble as A
-from tidemark.operators.calendar import Calendar
+from tidemark.operators.calendar import opening
 
 
 def laid(spark, n, calendar, own=3):
@@ -16,16 +16,16 @@ def laid(spark, n, calendar, own=3):
 
 
 def test_all_sessions_are_dealt(spark):
-    found = laid(spark, 100, Calendar(date(2026, 3, 2), 7))
+    found = laid(spark, 100, opening(spark, "2026-03-02", "2026-03-08"))
     assert len({r.session_id for r in found}) == len(found) == 100
     owners = [r.learner_id for r in found]
     assert sorted(owners.count(x) for x in set(owners)) == [1] + [3] * 33
     assert all(r.b - r.a == 1_201_000_000 for r in found)
-    assert [(r.session_id, r.a) for r in found] == [(r.session_id, r.a) for r in laid(spark, 100, Calendar(date(2026, 3, 2), 7))]
+    assert [(r.session_id, r.a) for r in found] == [(r.session_id, r.a) for r in laid(spark, 100, opening(spark, "2026-03-02", "2026-03-08"))]
 
 
 def test_no_overlap_where_time_is_short(spark):
-    hour = Calendar(date(2026, 3, 2), 1, tuple(float(h == 9) for h in range(24)))
+    hour = opening(spark, "2026-03-02", "2026-03-02", hours={9: 1.0})
     found = laid(spark, 60, hour, own=20)
     assert any(y.a - x.b == A.APART for x, y in zip(found, found[1:], strict=False) if x.learner_id == y.learner_id)
     assert all(y.a - x.b >= A.APART for x, y in zip(found, found[1:], strict=False) if x.learner_id == y.learner_id)

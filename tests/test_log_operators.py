@@ -3,23 +3,28 @@ from __future__ import annotations
 import datetime
 import hashlib
 import hmac
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from tidemark import benchmark, log, plugins
-from tidemark.functions import distances
+from tidemark.functions import distances, ranking
 from tidemark.operators import generate, profile, sequences, sessionize, validation
 from tidemark.sources import files, ingest
 from tidemark.streaming import sessions as streams
 
 BASE = datetime.datetime(2026, 3, 1, 9, tzinfo=datetime.UTC)
-TOY = [("a3", "A", 10, "submit", "quiz", None), ("a1", "A", 0, "view", "quiz", None), ("a2", "A", 5, "attempt", "quiz", None), ("a4", "A", 80, "view", "video", None), ("a5", "A", 82, "attempt", "quiz", None), ("b1", "B", 0, "view", "intro", "b-x"), ("b2", "B", 1, "video_play", "video", "b-x")]
+#: Events of three learners: id, learner, minute, type, activity, session.
+ROWS = [
+    ("n4", "nora", 50, "open", "atlas", None), ("n1", "nora", 0, "open", "map", None), ("n3", "nora", 4, "read", "atlas", None), ("n2", "nora", 4, "read", "map", None),
+    ("p2", "paul", 3, "quit", "map", "desk"), ("p1", "paul", 0, "open", "map", "desk"), ("q1", "quinn", 7, "read", "atlas", None),
+]
 
 
 @pytest.fixture(scope="module")
 def toy(spark):
-    rows = [(e, l, BASE + datetime.timedelta(minutes=m), s, a, t, "c1", None, t != "attempt", None, {}) for e, l, m, t, a, s in TOY]
+    rows = [(e, l, BASE + datetime.timedelta(minutes=m), s, a, t, "c1", None, t != "quit", None, {}) for e, l, m, t, a, s in ROWS]
     return spark.createDataFrame(rows, log.EVENTS)
 
 
@@ -29,26 +34,65 @@ def paths(toy, **options):
 
 
 def test_sessions(toy):
-    assert paths(toy) == {"A:s1": ["view", "attempt", "submit"], "A:s2": ["view", "attempt"], "b-x": ["view", "video_play"]}
-    assert len([k for k in paths(toy, idle_timeout_s=70 * 60) if k.startswith("A")]) == 1
-    assert len([k for k in paths(toy, idle_timeout_s=70 * 60 - 1) if k.startswith("A")]) == 2
-    assert "B:s1" in paths(toy, strategy="idle_timeout")
+    assert paths(toy) == {"nora:s1": ["open", "read", "read"], "nora:s2": ["open"], "desk": ["open", "quit"], "quinn:s1": ["read"]}
+    assert "nora:s2" not in paths(toy, idle_timeout_s=46 * 60) and "nora:s2" in paths(toy, idle_timeout_s=46 * 60 - 1)
+    assert "paul:s1" in paths(toy, strategy="idle_timeout")
     with pytest.raises(ValueError):
         sessionize.sessionize(toy, idle_timeout_s=0)
     made = sessionize.sessionize(toy)
     assert not any(log.check(made, sessionize.sessions(made)).values())
     assert log.fingerprint(toy.drop("metadata")).first() == log.fingerprint(toy.drop("metadata").repartition(5)).first()
+    assert {r["learner_id"]: r["course_ids"] for r in sessionize.participants(toy, sessionize.sessions(made)).collect()} == {"nora": ["c1"], "paul": ["c1"], "quinn": ["c1"]}
+
+
+def test_explicit_sessions_are_checked(toy):
+    with pytest.raises(Exception, match="an id on every event"):
+        sessionize.sessionize(toy, strategy="explicit").collect()
+    named = toy.withColumn("session_id", F.col("learner_id"))
+    assert paths(named, strategy="explicit")["nora"] == ["open", "read", "read", "open"]
+    shared = toy.withColumn("session_id", F.lit("all"))
+    with pytest.raises(Exception, match="two learners"):
+        sessionize.sessionize(shared, strategy="explicit").collect()
+    assert sessionize.conflicts(shared).first()["n_learners"] == 3
+    clash = toy.withColumn("session_id", F.when(F.col("learner_id") == "paul", F.lit("nora:s1")))
+    with pytest.raises(Exception, match="two learners"):
+        sessionize.sessionize(clash, strict=True).collect()
 
 
 def test_sequences(toy):
     seq = sequences.tokens(sessionize.sessionize(toy))
-    assert {(r["ngram"], r["n"]) for r in sequences.ngrams(seq, 2).collect()} == {("view > attempt", 2), ("attempt > submit", 1), ("view > video_play", 1)}
+    assert {(r["ngram"], r["n"]) for r in sequences.ngrams(seq, 2).collect()} == {("open > read", 1), ("read > read", 1), ("open > quit", 1)}
     d = sequences.density(sequences.transitions(seq)).first()
-    assert (d["n_starts"], d["vocabulary"], d["density"]) == (3, 4, round(3 / 16, 6))
+    assert (d["n_starts"], d["vocabulary"], d["density"]) == (4, 3, round(3 / 9, 6))
     rows = sequences.probabilities(sequences.transitions(seq), 1.0).groupBy("context").agg(F.sum("p").alias("p")).collect()
     assert all(r["p"] == pytest.approx(1) for r in rows)
-    assert sorted(r["gap_s"] for r in profile.gaps(seq).collect()) == [60, 120, 300, 300]
-    assert profile.describe(seq.sparkSession.createDataFrame([(1.0,), (2.0,), (4.0,), (10.0,)], "x double"), "x").first()["p25"] == 1.75
+    assert sorted(r["gap_s"] for r in profile.gaps(seq).collect()) == [0, 180, 240]
+    assert {(r["token"], r["label"], r["n"]) for r in sequences.predecessors(seq, 1).collect()} == {("open", "<start>", 3), ("quit", "open", 1), ("read", "<start>", 1)}
+
+
+def test_quantiles_in_slices(spark):
+    rng = random.Random(4)
+    values = [(k, x) for k, n in (("a", 1), ("b", 500), (None, 37)) for x in [float(rng.choice([-1, 1])) * rng.choice([0, 0.5, 1, 3, rng.uniform(0, 1e6), rng.expovariate(9)]) for _ in range(n)]]
+    frame = spark.createDataFrame([*values, ("a", None)], "k string, x double")
+    got = {r["k"]: r for r in ranking.quantiles(frame, F.col("x"), {"q": 0.1, "m": 0.5, "z": 1.0}, ("k",)).collect()}
+    stats = {r["k"]: r["points"] for r in ranking.order_statistics(frame, F.col("x"), 20, ("k",)).collect()}
+    for k in ("a", "b", None):
+        own = sorted(x for key, x in values if key == k)
+        for name, p in (("q", 0.1), ("m", 0.5), ("z", 1.0)):
+            at = (len(own) - 1) * p
+            low = int(at)
+            assert got[k][name] == pytest.approx(own[low] + (own[min(low + 1, len(own) - 1)] - own[low]) * (at - low))
+        assert stats[k] == (own if len(own) <= 20 else [own[round(i * (len(own) - 1) / 19)] for i in range(20)])
+    one = profile.describe(spark.createDataFrame([(1.0,), (2.0,), (4.0,), (10.0,)], "x double"), "x").first()
+    assert (one["n"], one["p25"], one["median"], one["p75"]) == (4, 1.75, 3.0, 5.5)
+    none = profile.describe(frame.limit(0), "x").first()
+    assert none["n"] == 0 and none["median"] is None
+    assert profile.describe(frame.limit(0), "x", "k").count() == 0
+    whole = ranking.cumulate(frame.filter("x is not null").groupBy("x").agg(F.count("*").alias("n")), "x", ["n"]).orderBy("x").collect()
+    seen = 0
+    for r, after in zip(whole, [*whole[1:], None], strict=True):
+        assert (r["n_before"], r["n_total"], r["next"]) == (seen, len(values), after and after["x"])
+        seen += r["n"]
 
 
 def test_distances_of_equal_and_disjoint_logs(toy):
@@ -61,7 +105,10 @@ def test_distances_of_equal_and_disjoint_logs(toy):
     assert far["event_type_tvd"] == far["activity_jsd"] == far["bigram_tvd"] == far["transition_jsd"] == 1
     assert far["topn_path_overlap"] == far["exact_session_dup_rate"] == 0
     one = seq.sparkSession.createDataFrame([(["a", "b", "c"], ["a", "c"])], "x array<string>, y array<string>")
-    assert one.select(distances.edit_distance(F.col("x"), F.col("y"), ["a", "b", "c"])).first()[0] == pytest.approx(1 / 3)
+    assert one.select(distances.edit_distance(F.col("x"), F.col("y"))).first()[0] == pytest.approx(1 / 3)
+    rows = [(["a", "z"], ["a"], 0.5), ([], [], 0.0), (["é", "漢", "é"], ["漢"], 2 / 3), ([str(i) for i in range(300)], [str(i) for i in range(299)] + ["x"], 1 / 300)]
+    for x, y, d in rows:
+        assert seq.sparkSession.createDataFrame([(x, y)], "x array<string>, y array<string>").select(distances.edit_distance(F.col("x"), F.col("y"))).first()[0] == pytest.approx(d)
 
 
 def test_evaluation(spark):
@@ -109,7 +156,7 @@ def test_files_and_corpora(spark, toy, tmp_path):
     made = sessionize.sessionize(toy)
     files.write_corpus(made, f"{tmp_path}/c", sessionize.sessions(made), {"name": "toy"})
     events, held, metadata = files.read_corpus(spark, f"{tmp_path}/c")
-    assert events.count() == 7 and held.count() == 3 and metadata == {"name": "toy"}
+    assert events.count() == 7 and held.count() == 4 and metadata == {"name": "toy"}
     events.limit(3).write.mode("append").parquet(f"{tmp_path}/c/events")
     with pytest.raises(ValueError, match="fingerprint"):
         files.read_corpus(spark, f"{tmp_path}/c")
@@ -124,7 +171,7 @@ def test_stream_and_plugins(spark, toy, tmp_path):
     run = streams.session_counts(stream).writeStream.format("memory").queryName("held").outputMode("complete").start()
     run.processAllAvailable()
     run.stop()
-    assert sorted(r["n_events"] for r in spark.table("held").collect()) == [2, 2, 3]
+    assert sorted(r["n_events"] for r in spark.table("held").collect()) == [1, 1, 2, 3]
     plugins.register("metric", "mine", lambda ev, seq: ev)
     assert "mine" in plugins.available("metric")
     plugins.unregister("metric", "mine")

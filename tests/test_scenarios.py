@@ -1,6 +1,6 @@
 """Chains of higher order, calendars, checks of controls, inserted anomalies and ranks."""
 
-from datetime import UTC, date, datetime, timedelta
+from datetime import UTC, datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
@@ -36,25 +36,45 @@ def test_order_needs_long_sessions(spark):
     assert G.supported_order(seq.limit(0), 3, backoff=True) == 1
 
 
-def test_next_allowed(spark):
-    office = C.Calendar(date(2026, 3, 27), 5, tuple(float(9 <= h < 11) for h in range(24)), (1.0,) * 5 + (0.0,) * 2, timezone="Europe/Berlin")
+WORK = dict.fromkeys(("Mon", "Tue", "Wed", "Thu", "Fri"), 1.0)
+
+
+def test_next_open(spark):
+    office = C.opening(spark, "2026-03-27", "2026-03-31", hours={9: 1, 10: 1}, week=WORK, zone="Europe/Berlin")
     asked = ["2026-03-20 12:00:00", "2026-03-27 08:30:00", "2026-03-27 03:00:00", "2026-03-27 10:00:00", "2026-03-31 09:00:00", None]
     want = ["2026-03-27 08:00:00", "2026-03-27 08:30:00", "2026-03-27 08:00:00", "2026-03-30 07:00:00", "2026-03-31 09:00:00", None]
-    got = spark.createDataFrame(list(enumerate(asked)), "i int, t string").select("i", office.next_allowed(F.to_timestamp("t")).cast("string").alias("n")).collect()
+    rows = spark.createDataFrame(list(enumerate(asked)), "i int, t string").select("i", F.to_timestamp("t").alias("t"))
+    got = office.next_open(rows, "t", "n").select("i", F.col("n").cast("string")).collect()
     assert [r.n for r in sorted(got)] == want
 
 
 def test_calendar_starts_and_check(spark):
-    office = C.Calendar(date(2026, 3, 2), 28, tuple(float(9 <= h < 17) for h in range(24)), (1.0,) * 5 + (0.0,) * 2, deadlines=(C.Deadline(date(2026, 3, 20), 5.0),))
-    starts = spark.range(2000).select(office.sample(5, F.col("id")).alias("start_time"))
-    assert {r.status for r in office.check(starts).collect()} == {"ok"}
+    office = C.opening(spark, "2026-03-02", "2026-03-29", hours={h: 1 for h in range(9, 17)}, week=WORK, rushes=[("2026-03-20", 3, 5.0)])
+    starts = office.draw(spark.range(2000), 5, "id").select("start_time").cache()
+    checked = office.check(starts).collect()
+    assert {r.status for r in checked} == {"ok"} and {r.target for r in checked} == {"period", "closed", "distribution", "2026-03-20"}
     rush = starts.filter(F.to_date("start_time").between("2026-03-17", "2026-03-20")).count() / 2000
     assert abs(rush - 20 / 36) < 0.05
     night = starts.select((F.col("start_time") - F.expr("interval 10 hours")).alias("start_time"))
     assert {r.status for r in office.check(night).collect()} == {"failed", "ok"}
     assert {r.status for r in office.check(starts.limit(0)).collect()} == {"not_measurable"}
+    calm = C.opening(spark, "2026-03-02", "2026-03-29", hours={h: 1 for h in range(9, 17)}, week=WORK)
+    even = calm.draw(spark.range(2000), 6, "id")
+    assert {r.target: r.status for r in office.check(even).collect()}["2026-03-20"] == "failed"
+    for bad in ({"hours": {}}, {"hours": {24: 1}}, {"week": {"Day": 1}}, {"special": {"2026-03-02": 0.0, "2026-03-03": 0.0}}):
+        with pytest.raises(ValueError):
+            C.opening(spark, "2026-03-02", "2026-03-03", **bad)
+    with pytest.raises(ValueError):
+        C.opening(spark, "1000-01-01", "2999-12-31")
+
+
+def test_learned_timetable_follows_the_log(spark):
+    t = [T0 + timedelta(days=d) for d in (0, 0, 0, 7)]
+    seen = C.learned(spark.createDataFrame([(x,) for x in t], "start_time timestamp"))
+    assert {(str(r.day), r.weight) for r in seen.days.collect()} == {("2026-03-02", 3.0), ("2026-03-09", 1.0)}
+    assert {r.hour for r in seen.hours.filter("weight > 0").collect()} == {9} and seen.hours.count() == 24
     with pytest.raises(ValueError):
-        C.Calendar(date(2026, 3, 2), 2, (0.0,) * 24)
+        C.learned(spark.createDataFrame([], "start_time timestamp"))
 
 
 def test_controls_are_measured(spark):

@@ -24,15 +24,15 @@ __all__ = ["activity_profiles", "analyze", "analyze_by", "evaluate_clustering",
 
 def ingest(spark: SparkSession, source: str, mapping: I.Mapping, settings: Settings = Settings(), *, strict: bool | None = None) -> tuple[DataFrame, DataFrame]:
     """Accepted events and the report of a file; ``strict`` makes any dropped row an error."""
-    kind = None if settings.io.format == "auto" else settings.io.format
+    kind = None if settings["io.format"] == "auto" else settings["io.format"]
     raw = files.read_source(spark, source, kind).withColumn("__row", F.monotonically_increasing_id())
     events, report = I.ingest(raw, mapping)
-    if settings.io.strict if strict is None else strict:
+    if settings["io.strict"] if strict is None else strict:
         n = {r["reason"]: r["n"] for r in report.filter(F.col("reason").isin("rows_read", "rows_kept")).collect()}
         if n.get("rows_read", 0) != n.get("rows_kept", 0):
             raise ValueError(f"{n.get('rows_read', 0) - n.get('rows_kept', 0)} rows were dropped")
-    events = I.normalize_types(events, log.KNOWN_TYPES + settings.io.event_types, settings.io.unknown_event_policy)
-    return (I.strip_metadata(events, *settings.privacy.strip_metadata_keys) if settings.privacy.strip_metadata_keys else events), report
+    events = I.normalize_types(events, log.KNOWN_TYPES + settings["io.event_types"], settings["io.unknown_event_policy"])
+    return (I.strip_metadata(events, *settings["privacy.strip_metadata_keys"]) if settings["privacy.strip_metadata_keys"] else events), report
 
 
 def sessionize(events: DataFrame, settings: Settings = Settings(), *, strategy: str | None = None, idle_timeout_s: float | None = None, tokenization: str | None = None) -> DataFrame:
@@ -47,7 +47,7 @@ def analyze(seq: DataFrame, settings: Settings = Settings(), *, ngram_order: int
     sessions, graph = S.sessions(seq), sequences.edges(seq)
     return {
         "durations": profile.describe(sessions, "duration_s"), "interevent": profile.describe(profile.gaps(seq), "gap_s"),
-        "ngrams": sequences.ngrams(seq, ngram_order or settings.analysis.ngram_order), "transitions": sequences.transitions(seq),
+        "ngrams": sequences.ngrams(seq, ngram_order or settings["analysis.ngram_order"]), "transitions": sequences.transitions(seq),
         "entropy": profile.entropy(seq, "token"), "self_loops": sequences.self_loop_share(graph), "activities": sequences.activity_profiles(seq),
     }
 
@@ -64,8 +64,8 @@ def generate(model: dict[str, DataFrame], settings: Settings = Settings(), *, na
 
 def validate(real: DataFrame, synthetic: DataFrame, settings: Settings = Settings(), *, metrics: list[str] | None = None) -> DataFrame:
     """(metric, value, bound, status): 'skip' without a value, 'info' without a bound."""
-    wanted = metrics or list(settings.validation.metrics) or None
-    bounds = F.create_map(*(F.lit(x) for p in settings.validation.thresholds.items() for x in p)) if settings.validation.thresholds else F.create_map().cast("map<string,double>")
+    wanted = metrics or list(settings["validation.metrics"]) or None
+    bounds = F.create_map(*(F.lit(x) for p in settings["validation.thresholds"].items() for x in p)) if settings["validation.thresholds"] else F.create_map().cast("map<string,double>")
     higher = F.col("metric").isin("topn_path_overlap", "nn_distance_p05")
     made = validation.validate(real, synthetic, wanted).withColumn("bound", F.try_element_at(bounds, F.col("metric")))
     good = F.when(higher, F.col("value") >= F.col("bound")).otherwise(F.col("value") <= F.col("bound"))

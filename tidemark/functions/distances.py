@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions.ranking import cumulate
+
 
 def whole() -> Window:
     """All rows; only used over distinct values or groups."""
@@ -36,12 +38,11 @@ def jensen_shannon(frame: DataFrame, key: str) -> DataFrame:
 
 
 def _steps(frame: DataFrame, value: str) -> DataFrame:
-    """Both distribution functions at each distinct value; the window sees distinct values only."""
+    """Both distribution functions at each distinct value, summed up in slices of the values' order."""
     n = lambda s: F.sum((F.col("side") == s).cast("bigint"))
     counts = frame.groupBy(F.col(value).alias("x")).agg(n("a").alias("na"), n("b").alias("nb"))
-    up = Window.orderBy("x").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    share = lambda c: F.sum(c).over(up) / F.sum(c).over(whole())
-    return counts.select("x", share("na").alias("fa"), share("nb").alias("fb"), F.lead("x").over(Window.orderBy("x")).alias("next"))
+    share = lambda c: F.try_divide(F.col(f"{c}_before") + F.col(c), F.col(f"{c}_total"))
+    return cumulate(counts.filter("x is not null"), "x", ["na", "nb"]).select("x", share("na").alias("fa"), share("nb").alias("fb"), "next")
 
 
 def ks(frame: DataFrame, value: str) -> DataFrame:
@@ -63,8 +64,15 @@ def transition_jsd(frame: DataFrame) -> DataFrame:
     return states.agg(F.round(F.sum(F.col("d") * F.col("ta")) / F.sum("ta"), 6).alias("value"))
 
 
-def edit_distance(a: Column, b: Column, vocabulary: list[str]) -> Column:
-    """Normalised edit distance of two token arrays; each token is one private-use code point."""
-    code = F.create_map(*(x for i, t in enumerate(vocabulary) for x in (F.lit(t), F.lit(chr(0xE000 + i)))))
-    text = lambda s: F.array_join(F.transform(s, lambda t: F.element_at(code, t)), "")
+def _letter(number: Column) -> Column:
+    """A code point of its own for each number from 1 to a million, in UTF-8: the planes from U+10000 on."""
+    point = number + F.lit(0x10000)
+    byte = lambda lead, shift, mask: F.lpad(F.hex((F.shiftright(point, shift).bitwiseAND(F.lit(mask))).bitwiseOR(F.lit(lead))), 2, "0")
+    return F.decode(F.unhex(F.concat(byte(0xF0, 18, 0x07), byte(0x80, 12, 0x3F), byte(0x80, 6, 0x3F), byte(0x80, 0, 0x3F))), "UTF-8")
+
+
+def edit_distance(a: Column, b: Column) -> Column:
+    """Normalised edit distance of two token arrays; each token of the two is one code point of the private planes."""
+    known = F.array_distinct(F.concat(a, b))
+    text = lambda s: F.array_join(F.transform(s, lambda t: _letter(F.array_position(known, t))), "")
     return F.coalesce(F.try_divide(F.levenshtein(text(a), text(b)), F.greatest(F.size(a), F.size(b))), F.lit(0.0))

@@ -67,7 +67,8 @@ def check(events: DataFrame, sessions: DataFrame | None = None) -> dict[str, int
 
 
 def fingerprint(df: DataFrame) -> DataFrame:
-    """An order-independent digest of a table: count, sum and xor of row hashes of its columns in order of name."""
-    row = F.sha2(F.to_json(F.struct(*sorted(df.columns))), 256)
+    """An order-independent digest of a table: count, sum and xor of row hashes of its columns in order of name; a map counts as its sorted entries."""
+    plain = lambda f: F.array_sort(F.map_entries(f.name)).alias(f.name) if isinstance(f.dataType, T.MapType) else F.col(f.name)
+    row = F.sha2(F.to_json(F.struct(*(plain(f) for f in sorted(df.schema, key=lambda f: f.name)))), 256)
     part = F.conv(F.substring(row, 1, 12), 16, 10).cast("bigint")
     return df.agg(F.count("*").alias("n_rows"), F.coalesce(F.sum(part), F.lit(0)).alias("hash_sum"), F.coalesce(F.bit_xor(part), F.lit(0)).alias("hash_xor"))

@@ -15,7 +15,7 @@ MOST_TOKENS = 2_000
 
 def _gaps(seq: DataFrame, after: bool) -> DataFrame:
     us = F.unix_micros("timestamp")
-    return seq.select("session_id", "token", ((F.lead(us).over(in_session()) - us) / 1e6).alias("gap_s"), F.lit(after).alias("after"))
+    return seq.select("session_id", "token", ((F.lead(us).over(in_session(seq)) - us) / 1e6).alias("gap_s"), F.lit(after).alias("after"))
 
 
 def check_controls(baseline: DataFrame, controlled: DataFrame, weights: dict[str, float] | None = None, dwell: dict[str, float] | None = None, length: float | None = None, tolerance: float = 0.2) -> DataFrame:
@@ -60,7 +60,7 @@ def check_controls(baseline: DataFrame, controlled: DataFrame, weights: dict[str
 
 def _insert(seq: DataFrame, chosen: DataFrame, added: Column, gap_us: Column | int, seed: int) -> DataFrame:
     """The chosen sessions with ``added`` tokens after a drawn event, ``gap_us`` apart; later events move by all of it."""
-    w = in_session()
+    w = in_session(seq)
     place = F.floor(uniform(seed, "position", F.col("session_id")) * F.col("n_events")) + 1
     rows = seq.join(chosen, "session_id").withColumn("__r", F.row_number().over(w)).withColumn("__p", place).withColumn("__added", added)
     gap = F.lit(gap_us) if isinstance(gap_us, int) else gap_us

@@ -7,22 +7,25 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions.ranking import quantiles
 from tidemark.operators.sequences import in_session
 
 
 def describe(frame: DataFrame, value: str | Column, *by: str) -> DataFrame:
     """Count, mean, population deviation, extremes and linear-interpolated quartiles; nulls if there is no value."""
     v = F.col(value) if isinstance(value, str) else value
-    q = lambda p: F.round(F.percentile(v, F.lit(p)), 4)
-    return frame.groupBy(*by).agg(
-        F.count(v).alias("n"), F.round(F.avg(v), 4).alias("mean"), F.round(F.stddev_pop(v), 4).alias("std"), F.round(F.min(v), 4).alias("min"),
-        q(0.25).alias("p25"), q(0.5).alias("median"), q(0.75).alias("p75"), F.round(F.max(v), 4).alias("max"),
-    )
+    moments = frame.groupBy(*by).agg(F.count(v).alias("n"), F.round(F.avg(v), 4).alias("mean"), F.round(F.stddev_pop(v), 4).alias("std"), F.round(F.min(v), 4).alias("min"), F.round(F.max(v), 4).alias("max"))
+    ranked = quantiles(frame, v, {"p25": 0.25, "median": 0.5, "p75": 0.75}, by)
+    ranked = ranked.select(*(F.col(c).alias(f"__{c}") for c in by), *(F.round(c, 4).alias(c) for c in ("p25", "median", "p75")))
+    same = F.lit(True)
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"__{c}"))
+    return moments.join(ranked, same, "left").select(*by, "n", "mean", "std", "min", "p25", "median", "p75", "max")
 
 
 def gaps(seq: DataFrame) -> DataFrame:
     """Seconds to the next event of the session, with the earlier token; the last event has none."""
-    gap = (F.lead(F.unix_micros("timestamp")).over(in_session()) - F.unix_micros("timestamp")) / 1e6
+    gap = (F.lead(F.unix_micros("timestamp")).over(in_session(seq)) - F.unix_micros("timestamp")) / 1e6
     return seq.select("session_id", "token", gap.alias("gap_s")).filter("gap_s is not null")
 
 

@@ -5,11 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions.ranking import quantiles
+
 START, END = "<start>", "(end)"
 
 
-def in_session() -> Window:
-    return Window.partitionBy("session_id").orderBy("timestamp", "event_id")
+def in_session(frame: DataFrame) -> Window:
+    """A session is one learner's, so that rows dealt by learner need not be dealt again."""
+    own = ["learner_id"] if "learner_id" in frame.columns else []
+    return Window.partitionBy(*own, "session_id").orderBy("timestamp", "event_id")
 
 
 def tokens(events: DataFrame, token: str = "event_type") -> DataFrame:
@@ -19,7 +23,7 @@ def tokens(events: DataFrame, token: str = "event_type") -> DataFrame:
 
 def ngrams(seq: DataFrame, n: int, *by: str) -> DataFrame:
     """Counts of contiguous n-grams, joined by ' > ', never across sessions."""
-    w = in_session()
+    w = in_session(seq)
     parts = [F.col("token"), *(F.lead("token", k).over(w) for k in range(1, n))]
     return seq.select(*by, F.struct(*(p.alias(f"t{i}") for i, p in enumerate(parts))).alias("g")).filter(F.col(f"g.t{n - 1}").isNotNull()).groupBy(*by, F.concat_ws(" > ", *(f"g.t{i}" for i in range(n))).alias("ngram")).agg(F.count("*").alias("n"))
 
@@ -30,7 +34,7 @@ def rare_ngrams(counts: DataFrame, max_count: int = 1) -> DataFrame:
 
 def transitions(seq: DataFrame, order: int = 1, separator: str = " > ") -> DataFrame:
     """(context, token, n); contexts are padded on the left, no end is added."""
-    w = in_session()
+    w = in_session(seq)
     context = F.concat_ws(separator, *(F.coalesce(F.lag("token", k).over(w), F.lit(START)) for k in range(order, 0, -1)))
     return seq.select(context.alias("context"), "token").groupBy("context", "token").agg(F.count("*").alias("n"))
 
@@ -83,7 +87,7 @@ def _top(frame: DataFrame, k: int, *by: str) -> DataFrame:
 
 def sankey(seq: DataFrame, steps: int = 4, top_n: int = 6) -> DataFrame:
     """(step, src, dst, n): flows between consecutive steps; small labels are 'other', an ended session is '(end)' once."""
-    w = in_session()
+    w = in_session(seq)
     placed = seq.select("session_id", "token", F.row_number().over(w).alias("step"), F.lead("token").over(w).isNull().alias("last")).filter(F.col("step") <= steps)
     ends = placed.filter(F.col("last") & (F.col("step") < steps)).select("session_id", F.lit(END).alias("token"), (F.col("step") + 1).alias("step"))
     kept = _top(placed.groupBy("step", F.col("token").alias("label")).agg(F.count("*").alias("n")), top_n, "step").select("step", F.col("label").alias("token"), F.lit(True).alias("kept"))
@@ -100,31 +104,38 @@ def companions(seq: DataFrame, top: int = 5) -> DataFrame:
 
 def neighbours(seq: DataFrame, top: int = 5) -> DataFrame:
     """Successors of each token, the end of the session among them."""
-    follow = F.coalesce(F.lead("token").over(in_session()), F.lit(END))
+    follow = F.coalesce(F.lead("token").over(in_session(seq)), F.lit(END))
     return _top(seq.select("token", follow.alias("label")).groupBy("token", "label").agg(F.count("*").alias("n")), top, "token")
 
 
+def predecessors(seq: DataFrame, top: int = 5) -> DataFrame:
+    """What comes before each token, the start of the session among it."""
+    before = F.coalesce(F.lag("token").over(in_session(seq)), F.lit(START))
+    return _top(seq.select("token", before.alias("label")).groupBy("token", "label").agg(F.count("*").alias("n")), top, "token")
+
+
 def activity_profiles(seq: DataFrame) -> DataFrame:
-    """Per token: counts, shares, reach, start, end and repeat shares, dwell quantiles, success and score."""
-    w = in_session()
+    """Per token: counts, shares, reach, start, end and repeat shares, dwell median, success and score.
+
+    Reach is counted from one row for each token and session, so no distinct set is held.
+    """
+    w = in_session(seq)
     rich = seq.select(
         "token", "session_id", "learner_id", "success", "score",
         F.lag("token").over(w).alias("before"), F.lead("token").over(w).alias("after"),
         (F.lead(F.unix_micros("timestamp")).over(w) - F.unix_micros("timestamp")).alias("dwell_us"),
     )
-    share = lambda c: F.avg(c.cast("double"))
-    made = rich.groupBy("token").agg(
-        F.count("*").alias("n"),
-        F.count_distinct("session_id").alias("n_sessions"),
-        F.count_distinct("learner_id").alias("n_learners"),
-        F.round(share(F.col("before").isNull()), 6).alias("start_share"),
-        F.round(share(F.col("after").isNull()), 6).alias("end_share"),
-        F.round(share(F.coalesce(F.col("before") == F.col("token"), F.lit(False))), 6).alias("repeat_share"),
-        F.round(F.percentile(F.col("dwell_us") / 1e6, F.lit(0.5)), 4).alias("dwell_median_s"),
-        F.round(F.avg(F.col("success").cast("double")), 6).alias("success_rate"),
-        F.round(F.avg("score"), 6).alias("mean_score"),
-    )
-    return made.withColumn("share", F.round(F.col("n") / F.sum("n").over(Window.partitionBy()), 6))
+    hits = lambda c: F.sum(c.cast("bigint"))
+    per = rich.groupBy("token", "learner_id", "session_id").agg(
+        F.count("*").alias("n"), hits(F.col("before").isNull()).alias("starts"), hits(F.col("after").isNull()).alias("ends"), hits(F.coalesce(F.col("before") == F.col("token"), F.lit(False))).alias("repeats"),
+        hits(F.col("success")).alias("won"), F.count("success").alias("judged"), F.sum("score").alias("score"), F.count("score").alias("scored"),
+    )
+    own = per.groupBy("token", "learner_id").agg(F.count("*").alias("sessions"), *(F.sum(c).alias(c) for c in ("n", "starts", "ends", "repeats", "won", "judged", "score", "scored")))
+    total = own.groupBy("token").agg(F.sum("sessions").alias("n_sessions"), F.count("*").alias("n_learners"), *(F.sum(c).alias(c) for c in ("n", "starts", "ends", "repeats", "won", "judged", "score", "scored")))
+    share = lambda part, whole="n": F.round(F.try_divide(F.col(part), F.col(whole)), 6)
+    middle = quantiles(rich.withColumn("token", F.col("token")), F.col("dwell_us") / 1e6, {"median": 0.5}, ("token",)).select(F.col("token").alias("of"), F.round("median", 4).alias("dwell_median_s"))
+    made = total.join(middle, F.col("of") == F.col("token"), "left")
+    return made.select("token", "n", "n_sessions", "n_learners", share("starts").alias("start_share"), share("ends").alias("end_share"), share("repeats").alias("repeat_share"), "dwell_median_s", share("won", "judged").alias("success_rate"), share("score", "scored").alias("mean_score"), F.round(F.col("n") / F.sum("n").over(Window.partitionBy()), 6).alias("share"))
 
 
 def nll(seq: DataFrame) -> DataFrame:
@@ -133,6 +144,6 @@ def nll(seq: DataFrame) -> DataFrame:
     size = counts.agg(F.count_distinct("token").alias("size"))
     smoothed = (F.col("n") + 1) / (F.sum("n").over(Window.partitionBy("context")) + F.col("size"))
     table = counts.join(F.broadcast(size), F.lit(True)).select("context", "token", smoothed.alias("p"))  # pairs that occur are all that is scored
-    context: Column = F.coalesce(F.lag("token").over(in_session()), F.lit(START))
+    context: Column = F.coalesce(F.lag("token").over(in_session(seq)), F.lit(START))
     scored = seq.select("session_id", context.alias("context"), "token").join(table, ["context", "token"])
     return scored.groupBy("session_id").agg(F.round(F.avg(-F.log("p")), 6).alias("nll"))

@@ -4,21 +4,27 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+
 ORDER = ("timestamp", "event_id")
 
 
-def sessionize(events: DataFrame, *, strategy: str = "composite", idle_timeout_s: float = 1800) -> DataFrame:
+def sessionize(events: DataFrame, *, strategy: str = "composite", idle_timeout_s: float = 1800, strict: bool | None = None) -> DataFrame:
     """``events`` with session ids.
 
     A gap greater than the timeout starts a new session ``<learner>:s<k>``.
-    ``explicit`` keeps the ids there are; ``composite`` keeps them for learners
-    all of whose events have one and derives them for the others.  One exchange
-    by learner serves the composite decision, the gaps and the running count.
+    ``explicit`` takes the ids there are, and reading the result fails where one
+    is missing; ``composite`` keeps them for learners all of whose events have
+    one and derives them for the others.  One exchange by learner serves the
+    composite decision, the gaps and the running count.  A session that holds two
+    learners, by an id that is given twice or equal to a derived one, is an error
+    with ``strict``, which takes an exchange by session.
     """
     if idle_timeout_s <= 0:
         raise ValueError("idle_timeout_s must be positive")
     if strategy == "explicit":
-        return events
+        made = F.coalesce(F.col("session_id"), F.raise_error(F.lit("explicit sessions need an id on every event")).cast("string"))
+        named = events.withColumn("session_id", made)
+        return named if strict is False else _of_one_learner(named)
     if strategy not in ("composite", "idle_timeout"):
         raise ValueError(f"unknown strategy {strategy!r}")
     learner = Window.partitionBy("learner_id")
@@ -30,7 +36,15 @@ def sessionize(events: DataFrame, *, strategy: str = "composite", idle_timeout_s
     if strategy == "composite":
         whole = F.min(F.col("session_id").isNotNull()).over(learner)
         made = F.when(whole, F.col("session_id")).otherwise(made)
-    return numbered.withColumn("session_id", made).drop("__new", "__k")
+    cut = numbered.withColumn("session_id", made).drop("__new", "__k")
+    return _of_one_learner(cut) if strict else cut
+
+
+def _of_one_learner(events: DataFrame) -> DataFrame:
+    """``events``; reading them fails where a session holds two learners."""
+    session = Window.partitionBy("session_id")
+    mixed = F.min("learner_id").over(session) != F.max("learner_id").over(session)
+    return events.withColumn("session_id", F.when(mixed, F.raise_error(F.lit("a session holds two learners")).cast("string")).otherwise(F.col("session_id")))
 
 
 def conflicts(events: DataFrame) -> DataFrame:
@@ -58,5 +72,8 @@ def sessions(events: DataFrame, token: str = "event_type") -> DataFrame:
     )
 
 
-def participants(events: DataFrame) -> DataFrame:
-    return events.groupBy("learner_id").agg(F.array_sort(F.collect_set("course_id")).alias("course_ids"))
+def participants(events: DataFrame, sessions: DataFrame | None = None) -> DataFrame:
+    """(learner_id, course_ids) over events and, where given, sessions."""
+    own = events.select("learner_id", "course_id")
+    every = own if sessions is None else own.unionByName(sessions.select("learner_id", "course_id"))
+    return every.groupBy("learner_id").agg(F.array_sort(F.collect_set("course_id")).alias("course_ids"))

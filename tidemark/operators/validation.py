@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import distances as D
 from tidemark.functions.randomness import uniform
-from tidemark.functions.ranking import seeded_rank
+from tidemark.functions.ranking import cumulate, quantiles, seeded_rank
 from tidemark.operators.sequences import START
 
 
@@ -60,13 +60,20 @@ def rare_replay_rate(seq: DataFrame, n: int = 3) -> DataFrame:
     return counts.agg(F.round(F.avg((F.col("nb") > 0).cast("double")), 6).alias("value"))
 
 
-def nearest_distance(a: DataFrame, b: DataFrame, vocabulary: list[str], *, seed: int = 0, most_a: int = 1000, most_b: int = 200) -> DataFrame:
+def nearest_distance(a: DataFrame, b: DataFrame, *, seed: int = 0, most_a: int = 1000, most_b: int = 200) -> DataFrame:
     """5th percentile of b's distance to the nearest of a, over seeded samples of stated sizes (a sampling metric)."""
     take = lambda s, n, label: s.select("session_id", "event_sequence").orderBy(uniform(seed, label, F.col("session_id")), "session_id").limit(n)
     left = F.broadcast(take(a, most_a, "real").select(F.col("event_sequence").alias("sa")).distinct())
     pairs = take(b, most_b, "synthetic").join(left, F.lit(True))
-    near = pairs.groupBy("session_id").agg(F.min(D.edit_distance(F.col("sa"), F.col("event_sequence"), vocabulary)).alias("d"))
-    return near.agg(F.round(F.percentile("d", F.lit(0.05)), 6).alias("value"))
+    near = pairs.groupBy("session_id").agg(F.min(D.edit_distance(F.col("sa"), F.col("event_sequence"))).alias("d"))
+    return near.agg(F.round(F.percentile("d", F.lit(0.05)), 6).alias("value"))  # of ``most_b`` rows at most
+
+
+def _nearest(seq: DataFrame) -> DataFrame:
+    """nearest_distance() of the sides' sessions."""
+    item = F.struct("timestamp", "event_id", "token")
+    made = seq.groupBy("side", "session_id").agg(F.transform(F.array_sort(F.collect_list(item)), lambda x: x["token"]).alias("event_sequence"))
+    return nearest_distance(made.filter("side = 'a'"), made.filter("side = 'b'"))
 
 
 METRICS: dict[str, Callable[[DataFrame, DataFrame], DataFrame]] = {
@@ -80,6 +87,7 @@ METRICS: dict[str, Callable[[DataFrame, DataFrame], DataFrame]] = {
     "topn_path_overlap": lambda ev, seq: top_path_overlap(seq),
     "exact_session_dup_rate": lambda ev, seq: duplicate_rate(seq),
     "rare_ngram_replay_rate": lambda ev, seq: rare_replay_rate(seq),
+    "nn_distance_p05": lambda ev, seq: _nearest(seq),
 }
 
 
@@ -110,8 +118,7 @@ def detection(scored: DataFrame, threshold: float = 0.5) -> DataFrame:
     """Confusion counts, rates, ROC AUC (ties half) and average precision (ties one group) of (truth, score); no score ranks lowest."""
     s = scored.select(F.col("truth").cast("int").alias("t"), F.coalesce("score", F.lit(float("-inf"))).alias("s"))
     groups = s.groupBy("s").agg(F.sum("t").alias("pos"), F.count("*").alias("n"))
-    up, down = Window.orderBy("s").rowsBetween(Window.unboundedPreceding, -1), Window.orderBy(F.desc("s")).rowsBetween(Window.unboundedPreceding, 0)
-    ranked = groups.select("pos", "n", "s", F.coalesce(F.sum("n").over(up), F.lit(0)).alias("before"), F.sum("pos").over(down).alias("hits"), F.sum("n").over(down).alias("seen"))
+    ranked = cumulate(groups, "s", ["pos", "n"]).select("pos", "n", "s", F.col("n_before").alias("before"), (F.col("pos_total") - F.col("pos_before")).alias("hits"), (F.col("n_total") - F.col("n_before")).alias("seen"))
     flag = F.col("s") >= threshold
     some = lambda c, v: F.sum(F.when(c, F.col(v)).otherwise(0))
     neg = F.col("n") - F.col("pos")

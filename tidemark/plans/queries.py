@@ -88,10 +88,14 @@ def _(spark, d):
     return ses(spark, d).select("session_id", "learner_id", F.unix_micros("start_time").alias("start_us"), F.unix_micros("end_time").alias("end_us"), "n_events", F.round("duration_s", 6).alias("duration_s"), F.concat_ws(" > ", "event_sequence").alias("path"), "course_id")
 
 
-@query("sessions_explicit", "SELECT conv_id AS session_id, count(*) AS n_events, string_agg(role, ' > ' ORDER BY turn) AS path FROM conversations GROUP BY conv_id", "")
+@query("sessions_explicit", "SELECT 'c' || CAST(conv_id AS VARCHAR) AS session_id, count(*) AS n_events, string_agg(role, ' > ' ORDER BY turn) AS path FROM conversations GROUP BY conv_id", "")
 def _(spark, d):
     t = spark.read.parquet(f"{d}/conversations.parquet")
-    return t.groupBy(F.col("conv_id").alias("session_id")).agg(F.count("*").alias("n_events"), F.concat_ws(" > ", F.transform(F.array_sort(F.collect_list(F.struct("turn", "role"))), lambda x: x["role"])).alias("path"))
+    at = F.timestamp_micros(F.col("turn").cast("bigint") * 1_000_000)
+    own = F.concat(F.lit("c"), F.col("conv_id").cast("string"))
+    log_ = t.select(F.concat_ws("-", own, F.format_string("%09d", F.col("turn").cast("bigint"))).alias("event_id"), own.alias("learner_id"), at.alias("timestamp"), own.alias("session_id"), F.col("role").alias("event_type"), F.lit(None).cast("string").alias("course_id"))
+    made = S.sessions(S.sessionize(log_, strategy="explicit"))
+    return made.select("session_id", "n_events", F.concat_ws(" > ", "event_sequence").alias("path"))
 
 
 @query("participants", "SELECT learner_id, string_agg(DISTINCT course_id, ',' ORDER BY course_id) AS courses FROM ev GROUP BY learner_id")
@@ -341,7 +345,7 @@ for _name, _sql in _METRIC_SQL.items():
 def _(spark, d):
     made = ses(spark, d)
     low = F.col("learner_id").cast("bigint") % 10 < 3
-    return V.nearest_distance(made.filter(~low), made.filter(low), list(_TYPES), seed=1)
+    return V.nearest_distance(made.filter(~low), made.filter(low), seed=1)
 
 
 @query("token_gaps", "SELECT token, round(na / sum(na) OVER (), 6) AS share_a, round(nb / sum(nb) OVER (), 6) AS share_b, round(nb / sum(nb) OVER () - na / sum(na) OVER (), 6) AS gap FROM (SELECT token, count(CASE WHEN side = 'a' THEN 1 END) AS na, count(CASE WHEN side = 'b' THEN 1 END) AS nb FROM seq GROUP BY 1)")
@@ -405,7 +409,7 @@ def _(spark, d):
     s = seq(spark, d)
     chosen = s.select("session_id").distinct().orderBy(uniform(5, "timeline", F.col("session_id")), "session_id").limit(30)
     us = F.unix_micros("timestamp")
-    return s.join(F.broadcast(chosen), "session_id").select("session_id", "event_id", "token", F.round((us - F.first(us).over(Q.in_session())) / 6e7, 4).alias("minute"))
+    return s.join(F.broadcast(chosen), "session_id").select("session_id", "event_id", "token", F.round((us - F.first(us).over(Q.in_session(s))) / 6e7, 4).alias("minute"))
 
 
 @query("unseen_pairs", f"+v AS (SELECT DISTINCT activity_id AS t FROM ev), b AS (SELECT DISTINCT activity_id AS src, lead(activity_id) OVER {_W} AS dst FROM seq) SELECT x.t AS src, y.t AS dst FROM v x CROSS JOIN v y LEFT JOIN b ON b.src = x.t AND b.dst = y.t WHERE b.src IS NULL")
@@ -473,25 +477,41 @@ def _(spark, d):
 
 
 #: Office hours of working days in three weeks, shorter than the log.
-_OFFICE = C.Calendar(date(2024, 1, 1), 21, tuple(float(8 <= h < 18) for h in range(24)), (1.0,) * 5 + (0.0,) * 2, deadlines=(C.Deadline(date(2024, 1, 15), 2.0),))
+def _office(spark: SparkSession) -> C.Timetable:
+    week = dict.fromkeys(("Mon", "Tue", "Wed", "Thu", "Fri"), 1.0)
+    return C.opening(spark, "2024-01-01", "2024-01-21", hours=dict.fromkeys(range(8, 18), 1.0), week=week, rushes=[("2024-01-15", 3, 2.0)])
+
 
 
 @query("calendar_next_allowed", "+o AS (SELECT s AS b, s + INTERVAL 1 HOUR AS e FROM generate_series(TIMESTAMP '2024-01-01', TIMESTAMP '2024-01-21 23:00:00', INTERVAL 1 HOUR) AS t(s) WHERE hour(s) BETWEEN 8 AND 17 AND isodow(s) < 6) SELECT session_id, CAST(coalesce(greatest(epoch_us(o.b), start_us), start_us) AS BIGINT) AS next_us FROM ses ASOF LEFT JOIN o ON ses.start_ts < o.e")
 def _(spark, d):
-    return ses(spark, d).select("session_id", F.unix_micros(_OFFICE.next_allowed(F.col("start_time"))).alias("next_us"))
+    return _office(spark).next_open(ses(spark, d), "start_time", "next").select("session_id", F.unix_micros("next").alias("next_us"))
 
 
 _DAYS = "p AS (SELECT isodow(s) - 1 AS k, sum(CASE WHEN isodow(s) > 5 THEN 0.0 WHEN s BETWEEN TIMESTAMP '2024-01-12' AND TIMESTAMP '2024-01-15' THEN 2.0 ELSE 1.0 END) AS w FROM generate_series(TIMESTAMP '2024-01-01', TIMESTAMP '2024-01-21', INTERVAL 1 DAY) AS t(s) GROUP BY 1 UNION ALL SELECT 100 + i, CASE WHEN i BETWEEN 8 AND 17 THEN 1.0 ELSE 0.0 END FROM generate_series(0, 23) AS t(i)), n AS (SELECT count(*) AS n FROM ses), x AS (SELECT isodow(start_ts) - 1 AS k, count(*) AS c FROM ses GROUP BY 1 UNION ALL SELECT 100 + hour(start_ts), count(*) FROM ses GROUP BY 1), dv AS (SELECT p.k >= 100 AS hours, sum(abs(coalesce(x.c, 0) / n.n - p.w / t.w)) / 2 AS m, greatest(0.1, 0.75 * sqrt(count(*) / max(n.n))) AS b FROM p JOIN (SELECT k >= 100 AS hours, sum(w) AS w FROM p GROUP BY 1) t ON t.hours = (p.k >= 100) LEFT JOIN x ON x.k = p.k CROSS JOIN n GROUP BY 1)"
 
 
-@query("calendar_check", f"+{_DAYS}, i AS (SELECT 'calendar' AS control, 'period' AS target, CAST(count(CASE WHEN CAST(start_ts AS DATE) NOT BETWEEN DATE '2024-01-01' AND DATE '2024-01-22' THEN 1 END) AS DOUBLE) AS m, 0.0::DOUBLE AS b FROM ses UNION ALL SELECT 'calendar.hours', 'closed', CAST(count(CASE WHEN hour(start_ts) NOT BETWEEN 8 AND 17 THEN 1 END) AS DOUBLE), 0.0 FROM ses UNION ALL SELECT CASE WHEN hours THEN 'calendar.hours' ELSE 'calendar.weekdays' END, 'distribution', m, b FROM dv) SELECT control, target, round(m, 6) AS measured, round(b, 6) AS bound, CASE WHEN m <= b THEN 'ok' ELSE 'failed' END AS status FROM i")
+@query("calendar_check", f"""+{_DAYS}, i AS (SELECT 'calendar' AS control, 'period' AS target, CAST(count(CASE WHEN CAST(start_ts AS DATE) NOT BETWEEN DATE '2024-01-01' AND DATE '2024-01-22' THEN 1 END) AS DOUBLE) AS m, 0.0::DOUBLE AS b FROM ses UNION ALL SELECT 'calendar.hours', 'closed', CAST(count(CASE WHEN hour(start_ts) NOT BETWEEN 8 AND 17 THEN 1 END) AS DOUBLE), 0.0 FROM ses UNION ALL SELECT CASE WHEN hours THEN 'calendar.hours' ELSE 'calendar.weekdays' END, 'distribution', m, b FROM dv), ru AS (SELECT day, CASE WHEN isodow(day) > 5 THEN 0.0::DOUBLE WHEN day BETWEEN DATE '2024-01-12' AND DATE '2024-01-15' THEN 2.0 ELSE 1.0 END AS w, day BETWEEN DATE '2024-01-12' AND DATE '2024-01-15' AS near, coalesce((SELECT count(*) FROM ses WHERE CAST(start_ts AS DATE) = day), 0) AS n FROM (SELECT CAST(unnest(generate_series(TIMESTAMP '2024-01-01', TIMESTAMP '2024-01-21', INTERVAL 1 DAY)) AS DATE) AS day)),
+ rr AS (SELECT avg(CASE WHEN near THEN w END) AS w1, avg(CASE WHEN NOT near AND w > 0 THEN w END) AS w0, avg(CASE WHEN near THEN n END) AS r1, avg(CASE WHEN NOT near AND w > 0 THEN n END) AS r0, sum(CASE WHEN near THEN n END) AS n1, sum(CASE WHEN NOT near AND w > 0 THEN n END) AS n0 FROM ru),
+ rm AS (SELECT abs((r1 / r0) / (w1 / w0) - 1) AS m, greatest(0.2, 3 * sqrt(1.0 / greatest(n1, 1) + 1.0 / greatest(n0, 1))) AS b, n1 FROM rr)
+SELECT control, target, round(m, 6) AS measured, round(b, 6) AS bound, CASE WHEN m <= b THEN 'ok' ELSE 'failed' END AS status FROM i UNION ALL SELECT 'calendar.deadlines', '2024-01-15', round(m, 6), round(b, 6), CASE WHEN n1 < 20 THEN 'not_measurable' WHEN m <= b THEN 'ok' ELSE 'failed' END FROM rm""")
 def _(spark, d):
-    return _OFFICE.check(ses(spark, d))
+    return _office(spark).check(ses(spark, d))
+
+
+_PLAN = """dd AS (SELECT day, sum(w) OVER (ORDER BY day) / sum(w) OVER () AS cum FROM (SELECT CAST(s AS DATE) AS day, CASE WHEN isodow(s) > 5 THEN 0.0::DOUBLE WHEN s BETWEEN TIMESTAMP '2024-01-12' AND TIMESTAMP '2024-01-15' THEN 2.0 ELSE 1.0 END AS w FROM generate_series(TIMESTAMP '2024-01-01', TIMESTAMP '2024-01-21', INTERVAL 1 DAY) AS t(s))),
+ hh AS (SELECT hour, sum(w) OVER (ORDER BY hour) / sum(w) OVER () AS cum FROM (SELECT i AS hour, CASE WHEN i BETWEEN 8 AND 17 THEN 1.0::DOUBLE ELSE 0.0 END AS w FROM generate_series(0, 23) AS t(i)))"""
+
+
+def _drawn_start(seed: int, key: str) -> str:
+    """Microseconds of a start that _PLAN gives the entity ``key`` in SQL."""
+    u = lambda label: _u(seed, f"'{label}'", key)
+    return f"(epoch_us(CAST((SELECT min(day) FROM dd WHERE cum > {u('day')}) AS TIMESTAMP)) + (SELECT min(hour) FROM hh WHERE cum > {u('hour')}) * 3600000000 + CAST(floor({u('within')} * 3600000000) AS BIGINT))"
 
 
-@query("calendar_starts")
+@query("calendar_starts", f"WITH {_PLAN} SELECT i AS session, CAST({_drawn_start(11, 'CAST(i AS VARCHAR)')} AS BIGINT) AS start_us FROM generate_series(0, 499) AS t(i)", "")
 def _(spark, d):
-    return spark.range(500).select(F.col("id").alias("session"), F.unix_micros(_OFFICE.sample(11, F.col("id"))).alias("start_us"))
+    return _office(spark).draw(spark.range(500), 11, "id").select(F.col("id").alias("session"), F.unix_micros("start_time").alias("start_us"))
 
 
 @query("transition_matrix", f"+f AS (SELECT activity_id AS t FROM ev GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 12), b AS (SELECT activity_id AS src, lead(activity_id) OVER {_W} AS dst FROM seq) SELECT src, dst, round(count(*) / sum(count(*)) OVER (PARTITION BY src), 6) AS p FROM b JOIN f ON f.t = b.src JOIN f g ON g.t = b.dst GROUP BY 1, 2")
@@ -507,7 +527,7 @@ def _(spark, d):
 @query("generate_assembled")
 def _(spark, d):
     s = seq(spark, d)
-    return A.assemble(G.semi_markov(G.fit(s), 500, seed=11), 500, A.sessions_per_learner(s), _OFFICE, seed=11)
+    return A.assemble(G.semi_markov(G.fit(s), 500, seed=11), 500, A.sessions_per_learner(s), _office(spark), seed=11)
 
 
 @query("generate_markov_3")
@@ -569,9 +589,9 @@ def _(spark, d):
     return R.unknown_ids(spark.read.parquet(f"{d}/labels.parquet"), docs, "doc_id")
 
 
-@query("closest_learner", f"+{_LF}, z AS (SELECT learner_id, CAST(learner_id AS BIGINT) % 10 < 3 AS b, " + ", ".join(f"round(greatest(-3.0, least(3.0, ({c} - avg({c}) OVER ()) / CASE WHEN stddev_pop({c}) OVER () = 0 THEN 1.0 ELSE stddev_pop({c}) OVER () END)), 5) AS {c}" for c in _LC) + " FROM lf), f AS (SELECT * FROM z WHERE NOT b ORDER BY " + _u(17, "'reference'", "learner_id") + ", learner_id LIMIT 500) SELECT z.learner_id, round(sqrt(min(" + " + ".join(f"(z.{c} - f.{c}) * (z.{c} - f.{c})" for c in _LC) + ")), 5) AS distance FROM z CROSS JOIN f WHERE z.b GROUP BY 1")
+@query("closest_learner", f"+{_LF}, f AS (SELECT learner_id, CAST(learner_id AS BIGINT) % 10 < 3 AS b, " + ", ".join(f"round(({c} - avg({c}) OVER ()) / CASE WHEN stddev_pop({c}) OVER () = 0 THEN 1.0 ELSE stddev_pop({c}) OVER () END, 5) AS {c}" for c in _LC) + " FROM lf) SELECT z.learner_id, round(sqrt(min(" + " + ".join(f"(z.{c} - f.{c}) * (z.{c} - f.{c})" for c in _LC) + ")), 5) AS distance FROM f z CROSS JOIN f WHERE z.b AND NOT f.b GROUP BY 1")
 def _(spark, d):
-    """Distances of one half's learners to the closest of all learners of the other, unclipped; the SQL still samples 500 and clips."""
+    """Distances of one half's learners to the closest of all learners of the other, unclipped."""
     z = P.standardize(P.learner_features(ses(spark, d), events(spark, d), _TYPES), "learner_id", clip=None)
     b = F.col("learner_id").cast("bigint") % 10 < 3
     return R.closest(z.filter(b), z.filter(~b), "learner_id")
