@@ -8,7 +8,7 @@ of their size.
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Mapping, Sequence
 from functools import reduce
 from typing import Any
 
@@ -59,7 +59,8 @@ class Model(dict[str, DataFrame]):
         return Model(self, self.settings | settings)
 
 
-_TIMES = one_of("empirical", "lognormal", "gamma", "exponential", "constant")
+FAMILIES = ("empirical", "lognormal", "gamma", "exponential", "constant")
+_TIMES = one_of(*FAMILIES)
 _CHAIN = {"order": (at_least(1, whole), 1), "smoothing_alpha": (at_least(0, number), 0.0), "on_insufficient_data": (one_of("fail", "backoff"), "fail")}
 _EVERY = {"length_model": (one_of("empirical", "poisson", "fixed"), "empirical"), "fixed_length": (optional(at_least(1, whole)), None)}
 #: The settings of each generator and their defaults.
@@ -184,26 +185,33 @@ def markov(model: dict[str, DataFrame], n_sessions: int, seed: int = 0, order: i
     return walked.select("session_id", F.posexplode("path").alias("pos", "token")).filter(F.col("pos") >= order).withColumn("pos", F.col("pos") - (order - 1))
 
 
-def _draw(u: Callable[[str], Column]) -> Column:
-    """Seconds from a row of the gap table; ``u`` gives uniforms by label."""
-    normal = lambda k: F.sqrt(-2 * F.log(1 - u(f"r{k}"))) * F.cos(2 * math.pi * u(f"a{k}"))
-    shape = F.when(F.col("a") < 1, F.col("a") + 1).otherwise(F.col("a"))
-    d = shape - 1 / 3
+def _draw(u: Callable[..., Column], families: Sequence[str]) -> Column:
+    """Seconds from a row of the gap table; ``u`` gives uniforms by label and number."""
+    kind, drawn = F.col("family"), F.col("a")
+    normal = lambda k: F.sqrt(-2 * F.log(1 - u("radius", k))) * F.cos(2 * math.pi * u("angle", k))
+    if "empirical" in families:
+        drawn = F.when(kind == "empirical", F.get("points", F.floor(u("point") * F.size("points")).cast("int"))).otherwise(drawn)
+    if "exponential" in families:
+        drawn = F.when(kind == "exponential", -F.col("a") * F.log(1 - u("point"))).otherwise(drawn)
+    if "lognormal" in families:
+        drawn = F.when(kind == "lognormal", F.exp(F.col("a") + F.col("b") * normal(F.lit(0)))).otherwise(drawn)
+    if "gamma" in families:  # squeezed cubes of normals, of which the first that passes its test is taken
+        d = F.when(F.col("a") < 1, F.col("a") + 1).otherwise(F.col("a")) - 1 / 3
 
-    def tried(k: int) -> Column:
-        x = normal(k)
-        v = F.pow(1 + x / F.sqrt(9 * d), F.lit(3))
-        return F.when((v > 0) & (F.log(1 - u(f"t{k}")) < x * x / 2 + d - d * v + d * F.log(F.greatest(v, F.lit(1e-300)))), d * v)
+        def tried(k: Column) -> Column:
+            x = normal(k)
+            v = F.pow(1 + x / F.sqrt(9 * d), F.lit(3))
+            return F.when((v > 0) & (F.log(1 - u("test", k)) < x * x / 2 + d - d * v + d * F.log(F.greatest(v, F.lit(1e-300)))), d * v)
 
-    gamma = F.coalesce(*(tried(k) for k in range(TRIES)), d) * F.when(F.col("a") < 1, F.pow(1 - u("boost"), 1 / F.col("a"))).otherwise(F.lit(1.0)) * F.col("b")
-    kind = F.col("family")
-    drawn = F.when(kind == "empirical", F.get("points", F.floor(u("point") * F.size("points")).cast("int")))
-    return drawn.when(kind == "exponential", -F.col("a") * F.log(1 - u("point"))).when(kind == "lognormal", F.exp(F.col("a") + F.col("b") * normal(0))).when(kind == "gamma", gamma).otherwise(F.col("a"))
+        passed = F.get(F.filter(F.transform(F.sequence(F.lit(0), F.lit(TRIES - 1)), tried), lambda x: x.isNotNull()), F.lit(0))
+        boost = F.when(F.col("a") < 1, F.pow(1 - u("boost"), 1 / F.col("a"))).otherwise(F.lit(1.0))
+        drawn = F.when(kind == "gamma", F.coalesce(passed, d) * boost * F.col("b")).otherwise(drawn)
+    return drawn
 
 
-def timed(path: DataFrame, gaps: DataFrame, seed: int, scale: Mapping[str, float] | None = None) -> DataFrame:
+def timed(path: DataFrame, gaps: DataFrame, seed: int, scale: Mapping[str, float] | None = None, families: Sequence[str] = FAMILIES) -> DataFrame:
     """(session_id, pos, token, at_s): seconds since the start; a gap follows the token before, or all tokens' where that has none of its own."""
-    u = lambda label: uniform(seed, "gap", label, F.col("session_id"), F.col("pos"))
+    u = lambda label, *k: uniform(seed, "gap", label, *k, F.col("session_id"), F.col("pos"))
     columns = ["family", "a", "b", "points"]
     pooled = gaps.filter("token is null").select(F.struct(*columns).alias("__any"))
     own = gaps.filter("token is not null").select("token", F.struct(*columns).alias("__own"))
@@ -211,21 +219,26 @@ def timed(path: DataFrame, gaps: DataFrame, seed: int, scale: Mapping[str, float
     factor = F.lit(1.0)
     for token, x in (scale or {}).items():
         factor = factor * (F.lit(x) if token == "*" else F.when(F.col("token") == token, F.lit(x)).otherwise(F.lit(1.0)))
-    drawn = known.withColumn("gap_s", F.greatest(F.lit(0.001), F.coalesce(_draw(u) * factor, F.lit(60.0))))
+    drawn = known.withColumn("gap_s", F.greatest(F.lit(0.001), F.coalesce(_draw(u, families) * factor, F.lit(60.0))))
     before = Window.partitionBy("session_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
     return drawn.select("session_id", "pos", "token", F.round(F.coalesce(F.sum("gap_s").over(before), F.lit(0.0)), 3).alias("at_s"))
 
 
 def semi_markov(model: dict[str, DataFrame], n_sessions: int, seed: int = 0, order: int = 1) -> DataFrame:
     """As markov(), with seconds since the start."""
-    return timed(markov(model, n_sessions, seed, order), model["gaps"], seed)
+    return timed(markov(model, n_sessions, seed, order), model["gaps"], seed, families=_families(model))
 
 
 def sample(model: Model, n_sessions: int, seed: int = 0) -> DataFrame:
     """(session_id, pos, token, at_s) by the generator that the model was fitted for, under its settings."""
     name = model.settings["generator"]
     path = GENERATORS[name](model, n_sessions, seed, **({"order": model.settings["order"]} if "order" in HYPERPARAMETERS.get(name, {}) else {}))
-    return path if "at_s" in path.columns and not model.settings.get("dwell_scale") else timed(path.select("session_id", "pos", "token"), model["gaps"], seed, model.settings.get("dwell_scale"))
+    return path if "at_s" in path.columns and not model.settings.get("dwell_scale") else timed(path.select("session_id", "pos", "token"), model["gaps"], seed, model.settings.get("dwell_scale"), _families(model))
+
+
+def _families(model: Mapping[str, DataFrame]) -> Sequence[str]:
+    known = getattr(model, "settings", {}).get("timing_family")
+    return (known,) if known else FAMILIES
 
 
 GENERATORS = {"independent": independent, "markov": markov, "semi_markov": semi_markov}

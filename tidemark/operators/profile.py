@@ -141,3 +141,80 @@ def standardize(features: DataFrame, key: str, clip: float | None = 3.0) -> Data
     free = lambda c: (F.col(c) - F.col(f"m_{c}")) / F.when(F.col(f"s_{c}") == 0, 1.0).otherwise(F.col(f"s_{c}"))
     z = lambda c: free(c) if clip is None else F.greatest(F.lit(-clip), F.least(F.lit(clip), free(c)))
     return features.join(F.broadcast(stats), F.lit(True)).select(key, *(F.round(z(c), 5).alias(c) for c in names))
+
+
+def resolve_zone(name: str) -> str:
+    """The name, if it is a zone of the IANA database."""
+    from zoneinfo import ZoneInfo
+
+    try:
+        return ZoneInfo(name).key
+    except (KeyError, ValueError, OSError):
+        raise ValueError(f"unknown time zone {name!r}") from None
+
+
+def by_clock(events: DataFrame, sessions: DataFrame, part: str, zone: str = "UTC") -> DataFrame:
+    """Events, and sessions by their start, of each ``hour`` or ``weekday`` (Monday 0)."""
+    of, size = {"hour": (F.hour, 24), "weekday": (F.weekday, 7)}[part]
+    at = lambda column: of(local(column, resolve_zone(zone)))
+    mixed = events.select(at("timestamp").alias(part), F.lit("e").alias("what")).unionByName(sessions.select(at("start_time").alias(part), F.lit("s").alias("what")))
+    n = lambda w: F.coalesce(F.sum((F.col("what") == w).cast("bigint")), F.lit(0))
+    counts = mixed.groupBy(part).agg(n("e").alias("n_events"), n("s").alias("n_sessions"))
+    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    return events.sparkSession.range(size).select(F.col("id").cast("int").alias(part)).join(F.broadcast(counts), part, "left").select(part, zero("n_events"), zero("n_sessions"))
+
+
+def peak_hour(hours: DataFrame) -> DataFrame:
+    """The hour with most events, the lowest on ties."""
+    return hours.agg(F.max_by("hour", F.struct("n_events", -F.col("hour"))).alias("peak_hour"))
+
+
+def daily(sessions: DataFrame, zone: str = "UTC") -> DataFrame:
+    return sessions.groupBy(F.to_date(local("start_time", zone)).alias("day")).agg(F.count("*").alias("n_sessions"))
+
+
+def temporal_profile(events: DataFrame, sessions: DataFrame, zone: str = "UTC") -> dict[str, DataFrame]:
+    """When there is activity: by hour and weekday, both together, by week and day, and the time between sessions."""
+    hours = by_clock(events, sessions, "hour", zone)
+    starts = sessions.withColumnRenamed("start_time", "timestamp")
+    return {
+        "hours": hours, "weekdays": by_clock(events, sessions, "weekday", zone), "heat_map": heat_map(starts, zone), "weekly": weekly(events, sessions, zone), "daily": daily(sessions, zone),
+        "between": describe(between_sessions(sessions), "gap_s"), "peak": peak_hour(hours), "span": daily(sessions, zone).agg(F.min("day").alias("first_day"), F.max("day").alias("last_day")),
+    }
+
+
+def top_bigrams(labelled: DataFrame, top: int = 5) -> DataFrame:
+    """(label, bigram, n, share, rank): the commonest pairs of each label."""
+    pairs = labelled.select("label", F.col("token").alias("a"), F.lead("token").over(in_session(labelled)).alias("b")).filter("b is not null")
+    counts = pairs.groupBy("label", F.concat_ws(" -> ", "a", "b").alias("bigram")).agg(F.count("*").alias("n"))
+    own = Window.partitionBy("label")
+    ranked = counts.select("label", "bigram", "n", F.round(F.col("n") / F.sum("n").over(own), 6).alias("share"), F.row_number().over(own.orderBy(F.desc("n"), "bigram")).alias("rank"))
+    return ranked.filter(F.col("rank") <= top)
+
+
+def omitted(labelled: DataFrame, min_sessions: int) -> DataFrame:
+    """The labels that analyze_by() leaves out, with their size."""
+    return labelled.groupBy("label").agg(F.count("*").alias("n_sessions")).filter(F.col("n_sessions") < min_sessions)
+
+
+def metadata_label(seq: DataFrame, key: str) -> DataFrame:
+    """(session_id, label): the commonest value of a metadata key, the first seen on ties; sessions without one are left out."""
+    value = F.try_element_at("metadata", F.lit(key))
+    counts = seq.select("session_id", value.alias("label"), F.struct("timestamp", "event_id").alias("at")).filter("label is not null").groupBy("session_id", "label").agg(F.count("*").alias("n"), F.min("at").alias("first"))
+    rank = F.row_number().over(Window.partitionBy("session_id").orderBy(F.desc("n"), "first"))
+    return counts.withColumn("rank", rank).filter("rank = 1").select("session_id", "label")
+
+
+def top_shares(events: DataFrame, column: str, top: int = 20) -> DataFrame:
+    """(label, n, share) of the commonest values."""
+    counts = events.groupBy(F.col(column).alias("label")).agg(F.count("*").alias("n"))
+    shared = counts.withColumn("share", F.round(F.col("n") / F.sum("n").over(Window.partitionBy()), 6))
+    return shared.orderBy(F.desc("n"), "label").limit(top)
+
+
+def log_histogram(values: DataFrame, column: str, bins: int = 40, least: float = 1e-3) -> DataFrame:
+    """(bin, n) in equal bins of the logarithm between the smallest and the largest value."""
+    size = F.log10(F.greatest(F.col(column), F.lit(least)))
+    ends = values.agg(F.min(size).alias("lo"), F.max(size).alias("hi"))
+    place = F.floor(F.coalesce(F.try_divide(size - F.col("lo"), F.col("hi") - F.col("lo")), F.lit(0.0)) * bins)
+    return values.join(F.broadcast(ends), F.lit(True)).groupBy(F.least(F.lit(bins - 1), place).cast("int").alias("bin")).agg(F.count("*").alias("n"))

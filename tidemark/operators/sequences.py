@@ -147,3 +147,14 @@ def nll(seq: DataFrame) -> DataFrame:
     context: Column = F.coalesce(F.lag("token").over(in_session(seq)), F.lit(START))
     scored = seq.select("session_id", context.alias("context"), "token").join(table, ["context", "token"])
     return scored.groupBy("session_id").agg(F.round(F.avg(-F.log("p")), 6).alias("nll"))
+
+
+def transition_scores(train: DataFrame, target: DataFrame) -> DataFrame:
+    """(session_id, score): mean negative log probability of the target's transitions under the training log's, add one."""
+    counts = transitions(train)
+    size = counts.agg((F.count_distinct("token") + 1).alias("size"))
+    totals = counts.groupBy("context").agg(F.sum("n").alias("total"))
+    context: Column = F.coalesce(F.lag("token").over(in_session(target)), F.lit(START))
+    seen = target.select("session_id", context.alias("context"), "token").join(counts, ["context", "token"], "left").join(totals, "context", "left").join(F.broadcast(size), F.lit(True))
+    p = (F.coalesce("n", F.lit(0)) + 1) / (F.coalesce("total", F.lit(0)) + F.col("size"))
+    return seen.groupBy("session_id").agg(F.round(F.avg(-F.log(p)), 6).alias("score"))

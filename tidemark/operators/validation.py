@@ -163,3 +163,32 @@ def split_by_learner(events: DataFrame, fraction: float = 0.3, seed: int = 0) ->
     ranked = seeded_rank(learners, uniform(seed, "split", F.col("learner_id")), "learner_id")
     n = learners.agg(F.count("*").alias("n")).select(F.greatest(F.lit(1), F.least(F.ceil(F.col("n") * fraction), F.col("n") - 1)).alias("most"))
     return ranked.join(F.broadcast(n), F.lit(True)).select("learner_id", (F.col("rank") <= F.col("most")).alias("holdout"))
+
+
+def evaluate(events: DataFrame, truth: DataFrame, predicted: DataFrame, *, level: str = "session", threshold: float = 0.5) -> dict[str, DataFrame]:
+    """A detector against annotations: ``scores``, and recall ``by_type`` and ``by_category``.
+
+    ``predicted`` has ``id`` and, for a scoring detector, ``score``; bare ids are
+    all flagged.  Ids that the log does not have at the level, and scores that are
+    no finite number, are errors.
+    """
+    key = f"{level}_id"
+    universe = events.select(F.col(key).alias("id")).filter("id is not null").distinct()
+    scores = predicted if "score" in predicted.columns else predicted.withColumn("score", F.lit(1.0))
+    scores = scores.select(F.col("id").cast("string").alias("id"), F.col("score").cast("double").alias("score")).groupBy("id").agg(F.max("score").alias("score"), F.bool_and(F.col("score").isNotNull() & ~F.isnan("score") & (F.abs("score") < float("inf"))).alias("finite"))
+    wrong = scores.join(universe.withColumn("known", F.lit(True)), "id", "left").agg(F.sum(F.col("known").isNull().cast("int")).alias("unknown"), F.sum((~F.col("finite")).cast("int")).alias("odd")).first()
+    if wrong["unknown"] or wrong["odd"]:
+        raise ValueError(f"{wrong['unknown'] or 0} predicted ids are unknown at the level {level}, {wrong['odd'] or 0} scores are no finite number")
+    anomalous = truth.filter((F.col("annotation") == "anomaly") & (F.col("level") == level))
+    marked = universe.join(anomalous.select("id").distinct().withColumn("truth", F.lit(True)), "id", "left").join(scores.select("id", "score"), "id", "left")
+    flagged = scores.filter(F.col("score") >= threshold).select("id")
+
+    def recall(column: str) -> DataFrame:
+        own = anomalous.select("id", F.col(column).alias("kind")).distinct()
+        hits = own.join(flagged.withColumn("hit", F.lit(1.0)), "id", "left")
+        return hits.groupBy("kind").agg(F.count("*").alias("n"), F.round(F.avg(F.coalesce("hit", F.lit(0.0))), 6).alias("recall"))
+
+    scored = detection(marked.select(F.coalesce("truth", F.lit(False)).alias("truth"), "score"), threshold)
+    if "score" not in predicted.columns:
+        scored = scored.withColumn("roc_auc", F.lit(None).cast("double")).withColumn("average_precision", F.lit(None).cast("double"))
+    return {"scores": scored, "by_type": recall("type"), "by_category": recall("category")}

@@ -123,9 +123,9 @@ def _(spark, d):
     return Q.ngrams(seq(spark, d), 2)
 
 
-@query("rare_trigrams", f"+{_grams(3)} SELECT ngram, count(*) AS n FROM g WHERE ngram IS NOT NULL GROUP BY ngram HAVING count(*) <= 3")
+@query("rare_trigrams", "+g AS (SELECT activity_id || ' > ' || lead(activity_id) OVER w || ' > ' || lead(activity_id, 2) OVER w AS ngram FROM seq WINDOW w AS (PARTITION BY session_id ORDER BY ts, event_id)) SELECT ngram, count(*) AS n FROM g WHERE ngram IS NOT NULL GROUP BY ngram HAVING count(*) <= 3")
 def _(spark, d):
-    return Q.rare_ngrams(Q.ngrams(seq(spark, d), 3), 3)
+    return Q.rare_ngrams(Q.ngrams(Q.tokens(seq(spark, d), "activity_id"), 3), 3)
 
 
 def _trans(k: int) -> str:
@@ -353,9 +353,11 @@ def _(spark, d):
     return V.token_gaps(halves(spark, d))
 
 
-@query("novel_transitions", f"+{_grams(2)} SELECT ngram AS g, CASE WHEN max(side) = min(side) AND min(side) = 'b' THEN 'novel' ELSE 'missing' END AS kind, count(*) AS n FROM g WHERE ngram IS NOT NULL GROUP BY ngram HAVING min(side) = max(side)")
+@query("novel_transitions", "+g AS (SELECT side, activity_id || ' > ' || lead(activity_id) OVER (PARTITION BY session_id ORDER BY ts, event_id) AS g FROM seq WHERE CAST(substr(event_id, -1) AS INTEGER) < 3) SELECT g, CASE WHEN min(side) = 'b' THEN 'novel' ELSE 'missing' END AS kind, count(*) AS n FROM g WHERE g IS NOT NULL GROUP BY g HAVING min(side) = max(side)")
 def _(spark, d):
-    return V.novel_transitions(halves(spark, d))
+    """A third of the events, so that either side lacks some pairs of activities."""
+    some = halves(spark, d).filter("cast(substring(event_id, -1) as int) < 3")
+    return V.novel_transitions(Q.tokens(some, "activity_id"))
 
 
 @query("detection", "SELECT * FROM (WITH s AS (SELECT CAST(quality = 0 AS INTEGER) AS t, CAST(doc_id % 17 AS DOUBLE) / 17 AS s FROM labels), g AS (SELECT s, CAST(sum(t) AS BIGINT) AS pos, count(*) AS n FROM s GROUP BY s), r AS (SELECT *, coalesce(sum(n) OVER (ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS bf, sum(pos) OVER (ORDER BY s DESC) AS hits, sum(n) OVER (ORDER BY s DESC) AS seen FROM g), a AS (SELECT CAST(sum(CASE WHEN s >= 0.5 THEN pos ELSE 0 END) AS BIGINT) AS tp, CAST(sum(CASE WHEN s >= 0.5 THEN n - pos ELSE 0 END) AS BIGINT) AS fp, CAST(sum(CASE WHEN s < 0.5 THEN pos ELSE 0 END) AS BIGINT) AS fn, CAST(sum(CASE WHEN s < 0.5 THEN n - pos ELSE 0 END) AS BIGINT) AS tn, sum(pos * (bf + (n + 1) / 2.0)) AS ranks, sum(pos) AS p, sum(n - pos) AS q, sum(pos * hits / CAST(seen AS DOUBLE)) AS ap FROM r) SELECT tp, fp, fn, tn, round(tp / CAST(tp + fp AS DOUBLE), 6) AS precision, round(tp / CAST(tp + fn AS DOUBLE), 6) AS recall, round(2.0 * tp / (2 * tp + fp + fn), 6) AS f1, round(fp / CAST(fp + tn AS DOUBLE), 6) AS fpr, round((ranks - p * (p + 1) / 2.0) / (p * q), 6) AS roc_auc, round(ap / p, 6) AS average_precision FROM a)", "")
@@ -437,12 +439,6 @@ def _(spark, d):
     return G.inactivity(s, G.anomaly_quota(s, 0.1, 7), 7200).select("session_id", "event_id", F.col("new_us").cast("bigint").alias("new_us"))
 
 
-@query("anomaly_repetition")
-def _(spark, d):
-    s = seq(spark, d)
-    return G.repetition(s, G.anomaly_quota(s, 0.05, 9))
-
-
 _POS = f"row_number() OVER (PARTITION BY s.session_id ORDER BY s.ts, s.event_id) AS r, floor({_u(5, chr(39) + 'position' + chr(39), 's.session_id')} * q.n_events) + 1 AS p"
 
 
@@ -644,16 +640,21 @@ _RAW = "r AS (SELECT event_id AS n, CAST(CASE WHEN event_id % 90 = 0 THEN event_
 ORACLE_SQL["ingest_report"] = f"WITH {_RAW}, o AS (SELECT date_trunc('second', ts) < max(date_trunc('second', ts)) OVER (PARTITION BY user_id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS late FROM k WHERE d = 1), u AS (SELECT 'timestamp:invalid_timestamp' AS reason, count(*) AS n FROM r WHERE bad_t UNION ALL SELECT 'event_type:missing_required', count(*) FROM r WHERE bad_e UNION ALL SELECT 'duplicate_event_id', count(*) FROM k WHERE d > 1 UNION ALL SELECT 'out_of_order', count(*) FROM o WHERE late UNION ALL SELECT 'rows_read', count(*) FROM r UNION ALL SELECT 'rows_kept', count(*) FROM k WHERE d = 1) SELECT * FROM u WHERE n > 0"
 
 
-@query("integrity", None)
+@query("integrity", "+f AS (SELECT CASE WHEN CAST(event_id AS BIGINT) % 97 = 0 THEN '0' ELSE event_id END AS event_id, learner_id, session_id FROM seq), w AS (SELECT *, CAST(split_part(session_id, ':s', 2) AS BIGINT) % 5 AS k FROM ses) SELECT 'duplicate_event_id' AS rule, CAST((SELECT count(*) FROM (SELECT 1 FROM f GROUP BY event_id HAVING count(*) > 1)) AS BIGINT) AS n UNION ALL SELECT 'duplicate_session_id', 0 UNION ALL SELECT 'negative_duration', count(CASE WHEN k = 1 AND end_us - 3600000000 < start_us THEN 1 END) FROM w UNION ALL SELECT 'wrong_duration', count(CASE WHEN k = 1 THEN 1 END) FROM w UNION ALL SELECT 'empty_sequence', count(CASE WHEN k = 2 THEN 1 END) FROM w UNION ALL SELECT 'unknown_session', count(CASE WHEN k = 4 THEN 1 END) FROM w UNION ALL SELECT 'wrong_n_events', count(CASE WHEN k = 3 THEN 1 END) FROM w UNION ALL SELECT 'wrong_learner', count(CASE WHEN k = 0 THEN 1 END) FROM w")
 def _(spark, d):
-    s = S.sessionize(events(spark, d), idle_timeout_s=TIMEOUT)
-    return spark.createDataFrame(sorted(log.check(s, S.sessions(s)).items()), "rule string, n bigint")
+    """Faults put in by number: one id for every 97th event; ends, tokens, sizes and learners of some sessions wrong, others left out."""
+    s = seq(spark, d)
+    held = S.sessions(s).withColumn("k", F.substring_index("session_id", ":s", -1).cast("bigint") % 5)
+    wrong = held.withColumn("end_time", F.when(F.col("k") == 1, F.col("end_time") - F.expr("interval 1 hour")).otherwise(F.col("end_time"))).withColumn("event_sequence", F.when(F.col("k") == 2, F.array().cast("array<string>")).otherwise(F.col("event_sequence")))
+    wrong = wrong.withColumn("n_events", F.when(F.col("k") == 3, F.col("n_events") + 1).otherwise(F.col("n_events"))).withColumn("learner_id", F.when(F.col("k") == 0, F.lit("nobody")).otherwise(F.col("learner_id"))).filter("k <> 4")
+    broken = s.withColumn("event_id", F.when(F.col("event_id").cast("bigint") % 97 == 0, "0").otherwise(F.col("event_id")))
+    return spark.createDataFrame(sorted(log.check(broken, wrong).items()), "rule string, n bigint")
 
 
-ORACLE_SQL["integrity"] = "SELECT rule, CAST(0 AS BIGINT) AS n FROM (VALUES ('duplicate_event_id'), ('duplicate_session_id'), ('negative_duration'), ('wrong_duration'), ('empty_sequence'), ('unknown_session'), ('wrong_n_events'), ('wrong_learner')) t(rule)"
+_HEX = "CAST(('0x' || substr(sha256('{\"event_id\":\"' || event_id || '\",\"event_type\":\"' || event_type || '\",\"learner_id\":\"' || learner_id || '\"}'), 1, 12)) AS BIGINT)"
 
 
-@query("fingerprint", None)
+@query("fingerprint", f"SELECT count(*) AS n_rows, CAST(sum({_HEX}) AS BIGINT) AS hash_sum, bit_xor({_HEX}) AS hash_xor FROM ev")
 def _(spark, d):
     return log.fingerprint(events(spark, d).select("event_id", "learner_id", "event_type"))
 
