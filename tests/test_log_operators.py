@@ -144,7 +144,7 @@ def test_ingest_reasons_and_pseudonyms(spark):
     assert got["1"]["learner_id"] == "h_" + hmac.new(b"k", b"u", hashlib.sha256).hexdigest()[:32]
     assert got["1"]["timestamp"].astimezone(datetime.UTC).hour in (9, 10, 8)
     counts = {r["reason"]: r["n"] for r in report.collect()}
-    assert counts == {"timestamp:invalid_timestamp": 1, "learner_id:missing_required": 1, "score:invalid_double": 2, "out_of_order": 1, "rows_read": 5, "rows_kept": 2}
+    assert counts == {"timestamp:invalid_timestamp": 1, "learner_id:missing_required": 1, "score:invalid_double": 1, "score:not_finite": 1, "out_of_order": 1, "rows_read": 5, "rows_kept": 2, "naive_timezone": 2}
 
 
 def test_files_and_corpora(spark, toy, tmp_path):
@@ -157,7 +157,8 @@ def test_files_and_corpora(spark, toy, tmp_path):
     files.write_corpus(made, f"{tmp_path}/c", sessionize.sessions(made), {"name": "toy"})
     events, held, metadata = files.read_corpus(spark, f"{tmp_path}/c")
     assert events.count() == 7 and held.count() == 4 and metadata == {"name": "toy"}
-    events.limit(3).write.mode("append").parquet(f"{tmp_path}/c/events")
+    files.write_table(events.limit(3), f"{tmp_path}/more", "parquet")
+    spark.read.parquet(f"{tmp_path}/more").write.mode("append").parquet(f"{tmp_path}/c/events")
     with pytest.raises(ValueError, match="fingerprint"):
         files.read_corpus(spark, f"{tmp_path}/c")
     for kind in ("csv", "tsv", "jsonl"):

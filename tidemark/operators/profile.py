@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.ranking import quantiles
-from tidemark.operators.sequences import in_session
+from tidemark.operators.sequences import density, in_session
 
 
 def describe(frame: DataFrame, value: str | Column, *by: str) -> DataFrame:
@@ -56,9 +56,10 @@ def learner_profiles(events: DataFrame, sessions: DataFrame) -> DataFrame:
     return everyone.join(own, "learner_id", "left").select("learner_id", zero(F.col("n_sessions")).alias("n_sessions"), zero(F.col("n_events")).alias("n_events"), F.round(zero(F.col("mean_length")), 6).alias("mean_length"), F.round(zero(F.col("mean_duration_s")), 4).alias("mean_duration_s"), "n_courses")
 
 
-def corpus_features(events: DataFrame, counts: DataFrame) -> DataFrame:
-    """Events, sessions, learners and vocabulary, from one aggregate."""
-    return events.agg(F.count("*").alias("n_events"), F.count_distinct("session_id").alias("n_sessions"), F.count_distinct("learner_id").alias("n_learners"), F.count_distinct("event_type").alias("vocabulary"))
+def corpus_features(events: DataFrame, counts: DataFrame | None = None) -> DataFrame:
+    """Events, sessions, learners and vocabulary from one aggregate; with first-order transition counts, their density too."""
+    sizes = events.agg(F.count("*").alias("n_events"), F.count_distinct("session_id").alias("n_sessions"), F.count_distinct("learner_id").alias("n_learners"), F.count_distinct("event_type").alias("vocabulary"))
+    return sizes if counts is None else sizes.join(density(counts).select("density"), F.lit(True))
 
 
 def local(ts: str | Column, zone: str) -> Column:
@@ -112,7 +113,10 @@ def session_label(sessions: DataFrame, by: str, zone: str = "UTC", groups: DataF
     if by == "week":
         first = sessions.agg(F.min(F.to_date(t)).alias("d")).select(F.date_sub("d", F.weekday("d")).alias("monday"))
         return sessions.join(F.broadcast(first), F.lit(True)).withColumn("label", (F.floor(F.datediff(F.to_date(t), "monday") / 7) + 1).cast("string")).drop("monday")
-    label = {"course": F.col("course_id"), "weekday": F.concat_ws("-", F.weekday(t) + 1, F.date_format(t, "EEE")), "hour": F.lpad(F.hour(t).cast("string"), 2, "0")}[by]
+    labels = {"course": F.col("course_id"), "weekday": F.concat_ws("-", F.weekday(t) + 1, F.date_format(t, "EEE")), "hour": F.lpad(F.hour(t).cast("string"), 2, "0")}
+    if by not in labels:
+        raise ValueError(f"no group {by!r}: course, week, weekday, hour, learner_group, or metadata_label() for a key")
+    label = labels[by]
     return sessions.withColumn("label", label)
 
 
@@ -127,11 +131,13 @@ def analyze_by(labelled: DataFrame, min_sessions: int = 1) -> DataFrame:
     return stats.join(tvd, "label", "left").filter(F.col("label").isNull() | (F.col("n_sessions") >= min_sessions)).select(F.coalesce("label", F.lit("(all)")).alias("label"), "n_sessions", "n_learners", "n_events", "mean_length", F.coalesce("tvd", F.lit(0.0)).alias("tvd"))
 
 
-def learner_features(sessions: DataFrame, events: DataFrame, vocabulary: Sequence[str]) -> DataFrame:
-    """Session count, mean length, log mean duration, success (0.5 if unknown) and token shares of each learner."""
+def learner_features(sessions: DataFrame, events: DataFrame, vocabulary: Sequence[str], others: bool = False) -> DataFrame:
+    """Session count, mean length, log mean duration, success (0.5 if unknown) and token shares of each learner; ``others`` adds the share of all other tokens."""
     own = sessions.groupBy("learner_id").agg(F.count("*").alias("n_sessions"), F.avg("n_events").alias("mean_length"), F.log1p(F.avg("duration_s")).alias("log_duration"))
-    mix = events.groupBy("learner_id").agg(F.coalesce(F.avg(F.col("success").cast("double")), F.lit(0.5)).alias("success_rate"), *(F.round(F.avg((F.col("event_type") == v).cast("double")), 6).alias(f"share_{v}") for v in vocabulary))
-    return own.join(mix, "learner_id").select("learner_id", "n_sessions", F.round("mean_length", 6).alias("mean_length"), F.round("log_duration", 6).alias("log_duration"), F.round("success_rate", 6).alias("success_rate"), *(f"share_{v}" for v in vocabulary))
+    token = F.col("token") if "token" in events.columns else F.col("event_type")
+    rest = [F.round(F.avg((~token.isin(*vocabulary)).cast("double")), 6).alias("share_(other)")] if others else []
+    mix = events.groupBy("learner_id").agg(F.coalesce(F.avg(F.col("success").cast("double")), F.lit(0.5)).alias("success_rate"), *(F.round(F.avg((token == v).cast("double")), 6).alias(f"share_{v}") for v in vocabulary), *rest)
+    return own.join(mix, "learner_id").select("learner_id", "n_sessions", F.round("mean_length", 6).alias("mean_length"), F.round("log_duration", 6).alias("log_duration"), F.round("success_rate", 6).alias("success_rate"), *(f"`share_{v}`" for v in vocabulary), *(["`share_(other)`"] if others else []))
 
 
 def standardize(features: DataFrame, key: str, clip: float | None = 3.0) -> DataFrame:

@@ -637,7 +637,7 @@ def _(spark, d):
 
 
 _RAW = "r AS (SELECT event_id AS n, CAST(CASE WHEN event_id % 90 = 0 THEN event_id + 1 ELSE event_id END AS VARCHAR) AS event_id, CAST(user_id AS VARCHAR) AS user_id, event_type, ts, event_id % 50 = 0 AS bad_t, event_id % 70 = 0 AS bad_e FROM events), k AS (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY n) AS d FROM r WHERE NOT bad_t AND NOT bad_e)"
-ORACLE_SQL["ingest_report"] = f"WITH {_RAW}, o AS (SELECT date_trunc('second', ts) < max(date_trunc('second', ts)) OVER (PARTITION BY user_id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS late FROM k WHERE d = 1), u AS (SELECT 'timestamp:invalid_timestamp' AS reason, count(*) AS n FROM r WHERE bad_t UNION ALL SELECT 'event_type:missing_required', count(*) FROM r WHERE bad_e UNION ALL SELECT 'duplicate_event_id', count(*) FROM k WHERE d > 1 UNION ALL SELECT 'out_of_order', count(*) FROM o WHERE late UNION ALL SELECT 'rows_read', count(*) FROM r UNION ALL SELECT 'rows_kept', count(*) FROM k WHERE d = 1) SELECT * FROM u WHERE n > 0"
+ORACLE_SQL["ingest_report"] = f"WITH {_RAW}, o AS (SELECT date_trunc('second', ts) < max(date_trunc('second', ts)) OVER (PARTITION BY user_id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS late FROM k WHERE d = 1), u AS (SELECT 'timestamp:invalid_timestamp' AS reason, count(*) AS n FROM r WHERE bad_t UNION ALL SELECT 'event_type:missing_required', count(*) FROM r WHERE bad_e UNION ALL SELECT 'duplicate_event_id', count(*) FROM k WHERE d > 1 UNION ALL SELECT 'out_of_order', count(*) FROM o WHERE late UNION ALL SELECT 'rows_read', count(*) FROM r UNION ALL SELECT 'rows_kept', count(*) FROM k WHERE d = 1 UNION ALL SELECT 'naive_timezone', count(*) FROM k WHERE d = 1) SELECT * FROM u WHERE n > 0"
 
 
 @query("integrity", "+f AS (SELECT CASE WHEN CAST(event_id AS BIGINT) % 97 = 0 THEN '0' ELSE event_id END AS event_id, learner_id, session_id FROM seq), w AS (SELECT *, CAST(split_part(session_id, ':s', 2) AS BIGINT) % 5 AS k FROM ses) SELECT 'duplicate_event_id' AS rule, CAST((SELECT count(*) FROM (SELECT 1 FROM f GROUP BY event_id HAVING count(*) > 1)) AS BIGINT) AS n UNION ALL SELECT 'duplicate_session_id', 0 UNION ALL SELECT 'negative_duration', count(CASE WHEN k = 1 AND end_us - 3600000000 < start_us THEN 1 END) FROM w UNION ALL SELECT 'wrong_duration', count(CASE WHEN k = 1 THEN 1 END) FROM w UNION ALL SELECT 'empty_sequence', count(CASE WHEN k = 2 THEN 1 END) FROM w UNION ALL SELECT 'unknown_session', count(CASE WHEN k = 4 THEN 1 END) FROM w UNION ALL SELECT 'wrong_n_events', count(CASE WHEN k = 3 THEN 1 END) FROM w UNION ALL SELECT 'wrong_learner', count(CASE WHEN k = 0 THEN 1 END) FROM w")

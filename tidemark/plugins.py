@@ -5,15 +5,21 @@ from __future__ import annotations
 from collections.abc import Callable
 from importlib.metadata import entry_points
 
+from tidemark import benchmark, reports
+from tidemark.operators import injection
 from tidemark.operators.generate import GENERATORS
 from tidemark.operators.validation import METRICS
 from tidemark.sources import files
 
-_KINDS: dict[str, dict[str, Callable]] = {"generator": GENERATORS, "metric": METRICS, "reader": files._READERS}
+_KINDS: dict[str, dict] = {"generator": GENERATORS, "metric": METRICS, "reader": files._READERS, "visualizer": reports.PLOTS, "benchmark_suite": benchmark.PROTOCOLS, "anomaly": injection.ANOMALIES}
 _BUILT_IN = {kind: frozenset(table) for kind, table in _KINDS.items()}
 
 
 def register(kind: str, name: str, thing: Callable, *, replace: bool = False) -> None:
+    if kind == "benchmark_suite":
+        return benchmark.register_protocol(thing, replace=replace)
+    if kind == "anomaly":
+        return injection.register_anomaly(name, thing, replace=replace)
     table = _KINDS[kind]
     if name in _BUILT_IN[kind] or (name in table and not replace):
         raise ValueError(f"{kind} {name!r} exists")
