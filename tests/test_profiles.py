@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import memorisation as R
 from tidemark.operators import profiles as K
-from tidemark.operators import profile, sequences, sessionize
+from tidemark.operators import assemble, profile, sequences, sessionize
 
 T0 = datetime(2026, 3, 2, 9, tzinfo=UTC)
 
@@ -93,3 +93,52 @@ def test_ten_starts_by_default(spark, monkeypatch):
     people = {f"r{i}": ["aaaa"] for i in range(5)} | {f"w{i}": ["bb"] for i in range(5)}
     K.fit_profiles(log(spark, people), 2, ("a", "b"), seed=4)
     assert seeds == list(range(4, 14))
+
+
+def test_profiles_come_back_and_can_be_given(spark, tmp_path):
+    people = {f"r{i}": ["aaaa", "aaab"] for i in range(6)} | {f"w{i}": ["bb"] for i in range(9)}
+    seq = log(spark, people)
+    found = K.fit_profiles(seq, 2, ("a", "b"), seed=1)
+    K.save_profiles(found, f"{tmp_path}/p")
+    back = K.load_profiles(spark, f"{tmp_path}/p")
+    assert back.assign(seq).orderBy("learner_id").collect() == found.assign(seq).orderBy("learner_id").collect()
+    assert sorted(map(tuple, back.generate(10, 2).collect())) == sorted(map(tuple, found.generate(10, 2).collect()))
+    told = spark.createDataFrame([(k, "reader" if k[0] == "r" else "worker") for k in people], "learner_id string, profile string")
+    names, given = K.given_profiles(seq, told, ("a", "b"))
+    assert names == ["worker", "reader"] and {(r.learner_id[0], r.profile) for r in given.assign(seq).collect()} == {("w", 0), ("r", 1)}
+    with pytest.raises(ValueError):
+        K.given_profiles(seq, told, ("a", "b"), least=7)
+    assert K.pooled_vocabulary(log(spark, {"u": ["aaaaaaaaab"]}), 0.2) == ("a",)
+    wide = profile.learner_features(tables(spark, {"u": ["aaab"]}), log(spark, {"u": ["aaab"]}), ("a",), others=True).first()
+    assert wide["share_a"] == 0.75 and wide["share_(other)"] == 0.25
+
+
+def test_profiles_by_hand(spark):
+    keen = {"start": {"open": 1}, "transitions": {"open": {"read": 3, "quit": 1}, "read": {"open": 1}}, "share": 3, "session_length": {"fixed": 5}, "dwell_s": {"*": 60, "read": 600}, "activities": {"read": ["book-1", "book-2"]}, "course": "c9"}
+    made, shares = K.define_profiles(spark, {"keen": keen, "idle": {"start": {"quit": 1}, "transitions": {"quit": {"quit": 1}}}})
+    assert shares == {"keen": 0.75, "idle": 0.25}
+    rows = assemble.log_of(made["keen"], 40, 3).collect()
+    assert len(rows) == 200 and {r["course_id"] for r in rows} == {"c9"} and {r["activity_id"] for r in rows if r["token"] == "read"} == {"book-1", "book-2"}
+    gaps = {}
+    by = {}
+    for r in sorted(rows, key=lambda r: (r["session_id"], r["timestamp"])):
+        if by.get("session") == r["session_id"]:
+            gaps.setdefault(by["token"], []).append((r["timestamp"] - by["at"]).total_seconds())
+        by = {"session": r["session_id"], "token": r["token"], "at": r["timestamp"]}
+    middle = lambda x: sorted(x)[len(x) // 2]
+    assert 400 < middle(gaps["read"]) < 900 and 40 < middle(gaps["open"]) < 90
+    for bad in ({}, {"start": {"a": 1}}, keen | {"colour": 1}, keen | {"start": {"a": 0}}, keen | {"start": {"a": True}}, keen | {"session_length": {"mean": 0}}, keen | {"dwell_s": {"*": 0}}, keen | {"sessions_per_learner": {"mean": 2, "fixed": 3}}):
+        with pytest.raises(ValueError):
+            K.define_profile(spark, "x", bad)
+    with pytest.raises(ValueError):
+        K.define_profiles(spark, {})
+
+
+def test_studies(spark):
+    people = {f"r{i}": ["aaaa", "aaab", "aaaa"] for i in range(12)} | {f"w{i}": ["bb", "bbb"] for i in range(12)}
+    seq = log(spark, people)
+    steady = {r["check"]: r["ari"] for r in K.stability(seq, 2, ("a", "b"), repeats=1, seed=3, least=2).collect()}
+    assert steady == {"seed": 1.0, "subsample": 1.0, "replication": 1.0}
+    found = K.detection_study(seq, seq, [{"type": "unexpected_transition", "rate": 0.2, "transitions": [["b", "a"]]}], seed=1)
+    assert found["scores"].first()["roc_auc"] > 0.9 and found["by_type"].first()["n"] == 12
+    assert K.artifact_auc(seq, seq, seq).first()["roc_auc"] == 0.5
