@@ -79,7 +79,7 @@ def log_of(model: G.Model, n_sessions: int, seed: int = 0, *, calendar: Timetabl
         "course_id": F.when(F.col("__courses").isNotNull(), pick(F.col("__courses"), uniform(seed, "course", F.col("learner_id")))),
         "score": none("double"), "success": none("boolean"), "duration_ms": none("bigint"), "metadata": F.create_map().cast("map<string,string>"),
     }
-    events = with_both.select(*(made[c].alias(c) for c in injection.CANONICAL), "token")
+    events = stored(with_both.select(*(made[c].alias(c) for c in injection.CANONICAL), "token"))
     return injection.remap_ids(events, derive_seed(seed, "ids"))[0] if new_ids else events
 
 

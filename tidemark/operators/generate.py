@@ -19,6 +19,7 @@ from tidemark.config import at_least, number, one_of, optional, whole
 
 from tidemark.functions.randomness import SEPARATOR, pick, uniform
 from tidemark.functions.ranking import order_statistics, quantiles, seeded_rank
+from tidemark.functions.scratch import stored
 from tidemark.operators.sequences import START, in_session, probabilities, transitions
 
 #: Rows that a model table may have to be sent to every executor.
@@ -139,7 +140,10 @@ def fit(seq: DataFrame, order: int = 1, *, alpha: float = 0.0, length: str = "em
 
 
 def fit_named(name: str, seq: DataFrame, given: Mapping[str, Any] | None = None) -> Model:
-    """A generator by name and settings, with what assembling takes: companions, courses, sessions of a learner, starts."""
+    """A generator by name and settings, with what assembling takes: companions, courses, sessions of a learner, starts.
+
+    The tables are stored once, so that samples don't read the log again.
+    """
     h = hyperparameters(name, given or {})
     order = supported_order(seq, h["order"], h["on_insufficient_data"] == "backoff") if "order" in h else 1
     made = fit(seq, order, alpha=h.get("smoothing_alpha", 0.0), length=h["length_model"], fixed=h["fixed_length"], timing=h.get("timing_family", "constant"), least=h.get("min_samples", 1))
@@ -151,7 +155,8 @@ def fit_named(name: str, seq: DataFrame, given: Mapping[str, Any] | None = None)
         "per_learner": spans.groupBy("learner_id").agg(F.count("*").alias("sessions")).groupBy("sessions").agg(F.count("*").alias("n")),
         "starts": spans.groupBy(F.to_date("start_time").alias("day"), F.hour("start_time").alias("hour")).agg(F.count("*").alias("n")),
     }
-    return made.with_tables(**population).with_settings(generator=name, **(h | ({"order": order} if "order" in h else {})))
+    every = made.with_tables(**population)
+    return every.with_tables(**{k: stored(v) for k, v in every.items()}).with_settings(generator=name, **(h | ({"order": order} if "order" in h else {})))
 
 
 def _skeleton(model: dict[str, DataFrame], n_sessions: int, seed: int) -> DataFrame:
