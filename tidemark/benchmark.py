@@ -67,11 +67,12 @@ def run(seq: DataFrame, *, generators: tuple[str, ...] = ("markov", "semi_markov
     both = stored(seq.join(split, "learner_id").select(*columns, "holdout"))
     train, holdout = both.filter("not holdout").drop("holdout"), both.filter("holdout").drop("holdout")
     size = n_sessions or holdout.select("session_id").distinct().count()
-    model = generate.fit(train)
+    plain = generate.fit(train)
     wanted = list(metrics) or [m for m in sorted(validation.METRICS) if m != "nn_distance_p05"]
     out = validation.validate(train, holdout, wanted).withColumn("generator", F.lit("reference"))
     for name in generators:
         try:
+            model = generate.fit_named(name, train) if name == "gru" else plain
             for k in range(repeats):
                 sample = as_events(generate.GENERATORS[name](model, size, derive_seed(seed, name, str(k))))
                 out = out.unionByName(validation.validate(train, sample.select(columns), wanted).withColumn("generator", F.lit(name)))

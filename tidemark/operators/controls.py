@@ -58,6 +58,8 @@ def apply(model: G.Model, spec: Mapping[str, Any]) -> G.Model:
         if missing := sorted((named | ({"*"} & set(wanted.get(WEIGHTS, {})))) - known):
             raise ValueError(f"the model does not know {', '.join(missing)}")
     out = model.with_settings(controls=[*model.settings.get("controls", []), wanted]) if wanted else model
+    if wanted.get(WEIGHTS) and model.settings.get("generator") == "gru":
+        raise ValueError("a gru model takes no weights of tokens")
     if WEIGHTS in wanted:
         out = G.reweight(out, wanted[WEIGHTS])
         if out["tokens"].limit(1).count() == 0:

@@ -20,6 +20,7 @@ from tidemark.config import at_least, number, one_of, optional, whole
 from tidemark.functions.randomness import SEPARATOR, pick, uniform
 from tidemark.functions.ranking import order_statistics, quantiles, seeded_rank
 from tidemark.functions.scratch import stored
+from tidemark.operators import neural
 from tidemark.operators.sequences import START, in_session, probabilities, transitions
 
 #: Rows that a model table may have to be sent to every executor.
@@ -63,12 +64,25 @@ class Model(dict[str, DataFrame]):
 FAMILIES = ("empirical", "lognormal", "gamma", "exponential", "constant")
 _TIMES = one_of(*FAMILIES)
 _CHAIN = {"order": (at_least(1, whole), 1), "smoothing_alpha": (at_least(0, number), 0.0), "on_insufficient_data": (one_of("fail", "backoff"), "fail")}
+
+
+def _share(value: Any) -> float:
+    made = at_least(0, number)(value)
+    if made >= 1:
+        raise ValueError("less than 1")
+    return made
+
+
 _EVERY = {"length_model": (one_of("empirical", "poisson", "fixed"), "empirical"), "fixed_length": (optional(at_least(1, whole)), None)}
 #: The settings of each generator and their defaults.
 HYPERPARAMETERS: dict[str, dict[str, tuple[Callable[[Any], Any], Any]]] = {
     "independent": _EVERY,
     "markov": _EVERY | _CHAIN,
     "semi_markov": _EVERY | _CHAIN | {"timing_family": (_TIMES, "empirical"), "min_samples": (at_least(1, whole), 5)},
+    "gru": _EVERY
+    | {"embedding_dim": (at_least(1, whole), 32), "hidden_dim": (at_least(1, whole), 64), "timing": (one_of("binned", "mixture"), "binned"), "n_bins": (at_least(1, whole), 32), "n_mixtures": (at_least(1, whole), 3)}
+    | {"epochs": (at_least(1, whole), 30), "batch_size": (at_least(1, whole), 64), "learning_rate": (at_least(1e-9, number), 0.003), "max_length": (at_least(1, whole), 256)}
+    | {"validation_fraction": (_share, 0.1), "patience": (at_least(1, whole), 3), "seed": (at_least(0, whole), 0), "threads": (at_least(1, whole), 1)},
 }
 
 
@@ -147,6 +161,9 @@ def fit_named(name: str, seq: DataFrame, given: Mapping[str, Any] | None = None)
     h = hyperparameters(name, given or {})
     order = supported_order(seq, h["order"], h["on_insufficient_data"] == "backoff") if "order" in h else 1
     made = fit(seq, order, alpha=h.get("smoothing_alpha", 0.0), length=h["length_model"], fixed=h["fixed_length"], timing=h.get("timing_family", "constant"), least=h.get("min_samples", 1))
+    if name == "gru":  # the tasks decide on threads
+        tables, told = neural.fit(seq, h)
+        made = made.with_tables(**tables).with_settings(**told)
     other = F.when(F.col("token") == F.col("event_type"), F.col("activity_id")).otherwise(F.col("event_type"))
     spans = seq.groupBy("learner_id", "session_id").agg(F.min("timestamp").alias("start_time"), F.max("timestamp").alias("end_time"))
     population = {
@@ -234,11 +251,18 @@ def semi_markov(model: dict[str, DataFrame], n_sessions: int, seed: int = 0, ord
     return timed(markov(model, n_sessions, seed, order), model["gaps"], seed, families=_families(model))
 
 
+def gru(model: Model, n_sessions: int, seed: int = 0) -> DataFrame:
+    """(session_id, pos, token, at_s): tokens and gaps by the recurrent network of fit_named("gru")."""
+    if "weights" not in model:
+        raise ValueError("this model has no network; fit it by fit_named('gru')")
+    return neural.walk(model, _skeleton(model, n_sessions, seed), tuple(model.settings["log_gap_range"]), seed, model.settings.get("dwell_scale"))
+
+
 def sample(model: Model, n_sessions: int, seed: int = 0) -> DataFrame:
     """(session_id, pos, token, at_s) by the generator that the model was fitted for, under its settings."""
     name = model.settings["generator"]
     path = GENERATORS[name](model, n_sessions, seed, **({"order": model.settings["order"]} if "order" in HYPERPARAMETERS.get(name, {}) else {}))
-    return path if "at_s" in path.columns and not model.settings.get("dwell_scale") else timed(path.select("session_id", "pos", "token"), model["gaps"], seed, model.settings.get("dwell_scale"), _families(model))
+    return path if "at_s" in path.columns and (name == "gru" or not model.settings.get("dwell_scale")) else timed(path.select("session_id", "pos", "token"), model["gaps"], seed, model.settings.get("dwell_scale"), _families(model))
 
 
 def _families(model: Mapping[str, DataFrame]) -> Sequence[str]:
@@ -246,7 +270,7 @@ def _families(model: Mapping[str, DataFrame]) -> Sequence[str]:
     return (known,) if known else FAMILIES
 
 
-GENERATORS = {"independent": independent, "markov": markov, "semi_markov": semi_markov}
+GENERATORS = {"independent": independent, "markov": markov, "semi_markov": semi_markov, "gru": gru}
 
 
 def reweight(model: dict[str, DataFrame], weights: dict[str, float]) -> dict[str, DataFrame]:

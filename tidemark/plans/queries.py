@@ -540,10 +540,16 @@ def _generated(name: str):
     return run
 
 
-for _name in G.GENERATORS:
+for _name in ("independent", "markov", "semi_markov"):
     query(f"generate_{_name}")(_generated(_name))
 
 
+@query("generate_gru")
+def _(spark, d):
+    model = G.fit_named("gru", seq(spark, d), {"epochs": 6, "hidden_dim": 32, "embedding_dim": 16})
+    return G.sample(model, 500, seed=11)
+
+
 def _sides(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """Sessions of either half."""
     s = ses(spark, d)
