@@ -100,6 +100,16 @@ _OP3 = r"""WITH RECURSIVE d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_e
     FROM (SELECT round, votes, n, post, unnest(votes) AS x, generate_subscripts(votes, 1) AS j FROM em WHERE round < 100)) GROUP BY votes)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND post >= 0.5 AS kept, round(post, 6) AS posterior FROM v JOIN em ON em.votes = v.votes AND em.round = 100"""
 
+#: The checksum is taken by half bytes, the low one first, from a table made by its rule.
+_OP5 = r"""WITH k AS (SELECT list(list_reduce(list_concat([i], range(4)), lambda c, x: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END) ORDER BY i) AS tab FROM range(16) r(i)),
+ d AS (SELECT doc_id, strlen(coalesce(text, '')) + 8 AS size, hex(coalesce(text, '')) AS h FROM documents),
+ b AS (SELECT doc_id, size, list_transform(string_split(h, ''), lambda x: CAST(instr('0123456789ABCDEF', x) - 1 AS BIGINT)) AS h FROM d),
+ n AS (SELECT doc_id, size, list_transform(range(size - 8), lambda i: [h[2 * i + 2], h[2 * i + 1]]) AS h FROM b),
+ c AS (SELECT doc_id, CAST(size AS BIGINT) AS size, xor(4294967295, list_reduce(list_concat([CAST(4294967295 AS BIGINT)], flatten(h)), lambda c, x: xor(c >> 4, tab[xor(c & 15, x) + 1]))) AS crc FROM n CROSS JOIN k),
+ p AS (SELECT *, row_number() OVER w AS r, coalesce(sum(size) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS byte, sum(size) OVER () AS total FROM c WINDOW w AS (ORDER BY doc_id NULLS FIRST, size, crc)),
+ s AS (SELECT *, CAST(least(23, ((2 * byte + size) * 24) // (2 * total)) AS INTEGER) AS shard FROM p)
+SELECT doc_id, size, crc AS text_crc32, 'bytes' AS law, shard, r - min(r) OVER (PARTITION BY shard) AS slot, CAST(NULL AS INTEGER) AS grown_shard FROM s"""
+
 #: All pairs that share a shingle; for small tables.
 _OP7 = r"""WITH RECURSIVE d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), un AS (SELECT t, min(doc_id) AS u, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w FROM d GROUP BY t),
  sh AS (SELECT u, list_slice(w, i, i + 4) AS s, count(*) AS f FROM (SELECT u, w, unnest(generate_series(1, greatest(1, len(w) - 4))) AS i FROM un WHERE len(w) > 0) GROUP BY 1, 2),
@@ -146,5 +156,5 @@ _OP6 = f"""WITH u AS (SELECT page_id, {_LOW.format("regexp_extract(coalesce(url,
  f AS (SELECT u.page_id, r.rule, r.verdict, row_number() OVER (PARTITION BY u.page_id ORDER BY length(r.rule) DESC, r.rule) AS x FROM u JOIN r ON (u.host = r.rh OR ends_with(u.host, '.' || r.rh)) AND starts_with(u.path, r.rp))
 SELECT u.page_id, u.host, u.path, f.rule, coalesce(f.verdict, CASE WHEN bl.host IS NOT NULL THEN 'block' ELSE 'allow' END) AS verdict FROM u LEFT JOIN f ON f.page_id = u.page_id AND f.x = 1 LEFT JOIN bl ON bl.host = u.host"""
 
-#: Tokens, checksums, permutations and pseudonyms are not expressible; those queries are held against brute force in the tests.
-ORACLE_SQL: dict[str, str] = {"op1_lm_scores": _OP1, "op3_quality_rules": _OP3, "op7_near_duplicates": _OP7, "op6_url_reputation": _OP6, "op8_warc_segments": _OP8, "op9_decontamination": _OP9}
+#: Tokens, permutations and pseudonyms are not expressible; those queries are held against brute force in the tests.
+ORACLE_SQL: dict[str, str] = {"op1_lm_scores": _OP1, "op3_quality_rules": _OP3, "op5_byte_shards": _OP5, "op7_near_duplicates": _OP7, "op6_url_reputation": _OP6, "op8_warc_segments": _OP8, "op9_decontamination": _OP9}
