@@ -146,21 +146,34 @@ def fit_gaps(seq: DataFrame, family: str = "empirical", least: int = 1) -> DataF
     return made.select("token", "n", F.when(able, F.lit(family)).otherwise("constant").alias("family"), F.when(able, a).otherwise(still).alias("a"), F.when(able, b).alias("b"), (F.col("points") if points is not None else F.lit(None).cast("array<double>")).alias("points"))
 
 
-def fit(seq: DataFrame, order: int = 1, *, alpha: float = 0.0, length: str = "empirical", fixed: int | None = None, timing: str = "empirical", least: int = 1) -> Model:
-    """Token, length and gap tables, and the transitions of all orders up to ``order``."""
+_READ = ("learner_id", "session_id", "event_id", "timestamp", "token", "event_type", "activity_id", "course_id")
+
+
+def _kept(seq: DataFrame) -> DataFrame:
+    """What fitting reads of a log, stored, as each table of a model reads it again."""
+    return stored(seq.select(*(c for c in _READ if c in seq.columns)))
+
+
+def _tables(seq: DataFrame, order: int, alpha: float, length: str, fixed: int | None, timing: str, least: int) -> Model:
     every = [transitions(seq, k, SEPARATOR) for k in range(1, order + 1)]
     tables = {"tokens": seq.groupBy("token").agg(F.count("*").alias("n")), "lengths": fit_lengths(seq, length, fixed), "transitions": reduce(DataFrame.unionByName, every), "gaps": fit_gaps(seq, timing, least)}
     return Model(tables, {"order": order, "smoothing_alpha": alpha, "timing_family": timing, "min_samples": least, "length_model": length})
 
 
+def fit(seq: DataFrame, order: int = 1, *, alpha: float = 0.0, length: str = "empirical", fixed: int | None = None, timing: str = "empirical", least: int = 1) -> Model:
+    """Token, length and gap tables, and the transitions of all orders up to ``order``."""
+    return _tables(_kept(seq), order, alpha, length, fixed, timing, least)
+
+
 def fit_named(name: str, seq: DataFrame, given: Mapping[str, Any] | None = None) -> Model:
     """A generator by name and settings, with what assembling takes: companions, courses, sessions of a learner, starts.
 
     The tables are stored once, so that samples don't read the log again.
     """
     h = hyperparameters(name, given or {})
+    seq = _kept(seq)
     order = supported_order(seq, h["order"], h["on_insufficient_data"] == "backoff") if "order" in h else 1
-    made = fit(seq, order, alpha=h.get("smoothing_alpha", 0.0), length=h["length_model"], fixed=h["fixed_length"], timing=h.get("timing_family", "constant"), least=h.get("min_samples", 1))
+    made = _tables(seq, order, h.get("smoothing_alpha", 0.0), h["length_model"], h["fixed_length"], h.get("timing_family", "constant"), h.get("min_samples", 1))
     if name == "gru":  # the tasks decide on threads
         tables, told = neural.fit(seq, h)
         made = made.with_tables(**tables).with_settings(**told)
@@ -247,8 +260,8 @@ def timed(path: DataFrame, gaps: DataFrame, seed: int, scale: Mapping[str, float
 
 
 def semi_markov(model: dict[str, DataFrame], n_sessions: int, seed: int = 0, order: int = 1) -> DataFrame:
-    """As markov(), with seconds since the start."""
-    return timed(markov(model, n_sessions, seed, order), model["gaps"], seed, families=_families(model))
+    """As markov(), with seconds since the start; the gap table, which timing reads twice, is stored."""
+    return timed(markov(model, n_sessions, seed, order), stored(model["gaps"]), seed, families=_families(model))
 
 
 def gru(model: Model, n_sessions: int, seed: int = 0) -> DataFrame:
