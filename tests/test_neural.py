@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark import log, models
+from tidemark import benchmark, log, models
 from tidemark.operators import assemble, controls, neural
 from tidemark.operators import generate as G
 from tidemark.operators import sequences as Q
@@ -116,3 +116,9 @@ def test_settings_controls_and_awkward_logs(spark, seq, model):
     assert [(r["token"], r["at_s"]) for r in G.sample(own, 2).collect()] == [("a", 0.0)] * 2
     events = assemble.log_of(model, 30, 4)
     assert events.select("session_id").distinct().count() == 30
+
+
+def test_benchmark_fits_the_network(seq, monkeypatch):
+    monkeypatch.setitem(G.HYPERPARAMETERS, "gru", G.HYPERPARAMETERS["gru"] | {"epochs": (int, 2)})
+    got = benchmark.run(seq, generators=("gru",), repeats=1, n_sessions=40, metrics=("bigram_tvd", "session_length_ks"))
+    assert {(r["generator"], r["metric"]) for r in got.collect()} == {(g, m) for g in ("gru", "reference") for m in ("bigram_tvd", "session_length_ks")}

@@ -72,7 +72,7 @@ def run(seq: DataFrame, *, generators: tuple[str, ...] = ("markov", "semi_markov
     out = validation.validate(train, holdout, wanted).withColumn("generator", F.lit("reference"))
     for name in generators:
         try:
-            model = generate.fit_named(name, train) if name == "gru" else plain
+            model = generate.with_network(plain, train, generate.hyperparameters(name, {})) if name == "gru" else plain
             for k in range(repeats):
                 sample = as_events(generate.GENERATORS[name](model, size, derive_seed(seed, name, str(k))))
                 out = out.unionByName(validation.validate(train, sample.select(columns), wanted).withColumn("generator", F.lit(name)))

@@ -165,6 +165,12 @@ def fit(seq: DataFrame, order: int = 1, *, alpha: float = 0.0, length: str = "em
     return _tables(_kept(seq), order, alpha, length, fixed, timing, least)
 
 
+def with_network(model: Model, seq: DataFrame, h: Mapping[str, Any]) -> Model:
+    """A model with the recurrent network that gru() samples from."""
+    tables, told = neural.fit(seq, h)
+    return model.with_tables(**tables).with_settings(**told)
+
+
 def fit_named(name: str, seq: DataFrame, given: Mapping[str, Any] | None = None) -> Model:
     """A generator by name and settings, with what assembling takes: companions, courses, sessions of a learner, starts.
 
@@ -175,8 +181,7 @@ def fit_named(name: str, seq: DataFrame, given: Mapping[str, Any] | None = None)
     order = supported_order(seq, h["order"], h["on_insufficient_data"] == "backoff") if "order" in h else 1
     made = _tables(seq, order, h.get("smoothing_alpha", 0.0), h["length_model"], h["fixed_length"], h.get("timing_family", "constant"), h.get("min_samples", 1))
     if name == "gru":  # the tasks decide on threads
-        tables, told = neural.fit(seq, h)
-        made = made.with_tables(**tables).with_settings(**told)
+        made = with_network(made, seq, h)
     other = F.when(F.col("token") == F.col("event_type"), F.col("activity_id")).otherwise(F.col("event_type"))
     spans = seq.groupBy("learner_id", "session_id").agg(F.min("timestamp").alias("start_time"), F.max("timestamp").alias("end_time"))
     population = {

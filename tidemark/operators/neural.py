@@ -34,9 +34,9 @@ from tidemark.operators.sequences import in_session
 #: Tokens of a vocabulary that has a column of weights each.
 MOST_TOKENS = 20_000
 #: Sessions of a shard, until there are MOST_SHARDS of them; a task streams through its shard.
-SHARD_SESSIONS, MOST_SHARDS = 8192, 256
-#: Numbers of a tensor that one row carries while shards are averaged.
-PIECE = 1 << 16
+SHARD_SESSIONS, MOST_SHARDS = 8192, 1024
+#: Numbers of a tensor that one row carries while shards are averaged; a task of the average holds MOST_SHARDS rows.
+PIECE = 1 << 14
 #: Sessions that are drawn at once; kept gaps of a bin.
 BLOCK, KEPT = 256, 64
 LEAST_GAP = 1e-3
