@@ -98,7 +98,7 @@ def _(spark, d):
     return L.apply(G.fit_named("markov", B.seq(spark, d)), {"session_length": {"scale": 1.5}})["lengths"]
 
 
-@query("controlled_tokens", "SELECT token, count(*) * CASE token WHEN 'view' THEN 2.0 ELSE 1.0 END AS n FROM seq WHERE token <> 'error' GROUP BY 1")
+@query("controlled_tokens", "SELECT token, CAST(count(*) * CASE token WHEN 'view' THEN 2 ELSE 1 END AS DOUBLE) AS n FROM seq WHERE token <> 'error' GROUP BY 1")
 def _(spark, d):
     return L.apply(G.fit_named("markov", B.seq(spark, d)), {"event_weights": {"view": 2, "error": 0}})["tokens"].select("token", F.col("n").cast("double").alias("n"))
 
