@@ -45,6 +45,19 @@ def test_sessions(toy):
     assert {r["learner_id"]: r["course_ids"] for r in sessionize.participants(toy, sessionize.sessions(made)).collect()} == {"nora": ["c1"], "paul": ["c1"], "quinn": ["c1"]}
 
 
+def test_fingerprint_of_many_rows(spark):
+    n = 70_000
+    hashes = [int(hashlib.sha256(f'{{"id":{i}}}'.encode()).hexdigest()[:12], 16) for i in range(n)]
+    assert sum(hashes) >= 1 << 63
+    mixed = 0
+    for h in hashes:
+        mixed ^= h
+    made = log.fingerprint(spark.range(n))
+    assert made.first() == (n, int.from_bytes((sum(hashes) % (1 << 64)).to_bytes(8, "big"), "big", signed=True), mixed)
+    assert dict(made.dtypes) == {"n_rows": "bigint", "hash_sum": "bigint", "hash_xor": "bigint"}
+    assert log.fingerprint(spark.range(9)).first()["hash_sum"] == sum(hashes[:9]) and log.fingerprint(spark.range(0)).first() == (0, 0, 0)
+
+
 def test_explicit_sessions_are_checked(toy):
     with pytest.raises(Exception, match="an id on every event"):
         sessionize.sessionize(toy, strategy="explicit").collect()

@@ -67,8 +67,15 @@ def check(events: DataFrame, sessions: DataFrame | None = None) -> dict[str, int
 
 
 def fingerprint(df: DataFrame) -> DataFrame:
-    """An order-independent digest of a table: count, sum and xor of row hashes of its columns in order of name; a map counts as its sorted entries."""
+    """An order-independent digest of a table: count, sum and xor of row hashes of its columns in order of name; a map counts as its sorted entries.
+
+    The sum is a 64-bit one that wraps (modulo 2 ** 64, signed), as 65,536 hashes may
+    exceed it; below that it is the plain sum.
+    """
     plain = lambda f: F.array_sort(F.map_entries(f.name)).alias(f.name) if isinstance(f.dataType, T.MapType) else F.col(f.name)
     row = F.sha2(F.to_json(F.struct(*(plain(f) for f in sorted(df.schema, key=lambda f: f.name)))), 256)
     part = F.conv(F.substring(row, 1, 12), 16, 10).cast("bigint")
-    return df.agg(F.count("*").alias("n_rows"), F.coalesce(F.sum(part), F.lit(0)).alias("hash_sum"), F.coalesce(F.bit_xor(part), F.lit(0)).alias("hash_xor"))
+    low = F.lit((1 << 24) - 1)
+    made = df.select(part.alias("h")).agg(F.count("*").alias("n_rows"), *(F.coalesce(x, F.lit(0).cast("bigint")).alias(n) for x, n in ((F.sum(F.shiftright("h", 24)), "high"), (F.sum(F.col("h").bitwiseAND(low)), "low"), (F.bit_xor("h"), "hash_xor"))))
+    wrapped = F.shiftleft(F.col("high") + F.shiftright("low", 24), 24).bitwiseOR(F.col("low").bitwiseAND(low))
+    return made.select("n_rows", wrapped.alias("hash_sum"), "hash_xor")
