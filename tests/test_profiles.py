@@ -142,3 +142,33 @@ def test_studies(spark):
     found = K.detection_study(seq, seq, [{"type": "unexpected_transition", "rate": 0.2, "transitions": [["b", "a"]]}], seed=1)
     assert found["scores"].first()["roc_auc"] > 0.9 and found["by_type"].first()["n"] == 12
     assert K.artifact_auc(seq, seq, seq).first()["roc_auc"] == 0.5
+
+
+def test_clusters_in_few_jobs(spark, monkeypatch):
+    """Features are stored, the starts see them in one part, and no model is fitted of what is only assigned."""
+    people = {f"r{i}": ["aaaa", "aaab"] for i in range(6)} | {f"w{i}": ["bb"] for i in range(9)}
+    seq = log(spark, people).repartition(4)
+    seen, fit = [], K.KMeans.fit
+    monkeypatch.setattr(K.KMeans, "fit", lambda self, points: (seen.append(points.rdd.getNumPartitions()), fit(self, points))[1])
+    monkeypatch.setattr(K.generate, "fit", None)
+    found, members = K.fit_clusters(seq, 2, ("a", "b"), seed=1)
+    assert seen == [1] * 10 and found.models == []
+    assert {(r.learner_id[0], r.profile) for r in members.collect()} == {("w", 0), ("r", 1)}
+    assert sorted(members.collect()) == sorted(found.assign(seq).collect())
+    assert K.in_parts(spark.range(9).withColumnRenamed("id", "learner_id").repartition(4), 2 * K.PART + 1).rdd.getNumPartitions() == 3
+
+
+def test_spans_are_those_of_sessions(spark):
+    own = log(spark, {"A": ["abc", "a"], "B": ["cc"]})
+    names = ("session_id", "learner_id", "n_events", "duration_s")
+    assert sorted(profile.spans(own).select(*names).collect()) == sorted(sessionize.sessions(own).select(*names).collect())
+
+
+def test_starts_run_together(spark, monkeypatch):
+    import threading
+
+    everyone = threading.Barrier(K.TRIES, timeout=60)
+    fit = K.KMeans.fit
+    monkeypatch.setattr(K.KMeans, "fit", lambda self, points: (everyone.wait(), fit(self, points))[1])
+    people = {f"r{i}": ["aaaa"] for i in range(5)} | {f"w{i}": ["bb"] for i in range(5)}
+    assert K.fit_profiles(log(spark, people), 2, ("a", "b"), seed=4).sizes == [5, 5]

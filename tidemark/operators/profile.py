@@ -131,6 +131,13 @@ def analyze_by(labelled: DataFrame, min_sessions: int = 1) -> DataFrame:
     return stats.join(tvd, "label", "left").filter(F.col("label").isNull() | (F.col("n_sessions") >= min_sessions)).select(F.coalesce("label", F.lit("(all)")).alias("label"), "n_sessions", "n_learners", "n_events", "mean_length", F.coalesce("tvd", F.lit(0.0)).alias("tvd"))
 
 
+def spans(seq: DataFrame) -> DataFrame:
+    """(session_id, learner_id, n_events, duration_s): what learner_features() takes of sessions, without their events in order."""
+    us = F.unix_micros("timestamp")
+    length = F.when(F.count("timestamp") == F.count("*"), (F.max(us) - F.min(us)) / 1e6)
+    return seq.filter("session_id is not null").groupBy("session_id", "learner_id").agg(F.count("*").alias("n_events"), length.alias("duration_s"))
+
+
 def learner_features(sessions: DataFrame, events: DataFrame, vocabulary: Sequence[str], others: bool = False) -> DataFrame:
     """Session count, mean length, log mean duration, success (0.5 if unknown) and token shares of each learner; ``others`` adds the share of all other tokens."""
     own = sessions.groupBy("learner_id").agg(F.count("*").alias("n_sessions"), F.avg("n_events").alias("mean_length"), F.log1p(F.avg("duration_s")).alias("log_duration"))

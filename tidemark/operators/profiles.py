@@ -5,19 +5,22 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 from functools import reduce
+from multiprocessing.pool import ThreadPool
 
+from pyspark import inheritable_thread_target
 from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.functions.scratch import stored
 from tidemark.operators import generate, profile
 from tidemark.operators.sessionize import sessions
 
 #: A feature tells a profile apart from this z-score on.
 TELLING, CLIP = 0.25, 3.0
-#: Starts of k-means, of which the cheapest is kept.
-TRIES = 10
+#: Starts of k-means, of which the cheapest is kept; learners that one of its tasks sees, so that small tables are not cut into many.
+TRIES, PART = 10, 20_000
 
 
 @dataclass(frozen=True)
@@ -33,7 +36,10 @@ class Profiles:
 
     def assign(self, seq: DataFrame) -> DataFrame:
         """(learner_id, profile) of the learners of another log: the nearest centroid, the first of equally near ones."""
-        rows = profile.learner_features(sessions(seq), seq, self.vocabulary)
+        return self.assign_rows(profile.learner_features(profile.spans(seq), seq, self.vocabulary))
+
+    def assign_rows(self, rows: DataFrame) -> DataFrame:
+        """As assign(), of learners whose features are known."""
         return rows.select("learner_id", _nearest(_point(self.means, self.stds), self.centroids).alias("profile"))
 
     def distinguishing(self, seq: DataFrame, top: int = 3) -> DataFrame:
@@ -65,18 +71,25 @@ def _nearest(point: Column, centroids: list[list[float]]) -> Column:
 
 
 def best_kmeans(points: DataFrame, k: int, seed: int, tries: int = TRIES, **options) -> KMeansModel:
-    """The cheapest of some k-means runs with consecutive seeds, the first of equally cheap ones."""
-    fits = [KMeans(k=k, seed=seed + i, **options).fit(points) for i in range(tries)]
+    """The cheapest of some k-means runs with consecutive seeds, the first of equally cheap ones; as each is a row of short jobs, they run together."""
+    starts = [KMeans(k=k, seed=seed + i, **options) for i in range(tries)]
+    with ThreadPool(min(tries, TRIES)) as pool:
+        fits = pool.map(inheritable_thread_target(points.sparkSession)(lambda start: start.fit(points)), starts)
     return min(fits, key=lambda m: m.summary.trainingCost)
 
 
-def fit_profiles(seq: DataFrame, n_profiles: int, vocabulary: tuple[str, ...], seed: int = 0, tries: int = TRIES, least: int = 5) -> Profiles:
-    """The best of some k-means runs over standardised learner features; every profile needs ``least`` learners."""
-    rows = profile.learner_features(sessions(seq), seq, vocabulary)
+def in_parts(rows: DataFrame, n: int) -> DataFrame:
+    """``n`` stored learners in as many parts as k-means needs, each in order."""
+    return rows.coalesce(max(1, math.ceil(n / PART))).sortWithinPartitions("learner_id")
+
+
+def fit_clusters(seq: DataFrame, n_profiles: int, vocabulary: tuple[str, ...], seed: int = 0, tries: int = TRIES, least: int = 5) -> tuple[Profiles, DataFrame]:
+    """Profiles without models, and (learner_id, profile): the best of some k-means runs over standardised learner features, which are stored; every profile needs ``least`` learners."""
+    rows = stored(profile.learner_features(profile.spans(seq), seq, vocabulary))
     names = [c for c in rows.columns if c != "learner_id"]
-    stats = rows.agg(*(F.avg(c).alias(f"m_{c}") for c in names), *(F.stddev_pop(c).alias(f"s_{c}") for c in names)).first()
+    stats = rows.agg(F.count("*").alias("n"), *(F.avg(c).alias(f"m_{c}") for c in names), *(F.stddev_pop(c).alias(f"s_{c}") for c in names)).first()
     means, stds = {c: float(stats[f"m_{c}"]) for c in names}, {c: float(stats[f"s_{c}"] or 1.0) for c in names}
-    points = rows.select("learner_id", array_to_vector(_point(means, stds)).alias("features")).cache()
+    points = in_parts(rows, stats["n"]).select("learner_id", array_to_vector(_point(means, stds)).alias("features")).cache()
     try:
         best = best_kmeans(points, n_profiles, seed, tries, maxIter=100)
         sizes, centres = best.summary.clusterSizes, [[float(x) for x in c] for c in best.clusterCenters()]
@@ -86,7 +99,12 @@ def fit_profiles(seq: DataFrame, n_profiles: int, vocabulary: tuple[str, ...], s
         raise ValueError(f"{n_profiles} profiles leave fewer than {least} learners in one")
     order = sorted(range(n_profiles), key=lambda i: (-sizes[i], centres[i]))
     learned = Profiles(vocabulary, means, stds, [centres[i] for i in order], [int(sizes[i]) for i in order], [])
-    members = learned.assign(seq)
+    return learned, learned.assign_rows(rows)
+
+
+def fit_profiles(seq: DataFrame, n_profiles: int, vocabulary: tuple[str, ...], seed: int = 0, tries: int = TRIES, least: int = 5) -> Profiles:
+    """fit_clusters(), with a model of each profile."""
+    learned, members = fit_clusters(seq, n_profiles, vocabulary, seed, tries, least)
     own = [seq.join(members.filter(F.col("profile") == i).select("learner_id"), "learner_id", "left_semi") for i in range(n_profiles)]
     learned.models.extend(generate.fit(s) for s in own)
     return learned

@@ -601,8 +601,7 @@ def _(spark, d):
 
 @query("assigned_profiles")
 def _(spark, d):
-    s = seq(spark, d)
-    return K.fit_profiles(s, 2, _TYPES, seed=7, least=1).assign(s)
+    return K.fit_clusters(seq(spark, d), 2, _TYPES, seed=7, least=1)[1]
 
 
 @query("generate_profiles")
