@@ -172,3 +172,14 @@ def test_starts_run_together(spark, monkeypatch):
     monkeypatch.setattr(K.KMeans, "fit", lambda self, points: (everyone.wait(), fit(self, points))[1])
     people = {f"r{i}": ["aaaa"] for i in range(5)} | {f"w{i}": ["bb"] for i in range(5)}
     assert K.fit_profiles(log(spark, people), 2, ("a", "b"), seed=4).sizes == [5, 5]
+
+
+def test_learner_clusters_in_one_part(spark, monkeypatch):
+    from tidemark.plans import queries
+
+    seen, fit = [], K.KMeans.fit
+    monkeypatch.setattr(K.KMeans, "fit", lambda self, points: (seen.append(points.rdd.getNumPartitions()), fit(self, points))[1])
+    rows = queries.QUERIES["learner_clusters"](spark, "/root/testdata/sf0.001").collect()
+    learners = spark.read.parquet("/root/testdata/sf0.001/events.parquet").select("user_id").distinct().count()
+    sizes = [sum(r["profile"] == i for r in rows) for i in range(3)]
+    assert seen == [1] * 10 and sum(sizes) == len({r["learner_id"] for r in rows}) == learners and sizes == sorted(sizes, reverse=True) and min(sizes) > 0

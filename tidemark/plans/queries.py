@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tidemark import log
 from tidemark.functions import distances as D
 from tidemark.functions.randomness import uniform
+from tidemark.functions.scratch import stored
 from tidemark.operators import assemble as A
 from tidemark.operators import calendar as C
 from tidemark.operators import generate as G
@@ -287,13 +288,16 @@ def _kmeans(spark, d):
     """Learner clusters by k-means, numbered by descending size; no SQL twin."""
     from pyspark.ml.feature import VectorAssembler
 
-    rows = P.standardize(P.learner_features(ses(spark, d), events(spark, d), _TYPES), "learner_id")
+    s = seq(spark, d)
+    known = stored(P.learner_features(P.spans(s), s, _TYPES))
+    rows = P.standardize(K.in_parts(known, known.count()), "learner_id")
     points = VectorAssembler(inputCols=_LC, outputCol="features").transform(rows).select("learner_id", "features").cache()
     try:
         model = K.best_kmeans(points, 3, 7, maxIter=50, initSteps=5)
+        sizes, centres = model.summary.clusterSizes, model.clusterCenters()
     finally:
         points.unpersist()
-    order = {c: r for r, c in enumerate(sorted(range(3), key=lambda c: (-model.summary.clusterSizes[c], list(model.clusterCenters()[c]))))}
+    order = {c: r for r, c in enumerate(sorted(range(3), key=lambda c: (-sizes[c], list(centres[c]))))}
     number = F.create_map(*(F.lit(x) for p in order.items() for x in p))
     return model.transform(points).select("learner_id", F.element_at(number, F.col("prediction")).alias("profile"))
 
