@@ -183,3 +183,21 @@ def test_learner_clusters_in_one_part(spark, monkeypatch):
     learners = spark.read.parquet("/root/testdata/sf0.001/events.parquet").select("user_id").distinct().count()
     sizes = [sum(r["profile"] == i for r in rows) for i in range(3)]
     assert seen == [1] * 10 and sum(sizes) == len({r["learner_id"] for r in rows}) == learners and sizes == sorted(sizes, reverse=True) and min(sizes) > 0
+
+
+def test_models_of_one_stored_log(spark, monkeypatch):
+    import threading
+
+    people = {f"r{i}": ["aaaa", "aaab"] for i in range(6)} | {f"w{i}": ["bb"] for i in range(9)}
+    seq = log(spark, people)
+    with monkeypatch.context() as m:
+        m.setattr(K.generate, "_kept", None)
+        found = K.fit_profiles(seq, 2, ("a", "b"), seed=1)
+    plain = lambda df: sorted(map(str, df.collect()))
+    for own, letter in zip(found.models, "wr", strict=True):
+        want = K.generate.fit(seq.filter(F.col("learner_id").startswith(letter)))
+        assert own.settings == want.settings and {k: plain(v) for k, v in own.items()} == {k: plain(v) for k, v in want.items()}
+    both, markov = threading.Barrier(2, timeout=60), K.generate.markov
+    monkeypatch.setitem(K.generate.GENERATORS, "markov", lambda *a: (both.wait(), markov(*a))[1])
+    made = found.generate(10, seed=2, family="markov")
+    assert sorted(r.session_id for r in made.select("session_id").distinct().collect()) == sorted([f"P0-S{i:06d}" for i in range(6)] + [f"P1-S{i:06d}" for i in range(4)])

@@ -18,9 +18,10 @@ def folder(spark: SparkSession) -> str:
     return f"{(root or _LOCAL.setdefault(app, 'file://' + tempfile.mkdtemp(prefix='tidemark-'))).rstrip('/')}/tables-{app}"
 
 
-def stored(df: DataFrame) -> DataFrame:
+def stored(df: DataFrame, *by: str) -> DataFrame:
+    """``df``, read from a file; what is later filtered by a value of ``by`` reads only the rows that have it."""
     path = f"{folder(df.sparkSession)}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.partitionBy(*by).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -149,9 +149,14 @@ def fit_gaps(seq: DataFrame, family: str = "empirical", least: int = 1) -> DataF
 _READ = ("learner_id", "session_id", "event_id", "timestamp", "token", "event_type", "activity_id", "course_id")
 
 
+def read_of(seq: DataFrame) -> DataFrame:
+    """What fitting reads of a log."""
+    return seq.select(*(c for c in _READ if c in seq.columns))
+
+
 def _kept(seq: DataFrame) -> DataFrame:
-    """What fitting reads of a log, stored, as each table of a model reads it again."""
-    return stored(seq.select(*(c for c in _READ if c in seq.columns)))
+    """read_of(), stored, as each table of a model reads it again."""
+    return stored(read_of(seq))
 
 
 def _tables(seq: DataFrame, order: int, alpha: float, length: str, fixed: int | None, timing: str, least: int) -> Model:
@@ -160,9 +165,9 @@ def _tables(seq: DataFrame, order: int, alpha: float, length: str, fixed: int |
     return Model(tables, {"order": order, "smoothing_alpha": alpha, "timing_family": timing, "min_samples": least, "length_model": length})
 
 
-def fit(seq: DataFrame, order: int = 1, *, alpha: float = 0.0, length: str = "empirical", fixed: int | None = None, timing: str = "empirical", least: int = 1) -> Model:
-    """Token, length and gap tables, and the transitions of all orders up to ``order``."""
-    return _tables(_kept(seq), order, alpha, length, fixed, timing, least)
+def fit(seq: DataFrame, order: int = 1, *, alpha: float = 0.0, length: str = "empirical", fixed: int | None = None, timing: str = "empirical", least: int = 1, kept: bool = False) -> Model:
+    """Token, length and gap tables, and the transitions of all orders up to ``order``; a log that is ``kept`` is not stored again."""
+    return _tables(seq if kept else _kept(seq), order, alpha, length, fixed, timing, least)
 
 
 def with_network(model: Model, seq: DataFrame, h: Mapping[str, Any]) -> Model:

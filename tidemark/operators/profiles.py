@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from functools import reduce
 from multiprocessing.pool import ThreadPool
@@ -57,8 +58,10 @@ class Profiles:
         quota = [int(x) for x in exact]
         for i in sorted(range(len(exact)), key=lambda i: (quota[i] - exact[i], i))[: n_sessions - sum(quota)]:
             quota[i] += 1
-        made = [generate.GENERATORS[family](m, q, seed + i).withColumn("session_id", F.concat(F.lit(f"P{i}-"), "session_id")).withColumn("profile", F.lit(i)) for i, (m, q) in enumerate(zip(self.models, quota, strict=True)) if q]
-        return reduce(DataFrame.unionByName, made)
+        some = [(i, m, q) for i, (m, q) in enumerate(zip(self.models, quota, strict=True)) if q]
+        one = lambda i, m, q: generate.GENERATORS[family](m, q, seed + i).withColumn("session_id", F.concat(F.lit(f"P{i}-"), "session_id")).withColumn("profile", F.lit(i))
+        spark = next(iter(self.models[0].values())).sparkSession
+        return reduce(DataFrame.unionByName, _together(spark, lambda x: one(*x), some))
 
 
 def _point(means: dict[str, float], stds: dict[str, float]) -> Column:
@@ -70,12 +73,16 @@ def _nearest(point: Column, centroids: list[list[float]]) -> Column:
     return F.array_min(F.array(*(F.struct(apart(c).alias("d"), F.lit(i).alias("i")) for i, c in enumerate(centroids))))["i"]
 
 
+def _together(spark: SparkSession, f: Callable, things: Sequence) -> list:
+    """``f`` of each, some at a time."""
+    with ThreadPool(min(len(things), TRIES)) as pool:
+        return pool.map(inheritable_thread_target(spark)(f), things)
+
+
 def best_kmeans(points: DataFrame, k: int, seed: int, tries: int = TRIES, **options) -> KMeansModel:
     """The cheapest of some k-means runs with consecutive seeds, the first of equally cheap ones; as each is a row of short jobs, they run together."""
     starts = [KMeans(k=k, seed=seed + i, **options) for i in range(tries)]
-    with ThreadPool(min(tries, TRIES)) as pool:
-        fits = pool.map(inheritable_thread_target(points.sparkSession)(lambda start: start.fit(points)), starts)
-    return min(fits, key=lambda m: m.summary.trainingCost)
+    return min(_together(points.sparkSession, lambda start: start.fit(points), starts), key=lambda m: m.summary.trainingCost)
 
 
 def in_parts(rows: DataFrame, n: int) -> DataFrame:
@@ -105,8 +112,8 @@ def fit_clusters(seq: DataFrame, n_profiles: int, vocabulary: tuple[str, ...], s
 def fit_profiles(seq: DataFrame, n_profiles: int, vocabulary: tuple[str, ...], seed: int = 0, tries: int = TRIES, least: int = 5) -> Profiles:
     """fit_clusters(), with a model of each profile."""
     learned, members = fit_clusters(seq, n_profiles, vocabulary, seed, tries, least)
-    own = [seq.join(members.filter(F.col("profile") == i).select("learner_id"), "learner_id", "left_semi") for i in range(n_profiles)]
-    learned.models.extend(generate.fit(s) for s in own)
+    own = stored(generate.read_of(seq).join(members, "learner_id"), "profile")
+    learned.models.extend(generate.fit(own.filter(F.col("profile") == i).drop("profile"), kept=True) for i in range(n_profiles))
     return learned
 
 
